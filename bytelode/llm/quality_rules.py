@@ -1,9 +1,10 @@
 """Quality rules whose cutoffs are chosen under a proven bound on how many good documents they reject.
 
 Each rule compares one ratio of a document with a cutoff. For every stratum (a band of word counts), rule and candidate
-cutoff, all documents labelled good are counted; a cutoff qualifies if an exact binomial test rejects, at a level
-divided by the number of tests, that the rule's false-rejection rate exceeds its share of the allowed rate. The
-strictest qualifying cutoff holds; without one the rule is off in that stratum.
+cutoff, all documents labelled good are counted. From the loosest cutoff to stricter ones, an exact binomial test must
+reject that the rule's false-rejection rate exceeds its share of the allowed rate; the last cutoff before the first
+failure holds, and without one the rule is off in that stratum. Testing in a fixed order needs no correction among the
+cutoffs of a rule; the level is divided by the number of rules and strata (Bonferroni).
 """
 
 from __future__ import annotations
@@ -73,15 +74,15 @@ def below(n: int, k: int, p: float) -> float:
 
 def choose(good: dict[tuple[int, str], dict[int, int]], allowed: float = FALSE_REJECTIONS, mistake: float = MISTAKE) -> dict[tuple[int, str], float]:
     """Cutoffs for each (stratum, rule) from counts of good documents by the number of cutoffs that they exceed."""
-    tests = (len(STRATA) + 1) * sum(len(cuts) for _, cuts in RULES.values())
+    level = mistake / ((len(STRATA) + 1) * len(RULES))
     out = {}
     for (band, rule), by in good.items():
         n = sum(by.values())
-        for k, cut in enumerate(RULES[rule][1]):
+        for k, cut in reversed(list(enumerate(RULES[rule][1]))):
             over = sum(c for passed, c in by.items() if passed > k)
-            if below(n, over, allowed / len(RULES)) <= mistake / tests:
-                out[band, rule] = cut
+            if below(n, over, allowed / len(RULES)) > level:
                 break
+            out[band, rule] = cut
     return out
 
 
