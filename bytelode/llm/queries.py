@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, quality_model, quality_rules, urlfilter
+from . import chat, decontam, langid, pieces, quality_model, quality_rules, tokencount, urlfilter
 from .common import read
 
 
@@ -28,11 +28,23 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(read(spark, sf_dir, "conversations"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(read(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op8_url_filters)
+    f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op6_token_counts, op7_decontamination, op8_url_filters, op9_sentencepiece)
 }
 ORACLES: dict[str, str] = {"op5_chat_formatting": chat.collapse_sql()}
