@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, pieces, quality_model, quality_rules, tokencount, urlfilter
+from . import chat, decontam, jaccard, langid, pieces, quality_model, quality_rules, tokencount, urlfilter
 from .common import read
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_model.score(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
@@ -45,6 +49,6 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op6_token_counts, op7_decontamination, op8_url_filters, op9_sentencepiece)
+    f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op6_token_counts, op7_decontamination, op8_url_filters, op9_sentencepiece)
 }
-ORACLES: dict[str, str] = {"op5_chat_formatting": chat.collapse_sql()}
+ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.join_sql(), "op5_chat_formatting": chat.collapse_sql()}
