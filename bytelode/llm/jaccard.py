@@ -1,10 +1,14 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set of word shingles is hashed into blocks of 64 bits: each shingle flips one bit. Two sketches differ in no
-more bits than the sets have elements that aren't common. Sets of a, b elements with a Jaccard similarity of 0.9 or more
-differ by at most (a + b) / 19 elements; so of one block more than that, at least one block is equal. Sizes fall into
-bands, each with a number of blocks that suits its largest sets; a set also enters the next band if a set there could be
-similar to it.
+A document's set of word shingles is hashed into blocks of parity bits: each shingle flips one bit. Two sketches differ in
+no more bits than the sets have elements that aren't common. Sets of a, b elements with a Jaccard similarity of 0.9 or
+more differ by at most (a + b) / 19 elements; so of one block more than that, at least one block is equal. The rows of
+bits are so wide (64-bit indexes) that a block is kept as the XOR of its bits' numbers.
+
+Two unlike sets can share blocks that are empty in both. So bands have some more blocks than the bound asks for: a set
+that fills more blocks than may differ needs only its filled ones, since one of these must be equal; the few sets that
+fill less meet each other in empty blocks, too. Sizes fall into bands, each with a number of blocks that suits its
+largest sets; a set also enters the next band if a set there could be similar to it.
 
 Nodes are distinct sets, known by a 64-bit hash, so exact copies never meet as pairs. The members of a bucket are tied to
 one leader (within a batch, then over all batches: no bucket is gathered anywhere). Each tie is verified on the whole
@@ -14,6 +18,7 @@ two more bounds: that of sizes and that of a second sketch. So no link that the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +31,7 @@ from .common import pieces, release, stash
 from .components import components
 
 #: Ratio of the largest to the least size of a band.
-BAND = 1.25
+BAND = 1.5
 #: Rows of two longs that may be broadcast (some 50 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -38,22 +43,35 @@ class Bands:
         self.percent = percent
         self.lo: list[int] = []
         self.hi: list[int] = []
+        self.may_differ: list[int] = []
         self.blocks: list[int] = []
         hi = 0
         while self.difference(2 * (hi + 1)) < 1:
             hi += 1
         self.first = hi
-        while hi < 1 << 34:
+        while hi < 1 << 30:
             lo = hi + 1
             hi = max(int(lo * BAND), lo)
             while self.difference(2 * (hi + 1)) == self.difference(2 * lo):
                 hi += 1
             self.lo.append(lo)
             self.hi.append(hi)
-            self.blocks.append(self.difference(2 * hi) + 1)
+            self.may_differ.append(self.difference(2 * hi))
+            self.blocks.append(self._enough(self.may_differ[-1], -(-lo * percent // 100)))
         self.least = np.array([-(-lo * percent // 100) for lo in self.lo])  # the smallest set that one of size lo may be similar to
         self.most = np.array(self.hi)
 
+    @staticmethod
+    def _enough(may_differ: int, least: int) -> int:
+        """So many blocks that nearly every set of at least `least` elements fills more than may_differ of them."""
+        blocks = float(may_differ + 1)
+        while blocks < 4 * (may_differ + 1):
+            empty = math.exp(-least / blocks)
+            if blocks * (1 - empty) - 3 * math.sqrt(blocks * empty) >= may_differ + 1:
+                break
+            blocks = blocks * 1.02 + 1
+        return int(blocks)
+
     def difference(self, total: int) -> int:
         """How many elements two similar sets of `total` elements together may not have in common."""
         return total * (100 - self.percent) // (100 + self.percent)
@@ -88,7 +106,7 @@ def _sums(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 def sketches(owner: np.ndarray, value: np.ndarray, n: int, bands: Bands) -> dict[str, np.ndarray]:
     """For each of n sets: size, hash, a 256-bit sketch, and the keys of its blocks with their offsets."""
     size = np.bincount(owner, minlength=n)
-    out = {"size": size, "set": kernels.mix(_sums(owner, kernels.mix(value ^ np.uint64(11)), n) + size.astype(np.uint64)).view(np.int64)}
+    out = {"size": size, "set": _set_hashes(owner, value, n)}
     second = kernels.mix(value ^ np.uint64(29))
     words = np.zeros(4 * n, np.uint64)
     np.bitwise_xor.at(words, owner * 4 + (second >> np.uint64(62)).astype(np.int64), np.uint64(1) << (second & np.uint64(63)))
@@ -107,12 +125,16 @@ def sketches(owner: np.ndarray, value: np.ndarray, n: int, bands: Bands) -> dict
     pick = np.repeat(at[text], sizes) + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     h = kernels.mix(value[pick] + np.repeat(band.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), sizes))
     block = (((h >> np.uint64(32)) * blocks[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-    content = np.zeros(int(base[-1]), np.uint64)
-    np.bitwise_xor.at(content, base[of] + block, np.uint64(1) << (h & np.uint64(63)))
-    number = np.arange(len(content)) - np.repeat(base[:-1], blocks)
-    key = kernels.mix(kernels.mix(content) + number.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.repeat(band, blocks).astype(np.uint64))
-    out["keys"] = key.view(np.int64)
-    out["keys_at"] = np.concatenate([[0], np.cumsum(np.bincount(text, blocks, n).astype(np.int64))])
+    content, filled = np.zeros(int(base[-1]), np.uint64), np.zeros(int(base[-1]), bool)
+    np.bitwise_xor.at(content, base[of] + block, kernels.mix(h ^ np.uint64(5)))
+    filled[base[of] + block] = True
+    entry = np.repeat(np.arange(len(text)), blocks)
+    enough = np.bincount(entry, filled, len(text)) > np.array(bands.may_differ)[band] if len(band) else np.zeros(0, bool)
+    number = np.arange(len(content)) - base[entry]
+    key = kernels.mix(kernels.mix(content + filled.astype(np.uint64)) + number.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + band[entry].astype(np.uint64))
+    emit = filled | ~enough[entry]
+    out["keys"] = key[emit].view(np.int64)
+    out["keys_at"] = np.concatenate([[0], np.cumsum(np.bincount(text[entry[emit]], minlength=n))])
     return out
 
 
@@ -162,13 +184,23 @@ def _over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(key[tied]), pa.array(node[tied]), pa.array(leader[tied])], ["key", "node", "leader"])
 
 
+def _set_hashes(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each of n sets."""
+    size = np.bincount(owner, minlength=n).astype(np.uint64)
+    return kernels.mix(_sums(owner, kernels.mix(value ^ np.uint64(11)), n) + size).view(np.int64)
+
+
 def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sets of texts that are the wanted ones; other texts may bear the same doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in pieces(batch.column("text")):
                 owner, value = shingles(data, at, words)
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(value.view(np.int64)))], ["node", "items"])
+                node = batch.column("node").slice(lo, hi - lo)
+                same = pa.array(np.asarray(node) == _set_hashes(owner, value, hi - lo))
+                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(cut, pa.array(value.view(np.int64)))], ["node", "items"]).filter(same)
 
     return run
 
@@ -178,18 +210,24 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) for pairs of nodes, from the whole sets of one document each."""
-    wanted = stash(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
+    """(a, b, linked) for pairs of nodes: not where a bound excludes it, else from the whole sets of one document each."""
+    bounds = pairs.join(nodes.alias("m").withColumnRenamed("node", "a"), "a").join(nodes.alias("o").withColumnRenamed("node", "b"), "b")
+    bounds = stash(bounds.select("a", "b", _near(percent).alias("near")), "bounds")
+    near = bounds.where("near").select("a", "b")
+    wanted = stash(near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
     text = docs.select("doc_id", "text").join(_maybe_broadcast(wanted, wanted.count()), "doc_id").select("node", "text")
-    sets = stash(text.mapInArrow(_sets(words), "node long, items array<long>"), "sets")
+    sets = text.mapInArrow(_sets(words), "node long, items array<long>").dropDuplicates(["node"])
     left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
+    exact = near.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
+    return exact.unionAll(bounds.where("not near").select("a", "b", "near"))
 
 
-def _apart(a: str, b: str) -> Column:
-    """A lower bound of the symmetric difference of two nodes' sets."""
-    return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
+def _near(percent: int) -> Column:
+    """Whether two nodes, m and o, may be similar enough: sizes and second sketches bound the symmetric difference from below."""
+    differ = sum((F.bit_count(F.col(f"m.s{k}").bitwiseXOR(F.col(f"o.s{k}"))) for k in range(4)), F.lit(0))
+    total, sizes = F.col("m.n") + F.col("o.n"), F.abs(F.col("m.n") - F.col("o.n"))
+    return F.greatest(differ.cast("long"), sizes) * (100 + percent) <= total * (100 - percent)
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -197,7 +235,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
 
     Texts are linked when their shingle sets have a Jaccard similarity of percent / 100 or more; component_id is the
     least doc_id that links reach. Null, empty and blank texts have no shingles and are linked with nothing. Rows of
-    equal text are linked, repeated rows too; rows without doc_id take part but are named by others only. Sets are known
+    equal sets are linked, repeated rows too; rows without doc_id only share the component of an equal set, if it has an id. Sets are known
     by 64-bit hashes of 64-bit hashes of their shingles: over n distinct sets the odds of any mistake are n*n / 2**65.
     """
     spark, bands = docs.sparkSession, Bands(percent)
@@ -208,7 +246,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     nodes = stash(some.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("s3").alias("s3")), "nodes")
 
     # Leaders within batches go to the first table's ties at once; one row for each bucket and batch is shuffled.
-    local = stash(some.select("node", "keys").mapInArrow(_by_batch, "key long, node long, leader long"), "buckets")
+    local = some.select("node", "keys").mapInArrow(_by_batch, "key long, node long, leader long")
     tied = local.where("node = leader").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_over_batches, "key long, node long, leader long")
     ties = stash(local.where("node <> leader").unionAll(tied), "ties")
     release(spark)
@@ -230,7 +268,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
         members = members.join(main, "key")
         others = members.where("root <> main")
-        near = members.alias("m").join(others.alias("o"), F.expr("m.key = o.key and m.root <> o.root and (m.root = m.main or m.node < o.node)") & (_apart("m", "o") * (100 + percent) <= (F.col("m.n") + F.col("o.n")) * (100 - percent)))
+        near = members.alias("m").join(others.alias("o"), F.expr("m.key = o.key and m.root <> o.root and (m.root = m.main or m.node < o.node)") & _near(percent))
         near = near.select(F.greatest("m.node", "o.node").alias("a"), F.least("m.node", "o.node").alias("b")).distinct()
         done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         rest = stash(near.join(done, ["a", "b"], "left_anti"), "rest")
@@ -258,3 +296,20 @@ p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n)
 l as (select a, b from p where 100 * i >= {percent} * (na + nb - i)),
 r as (select doc_id as a, doc_id as c from documents union select l.b, r.c from r join l on l.a = r.a)
 select s.doc_id, len(s.s)::bigint as n_shingles, min(r.c) as component_id from s join r on r.a = s.doc_id group by s.doc_id, len(s.s)"""
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of least doc_id in their components; texts without words all stay.
+
+    Of rows that share a doc_id, one stays. Rows without doc_id stay.
+    """
+    found = stash(join(docs, words, percent).where("doc_id is not null"), "components")
+    gone = stash(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    again = stash(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    release(docs.sparkSession)
+    kept = docs.join(_maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    n = again.count()
+    if not n:
+        return kept
+    again = _maybe_broadcast(again, n)
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
