@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at once; a longer text is one piece of its own.
 PIECE_BYTES = 1 << 20
+#: Rows of an Arrow batch while a scratch table is written: whole texts and long lists of keys travel in them.
+STASH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +37,21 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: what follows survives lost executors without recomputing df."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), STASH_ROWS)) if int(before) > 0 else str(STASH_ROWS))
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of finished, no longer referenced steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python lets go of Java's objects first, then Java of the shuffles that they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -34,6 +34,8 @@ from .components import components
 BAND = 1.5
 #: Rows of two longs that may be broadcast (some 50 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Words of the second sketch: it tells sets apart that may differ by up to a few hundred elements.
+SKETCH = 16
 
 
 class Bands:
@@ -104,13 +106,13 @@ def _sums(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(owner: np.ndarray, value: np.ndarray, n: int, bands: Bands) -> dict[str, np.ndarray]:
-    """For each of n sets: size, hash, a 256-bit sketch, and the keys of its blocks with their offsets."""
+    """For each of n sets: size, hash, a second sketch of SKETCH words of 64 bits, and the keys of its blocks with their offsets."""
     size = np.bincount(owner, minlength=n)
     out = {"size": size, "set": _set_hashes(owner, value, n)}
     second = kernels.mix(value ^ np.uint64(29))
-    words = np.zeros(4 * n, np.uint64)
-    np.bitwise_xor.at(words, owner * 4 + (second >> np.uint64(62)).astype(np.int64), np.uint64(1) << (second & np.uint64(63)))
-    out["sketch"] = words.view(np.int64).reshape(n, 4)
+    words = np.zeros(SKETCH * n, np.uint64)
+    np.bitwise_xor.at(words, owner * SKETCH + ((second >> np.uint64(32)) % np.uint64(SKETCH)).astype(np.int64), np.uint64(1) << (second & np.uint64(63)))
+    out["sketch"] = words.view(np.int64)
 
     at = np.searchsorted(owner, np.arange(n + 1))
     low, high = np.searchsorted(bands.most, size), np.searchsorted(bands.least, size, "right")
@@ -144,7 +146,7 @@ def _describe(words: int, bands: Bands) -> Callable[[Iterator[pa.RecordBatch]],
             for lo, hi, data, at in pieces(batch.column("text")):
                 s = sketches(*shingles(data, at, words), hi - lo, bands)
                 keys = pa.ListArray.from_arrays(s["keys_at"].astype(np.int32), pa.array(s["keys"]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s["size"]), pa.array(s["set"]), *(pa.array(s["sketch"][:, k].copy()) for k in range(4)), keys], ["doc_id", "n", "node", "s0", "s1", "s2", "s3", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s["size"]), pa.array(s["set"]), pa.ListArray.from_arrays(np.arange(0, SKETCH * (hi - lo) + 1, SKETCH, dtype=np.int32), pa.array(s["sketch"])), keys], ["doc_id", "n", "node", "sketch", "keys"])
 
     return run
 
@@ -225,7 +227,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
 
 def _near(percent: int) -> Column:
     """Whether two nodes, m and o, may be similar enough: sizes and second sketches bound the symmetric difference from below."""
-    differ = sum((F.bit_count(F.col(f"m.s{k}").bitwiseXOR(F.col(f"o.s{k}"))) for k in range(4)), F.lit(0))
+    differ = F.aggregate(F.zip_with("m.sketch", "o.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     total, sizes = F.col("m.n") + F.col("o.n"), F.abs(F.col("m.n") - F.col("o.n"))
     return F.greatest(differ.cast("long"), sizes) * (100 + percent) <= total * (100 - percent)
 
@@ -240,10 +242,10 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """
     spark, bands = docs.sparkSession, Bands(percent)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n long, node long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+    schema = "doc_id long, n long, node long, sketch array<long>, keys array<long>"
     about = stash(docs.mapInArrow(_describe(words, bands), schema), "sketches")
     some = about.where("n > 0")
-    nodes = stash(some.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("s3").alias("s3")), "nodes")
+    nodes = stash(some.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
 
     # Leaders within batches go to the first table's ties at once; one row for each bucket and batch is shuffled.
     local = some.select("node", "keys").mapInArrow(_by_batch, "key long, node long, leader long")
