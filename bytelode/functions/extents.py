@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,18 +89,30 @@ def gzip_head_valid(head: Column, size: Column) -> Column:
     return fixed & ((time == 0) | time.between(86_400, 3_153_600_000)) & u8(head, 8).isin(0, 2, 4) & ((system <= 13) | (system == 255))
 
 
-def size(h: dict[str, Column]) -> Column:
+def _by_kind(kind: Column, rules: dict[str, Callable[[], Column]], kinds: set[str], otherwise: Column) -> Column:
+    """The rule of a hit's type; rules of types that the catalog lacks are not even built."""
+    out = otherwise
+    for name, rule in rules.items():
+        if name in kinds:
+            out = F.when(kind == name, rule()).otherwise(out)
+    return out
+
+
+def size(h: dict[str, Column], kinds: set[str]) -> Column:
     """The size of a hit by the rule of its type. 0 and sizes beyond what is there make no file."""
     kind, rem, most = h["file_type"], h["rem"], h["max_len"]
     plain = _capped(rem, most)
-    by_type = F.when(kind == "zip", zip_size(h["probe_at"], h["probe"], rem, most, h["walked"])).when(kind.isin("pdf", "jpeg"), h["walked"])
-    no_footer = F.when(kind == "bmp", bmp_size(h["head"], rem, most)).when(kind == "exe", exe_size(h["probe"], rem, most)).when(kind.isin("mov", "mpg", "gzip"), F.coalesce(h["walked"], plain))
-    return by_type.when(h["footer_len"] > 0, footer_size(rem, most, h["footer_at"], h["footer_len"])).otherwise(no_footer.otherwise(plain))
+    walked = lambda: F.coalesce(h["walked"], plain)
+    no_footer = _by_kind(kind, {"bmp": lambda: bmp_size(h["head"], rem, most), "exe": lambda: exe_size(h["probe"], rem, most), "mov": walked, "mpg": walked, "gzip": walked}, kinds, plain)
+    by_footer = F.when(h["footer_len"] > 0, footer_size(rem, most, h["footer_at"], h["footer_len"])).otherwise(no_footer)
+    return _by_kind(kind, {"zip": lambda: zip_size(h["probe_at"], h["probe"], rem, most, h["walked"]), "pdf": lambda: h["walked"], "jpeg": lambda: h["walked"]}, kinds, by_footer)
 
 
-def valid(h: dict[str, Column], size: Column) -> Column:
+def valid(h: dict[str, Column], size: Column, kinds: set[str]) -> Column:
     """The structural check of a hit's type, and at least one marker inside if its spec has any."""
-    kind, head = h["file_type"], h["head"]
-    structure = F.when(kind == "png", png_valid(head, size)).when(kind == "gif", gif_valid(head, size)).when(kind == "bmp", bmp_valid(head, size)).when(kind == "exe", exe_valid(head, h["probe"], size)).when(kind == "mpg", mpg_valid(head, size))
-    structure = structure.when(kind == "gzip", gzip_head_valid(head, size) & F.coalesce(h["sound"], F.lit(False))).when(kind == "mov", F.coalesce(h["sound"], F.lit(False))).otherwise(True)
-    return structure & ((h["n_markers"] == 0) | F.coalesce(h["marker_end"] <= size, F.lit(False)))
+    kind, head, sound = h["file_type"], h["head"], F.coalesce(h["sound"], F.lit(False))
+    rules = {
+        "png": lambda: png_valid(head, size), "gif": lambda: gif_valid(head, size), "bmp": lambda: bmp_valid(head, size), "exe": lambda: exe_valid(head, h["probe"], size),
+        "mpg": lambda: mpg_valid(head, size), "gzip": lambda: gzip_head_valid(head, size) & sound, "mov": lambda: sound,
+    }
+    return _by_kind(kind, rules, kinds, F.lit(True)) & ((h["n_markers"] == 0) | F.coalesce(h["marker_end"] <= size, F.lit(False)))

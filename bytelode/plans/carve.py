@@ -39,11 +39,12 @@ def sized(hits: DataFrame, config: CarveConfig) -> DataFrame:
     specs = specs_frame(hits.sparkSession, config.specs).select("spec_idx", "file_type", "suffix", "max_len", "header_len", "footer_len", F.size("markers").alias("n_markers"))
     rows = hits.join(F.broadcast(specs), "spec_idx")
     h = {k: F.col(k) for k in _FACTS}
-    raw = extents.size(h)
-    ok = (raw > 0) & (raw <= F.col("rem"))
-    ok = ok if config.disable_validation else ok & extents.valid(h, raw)
+    kinds = {s.file_type.lower() for s in config.specs}
+    rows = rows.withColumn("_raw", extents.size(h, kinds))
+    ok = (F.col("_raw") > 0) & (F.col("_raw") <= F.col("rem"))
+    ok = ok if config.disable_validation else ok & extents.valid(h, F.col("_raw"), kinds)
     dump = F.least("max_len", "rem") if config.write_all else F.lit(0).cast("long")
-    rows = rows.withColumn("_raw", raw).withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    rows = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     rows = rows.withColumn("size", F.when(F.col("_ok"), F.col("_raw")).otherwise(dump)).withColumn("comment", F.when(~F.col("_ok"), "(Header dump)").otherwise(""))
     rows = rows.withColumn("bridge", ~F.col("file_type").isin("jpeg", "vjpeg", "zip", "pdf") & (F.col("rem") < F.col("max_len")) & (F.col("footer_len") > 0) & F.col("footer_at").isNull())
     rows = rows.withColumn("scan", F.when(F.col("_ok"), F.col("scan")))

@@ -319,7 +319,8 @@ def spec_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- whole images, made of the files above: no SQL; tests hold them against plain Python ----
 
-_JPEG = "FFD8FFE000104A46494600010100000100010000" + "FFDB00430008" + "10" * 64 + "FFC4001400010000000000000000000000000000000003" + "FFC40014100100000000000000000000000000000000" + "00" + "FFC0000B080008000801011100" + "FFDA0008010100003F00"
+_ONE_CODE = "01" + "00" * 15
+_JPEG = "FFD8FFE000104A46494600010100000100010000" + "FFDB004300" + "10" * 64 + "FFC4001400" + _ONE_CODE + "03" + "FFC4001410" + _ONE_CODE + "00" + "FFC0000B080008000801011100" + "FFDA0008010100003F00"
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
