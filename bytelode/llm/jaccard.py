@@ -36,6 +36,8 @@ BAND = 1.5
 BROADCAST_ROWS = 1 << 20
 #: Words of the second sketch: it tells sets apart that may differ by up to a few hundred elements.
 SKETCH = 16
+#: Further leaders that the members of a bucket with a failed tie are held against before all its pairs are.
+LEADERS = 4
 
 
 class Bands:
@@ -214,7 +216,7 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b, linked) for pairs of nodes: not where a bound excludes it, else from the whole sets of one document each."""
     bounds = pairs.join(nodes.alias("m").withColumnRenamed("node", "a"), "a").join(nodes.alias("o").withColumnRenamed("node", "b"), "b")
-    bounds = stash(bounds.select("a", "b", _near(percent).alias("near")), "bounds")
+    bounds = stash(bounds.select("a", "b", _near(_of("m"), _of("o"), percent).alias("near")), "bounds")
     near = bounds.where("near").select("a", "b")
     wanted = stash(near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
     text = docs.select("doc_id", "text").join(_maybe_broadcast(wanted, wanted.count()), "doc_id").select("node", "text")
@@ -225,11 +227,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     return exact.unionAll(bounds.where("not near").select("a", "b", "near"))
 
 
-def _near(percent: int) -> Column:
-    """Whether two nodes, m and o, may be similar enough: sizes and second sketches bound the symmetric difference from below."""
-    differ = F.aggregate(F.zip_with("m.sketch", "o.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    total, sizes = F.col("m.n") + F.col("o.n"), F.abs(F.col("m.n") - F.col("o.n"))
-    return F.greatest(differ.cast("long"), sizes) * (100 + percent) <= total * (100 - percent)
+def _near(m: Callable[[str], Column], o: Callable[[str], Column], percent: int) -> Column:
+    """Whether two nodes may be similar enough: sizes and second sketches bound the symmetric difference from below."""
+    differ = F.aggregate(F.zip_with(m("sketch"), o("sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return F.greatest(differ.cast("long"), F.abs(m("n") - o("n"))) * (100 + percent) <= (m("n") + o("n")) * (100 - percent)
+
+
+def _of(alias: str) -> Callable[[str], Column]:
+    return lambda name: F.col(f"{alias}.{name}")
+
+
+def _near_leaders(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of members of a bucket with some of it, the first under each of several hashes: as many rows as members, or less.
+
+    Where ties to one leader failed, most members that are linked to any come together by these, and few pairs remain.
+    """
+    one = F.struct("node", "root", "n", "sketch")
+    leaders = members.groupBy("key").agg(F.array(*(F.min_by(one, F.xxhash64("node", F.lit(seed))) for seed in range(LEADERS))).alias("leaders"))
+    close = F.filter("leaders", lambda o: (F.col("root") != o["root"]) & _near(F.col, lambda name: o[name], percent))
+    pairs = members.join(leaders, "key").select("node", F.explode(F.transform(close, lambda o: o["node"])).alias("o"))
+    return pairs.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct()
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -267,12 +284,17 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         members = local.join(_maybe_broadcast(doubtful, n_doubtful), "key").select("key", "node").distinct()
         members = members.join(roots.withColumnRenamed("root", "r"), "node", "left").select("key", "node", F.coalesce("r", "node").alias("root"))
         members = stash(members.join(nodes.drop("doc_id"), "node"), "members")
+        done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        near, links = _near_leaders(members, percent), roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        more = stash(_verified(stash(near.join(done, ["a", "b"], "left_anti"), "leaders"), docs, nodes, words, percent), "verified")
+        roots = components(links.unionAll(more.where("linked").select("a", "b")))
+        done = done.unionAll(more.select("a", "b"))
+        members = members.drop("root").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
         main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-        members = members.join(main, "key")
+        members = stash(members.join(main, "key"), "members")
         others = members.where("root <> main")
-        near = members.alias("m").join(others.alias("o"), F.expr("m.key = o.key and m.root <> o.root and (m.root = m.main or m.node < o.node)") & _near(percent))
+        near = members.alias("m").join(others.alias("o"), F.expr("m.key = o.key and m.root <> o.root and (m.root = m.main or m.node < o.node)") & _near(_of("m"), _of("o"), percent))
         near = near.select(F.greatest("m.node", "o.node").alias("a"), F.least("m.node", "o.node").alias("b")).distinct()
-        done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         rest = stash(near.join(done, ["a", "b"], "left_anti"), "rest")
         if rest.limit(1).count():
             more = stash(_verified(rest, docs, nodes, words, percent), "verified").where("linked").select("a", "b")
