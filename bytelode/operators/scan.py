@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ _NAMES = [x.split()[0] for x in HIT.split(f", scan {SCAN}")[0].split(", ")] + ["
 _SCAN_TYPE = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("broken", pa.int64()), ("restarts", pa.bool_()), ("status", pa.string())])
 _TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), _SCAN_TYPE]
 _ROWS = 1000
+#: Characters of text patterns that travel to the driver and the tasks at once; more are searched for in several passes.
+PATTERN_CHARS = 4_000_000
 
 
 @lru_cache(512)
@@ -179,6 +183,45 @@ def hits(chunks: DataFrame, specs: list[Spec], quick_block: int = 0) -> DataFram
     return chunks.select("image_id", "chunk_no", "chunk_offset", "bytes").mapInArrow(_run(specs, quick_block, False), HIT)
 
 
+def _counted(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ahocorasick.Automaton()
+        for n, value in enumerate(patterns):
+            search.add_word(value, (n, len(value)))
+        search.make_automaton()
+        for batch in batches:
+            found: Counter[int] = Counter()
+            for text in batch.column("text"):
+                ends: dict[int, int] = {}
+                for end, (n, size) in search.iter(text.as_py() or ""):
+                    if end - size >= ends.get(n, -1):
+                        ends[n] = end
+                        found[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([patterns[n] for n in found], pa.string()), pa.array(found.values(), pa.int64())], ["pattern", "n_hits"])
+
+    return run
+
+
+def occurrences(texts: DataFrame, patterns: DataFrame, chars: int = PATTERN_CHARS) -> DataFrame:
+    """pattern and n_hits for each pattern (column pattern) that stands in any text (column text): whole and unchanged, places of one pattern not overlapping.
+
+    Patterns go to the tasks in blocks of about `chars` characters, dealt by their hash; each block is one pass over the
+    texts. Null and empty patterns are nowhere.
+    """
+    wanted = patterns.where("pattern <> ''").select("pattern").distinct()
+    total = wanted.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    blocks = 1 + total // chars
+    out = None
+    for k in range(blocks):
+        some = [r[0] for r in wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()]
+        if some:
+            part = texts.select("text").mapInArrow(_counted(some), "pattern string, n_hits long")
+            out = part if out is None else out.unionAll(part)
+    if out is None:
+        return wanted.select("pattern", F.lit(0).cast("long").alias("n_hits"))
+    return out.groupBy("pattern").agg(F.sum("n_hits").alias("n_hits"))
+
+
 def reread(windows: DataFrame, specs: list[Spec]) -> DataFrame:
     """The facts of one hit at the start of each window (as hits, with spec_idx)."""
     return windows.select("image_id", "chunk_no", "chunk_offset", "bytes", "spec_idx").mapInArrow(_run(specs, 0, True), HIT)

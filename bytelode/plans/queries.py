@@ -146,12 +146,21 @@ def clean_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select b.item_id, sum((length(d.text) - length(replace(d.text, left(b.text, 16), ''))) // 16)::bigint as n_hits
 from benchmark b join documents d on contains(d.text, left(b.text, 16)) where length(b.text) >= 16 group by b.item_id""")
 def multi_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 16 characters of every benchmark item, searched for in all documents at once."""
-    items = _table(spark, sf_dir, "benchmark").where("length(text) >= 16").select("item_id", F.expr("left(text, 16)").alias("p")).orderBy("item_id").collect()
-    specs = [Spec("Config", str(r["item_id"]), r["p"].encode(), None, 1 << 20) for r in items]
-    found = scan.hits(I.chunks(I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text")), specs)
-    by = specs_frame(spark, specs).select("spec_idx", F.col("suffix").cast("long").alias("item_id"))
-    return found.groupBy("spec_idx").agg(F.count("*").alias("n_hits")).join(F.broadcast(by), "spec_idx").select("item_id", "n_hits")
+    """The first 16 characters of every benchmark item, as the SQL has it, searched for in all documents at once; item_hits has whole items."""
+    return _item_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").where("length(text) >= 16").withColumn("text", F.expr("left(text, 16)")))
+
+
+@query("""select b.item_id, sum((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::bigint as n_hits
+from benchmark b join documents d on contains(d.text, b.text) where length(b.text) > 0 group by b.item_id""")
+def item_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item, whole, searched for in all documents at once."""
+    return _item_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _item_hits(docs: DataFrame, items: DataFrame, chars: int = scan.PATTERN_CHARS) -> DataFrame:
+    """item_id and n_hits of the items whose whole text stands in documents."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("pattern"))
+    return items.join(scan.occurrences(docs, items, chars), "pattern").groupBy("item_id").agg(F.sum("n_hits").alias("n_hits"))
 
 
 @query("""with h as (select doc_id, hex(encode(text)) as h from documents where text is not null)
