@@ -265,7 +265,8 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     nodes = stash(some.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
 
     # Leaders within batches go to the first table's ties at once; one row for each bucket and batch is shuffled.
-    local = some.select("node", "keys").mapInArrow(_by_batch, "key long, node long, leader long")
+    # Rows without doc_id are links of nothing: as leaders, they would keep the others of their buckets apart.
+    local = some.where("doc_id is not null").select("node", "keys").mapInArrow(_by_batch, "key long, node long, leader long")
     tied = local.where("node = leader").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_over_batches, "key long, node long, leader long")
     ties = stash(local.where("node <> leader").unionAll(tied), "ties")
     release(spark)

@@ -12,7 +12,7 @@ import pytest
 from bytelode.llm import jaccard, queries, suffixes
 from bytelode.llm.components import components
 from tests.duck import connect, same
-from tests.llm.data import empty, table, texts
+from tests.llm.data import empty, sentence, table, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +51,18 @@ def test_join(spark, words: int, percent: int) -> None:
     assert sorted(map(tuple, jaccard.join(table(spark, rows), words, percent).collect())) == wanted
 
 
+def test_join_beside_rows_without_id(spark) -> None:
+    draw, rows, wanted = random.Random(9), [], []
+    for group in range(12):  # the text without id stands between two others: it shares every bucket that they share, and leads some
+        base = sentence(draw, 120).split()
+        near = [" ".join([*base[:k], "x" + base[k], *base[k + 1 :]]) for k in (30, 90)]
+        assert len({*linked([shingle_set(t, 5) for t in near], 80)}) == 1
+        rows += [(None, " ".join(base)), (2 * group, near[0]), (2 * group + 1, near[1])]
+        wanted += [(2 * group, 2 * group), (2 * group + 1, 2 * group)]
+    found = [(r.doc_id, r.component_id) for r in jaccard.join(table(spark, rows), 5, 80).collect()]
+    assert sorted(x for x in found if x[0] is not None) == wanted and found.count((None, None)) == 12
+
+
 def test_join_sql(spark) -> None:
     same(queries.QUERIES["op1_jaccard_join"](spark, SF), connect(SF).sql(queries.ORACLES["op1_jaccard_join"]).df())
 
