@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+#: Rows of a segment that are gathered as one array; longer ones are resolved by joins.
+LONGEST = 10_000
+
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _kept(pos: pd.Series, advance: pd.Series) -> pd.Series:
@@ -24,7 +30,7 @@ def _kept(pos: pd.Series, advance: pd.Series) -> pd.Series:
 def greedy(df: DataFrame, keys: list[str], pos: str, advance: str) -> DataFrame:
     """Per key, in order of pos: keep a row unless an earlier kept one reaches past it. Equal positions: the row of least other columns first.
 
-    A group is gathered as one array, so its rows should be few and light: here the hits of one spec in one chunk.
+    A group is gathered as one array, so its rows should be few and light: here the hits of one spec in one chunk. greedy_any has no such bound.
     """
     rest = [c for c in df.columns if c not in keys and c not in (pos, advance)]
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, advance, *rest))).alias("rows"))
@@ -33,6 +39,72 @@ def greedy(df: DataFrame, keys: list[str], pos: str, advance: str) -> DataFrame:
     return one.select(*keys, *(F.col(f"r.{c}").alias(c) for c in (pos, advance, *rest)))
 
 
+def _stash(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that row numbers and partitions stay what they were."""
+    at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bytelode-")
+    at = f"{at.rstrip('/')}/select-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _idx, which ascends with order, and _part, the range of the sort a row is in; no range is a whole key's by need."""
+    return _stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_idx", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_idx", 33)))
+
+
+def _running(df: DataFrame, keys: list[str], value: Column, name: str, last: int = 0, down: bool = False) -> DataFrame:
+    """df with the greatest value of a key's rows up to here (last = -1: before here), or from the end down to here the least: within ranges, then over them."""
+    best, turn = (F.min, F.desc) if down else (F.max, F.asc)
+    df = df.withColumn("_value", value)
+    over = Window.partitionBy(*keys).orderBy(turn("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(*keys, "_part").agg(best("_value").alias("_value")).withColumn("_base", best("_value").over(over)).where("_base is not null")
+    base = base.select(*(F.col(c).alias(f"_of_{n}") for n, c in enumerate(keys)), F.col("_part").alias("_of_part"), "_base")
+    here = Window.partitionBy(*keys, "_part").orderBy(turn("_idx")).rowsBetween(Window.unboundedPreceding, last)
+    same = F.col("_part") == F.col("_of_part")
+    for n, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{n}"))
+    both = (F.least if down else F.greatest)(F.col("_local"), F.col("_base"))
+    out = df.withColumn("_local", best("_value").over(here)).join(base, same, "left").withColumn(name, both)
+    return out.select(*(c for c in df.columns if c != "_value"), name)
+
+
+def _chains(rows: DataFrame) -> DataFrame:
+    """_idx of the kept rows of long segments (_seg, _idx, _at, _end): pointers to the next row to keep, doubled until they leave."""
+    whole = F.col("_end") > F.col("_at")
+    probes = rows.select("_seg", F.when(whole, F.col("_end")).otherwise(F.col("_at")).alias("_at"), F.when(whole, 0).otherwise(1).alias("_tag"), F.col("_idx").alias("_row"), F.lit(1).alias("_sub"))
+    both = rows.select("_seg", "_at", F.lit(1).alias("_tag"), F.col("_idx").alias("_row"), F.lit(0).alias("_sub")).unionAll(probes)
+    after = _running(_sorted(both, ["_seg", "_at", "_tag", "_row", "_sub"]), ["_seg"], F.expr("if(_sub = 0, _row, null)"), "_next", -1, True)
+    jumps = [_stash(after.where("_sub = 1 and _next is not null").select("_row", "_next"))]
+    while not jumps[-1].isEmpty():
+        then = jumps[-1].select(F.col("_row").alias("_next"), F.col("_next").alias("_then"))
+        jumps.append(_stash(jumps[-1].join(then, "_next").select("_row", F.col("_then").alias("_next"))))
+    kept = rows.where("_idx = _seg").select("_idx")
+    for jump in reversed(jumps[:-1]):
+        kept = _stash(kept.unionAll(kept.join(jump, F.col("_idx") == F.col("_row")).select(F.col("_next").alias("_idx"))))
+    return kept
+
+
+def greedy_any(df: DataFrame, keys: list[str], pos: str, advance: str, longest: int = LONGEST) -> DataFrame:
+    """As greedy, for keys of any number of rows.
+
+    A row that starts at or after every earlier end is kept whatever came before, so each key falls into independent
+    segments. Those of up to `longest` rows are gathered, others resolved by joins; only positions and row numbers take part.
+    """
+    names = df.columns
+    rest = [c for c in names if c not in keys and c not in (pos, advance)]
+    rows = _sorted(df, [*keys, pos, advance, *rest]).withColumn("_end", F.col(pos) + F.greatest(F.col(advance), F.lit(0)))
+    rows = _running(rows, keys, F.col("_end"), "_before", -1)
+    rows = _stash(rows.withColumn("_start", F.coalesce(F.col(pos) >= F.col("_before"), F.lit(True))))
+    rows = _stash(_running(rows, keys, F.expr("if(_start, _idx, null)"), "_seg"))
+    sizes = _stash(rows.groupBy("_seg").count().where(F.col("count") > longest).select("_seg"))
+    if sizes.isEmpty():
+        return greedy(rows.select(*names, "_seg"), [*keys, "_seg"], pos, advance).select(*names)
+    short = greedy(rows.join(sizes, "_seg", "left_anti").select(*names, "_seg"), [*keys, "_seg"], pos, advance).select(*names)
+    long = rows.join(sizes, "_seg", "left_semi")
+    kept = _chains(_stash(long.select("_seg", "_idx", F.col(pos).alias("_at"), "_end")))
+    return short.unionAll(long.join(kept, "_idx", "left_semi").select(*names))
+
+
 def advance(file_type: Column, size: Column, header_len: Column) -> Column:
     """How far the search moves on: JPEGs only by their header, since they may hold thumbnails."""
     return F.when(file_type.isin("jpeg", "vjpeg") | (size <= 0), header_len.cast("long")).otherwise(size)

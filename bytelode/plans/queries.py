@@ -198,7 +198,7 @@ def greedy_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as intervals: of each user, those that start where the last kept one has ended."""
     e = _table(spark, sf_dir, "events").where("user_id is not null and ts is not null and value is not null")
     e = e.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("pos"), F.floor("value").cast("long").alias("len"))
-    return select.greedy(e, ["user_id"], "pos", "len").select("user_id", "event_id", "pos")
+    return select.greedy_any(e, ["user_id"], "pos", "len").select("user_id", "event_id", "pos")
 
 
 # ---- synthesised binary files: (bytes, endianness, arithmetic) or constant hex ----
