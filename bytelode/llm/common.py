@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at once; a longer text is one piece of its own.
 PIECE_BYTES = 1 << 20
-#: Rows of an Arrow batch while a scratch table is written: whole texts and long lists of keys travel in them.
-STASH_ROWS = 2_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's own setting that lets the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_made: ContextVar[list[str] | None] = ContextVar("scratch tables of the step", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,24 +36,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: what follows survives lost executors without recomputing df."""
+    """Write df to the shared folder and read it back: what follows survives lost executors without recomputing df.
+
+    The shuffle files of the write go when it ends, as the table replaces them. The setting that says so is put back
+    afterwards; a query of another thread that runs meanwhile loses files that it may make again, never a result.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), STASH_ROWS)) if int(before) > 0 else str(STASH_ROWS))
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(at)
     finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(at)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(at)
+    _at[out] = at
+    if (made := _made.get()) is not None:
+        made.append(at)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more; other DataFrames are let alone."""
+    for table in tables:
+        if at := _at.pop(table, None):
+            delete(table.sparkSession, [at])
+
+
+def standing_for(view: DataFrame, table: DataFrame) -> DataFrame:
+    """From now on, discarding view deletes the scratch table that it reads."""
+    _at[view] = _at.pop(table)
+    return view
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished, no longer referenced steps."""
-    for _ in range(2):  # Python lets go of Java's objects first, then Java of the shuffles that they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of scratch tables; those already gone are passed over."""
+    for at in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Gather the folders of all scratch tables that are made inside, for their owner to delete."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 def held_out(doc_id: Column) -> Column:

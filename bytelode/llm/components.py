@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stash
-
-_MOST_ROUNDS = 100
+from .common import discard, standing_for, stash
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,24 +22,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return lower.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    n, total = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-    return n, total or 0
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b) but the roots themselves; the root is the least node."""
-    spark = edges.sparkSession
+    """(node, root) for every node of the undirected edges (a, b) but the roots themselves; the root is the least node.
+
+    Rounds go on until one changes no edge: as many edges as before, and none of them new. The result is a scratch table.
+    """
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = _state(now)
-    for _ in range(_MOST_ROUNDS):
-        if not state[0]:
-            break
-        now = stash(_small(_large(now)), "edges")
-        before, state = state, _state(now)
-        release(spark)
-        if state == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    n, settled = now.count(), False
+    while n and not settled:
+        before, m = now, n
+        now = stash(_small(_large(before)), "edges")
+        n = now.count()
+        settled = n == m and not now.join(before, ["a", "b"], "left_anti").limit(1).count()
+        discard(before)
+    return standing_for(now.select(F.col("a").alias("node"), F.col("b").alias("root")), now)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 0xD6E8FEB86659FD93
-_INVERSE = pow(_STEP, -1, 1 << 64)
+#: Byte ranges up to this long are hashed in lanes of 8 bytes, longer ones by BLAKE2b.
+LANED = 512
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,32 +23,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """step**i and step**-i modulo 2**64 for i < n."""
-    up, down = np.full(n, _STEP, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(16, int(n).bit_length()))
-    return up[:n], down[:n]
-
-
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, from which `spans` takes the hash of any byte range."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=out[1:])
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes that start at each place, as one integer; zeros follow the end. A view, not a copy of each."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges start..end, equal for equal bytes wherever they stand.
+
+    Every lane passes through `mix`, which is not linear, so that no regular structure of the bytes makes hashes agree.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * _ODD + np.uint64(1))
+    at = lanes(data)
+    alive = np.flatnonzero((size > 0) & (size <= LANED))
+    k = 0
+    while len(alive):
+        lane = at[start[alive] + k] & _LOW[np.minimum(size[alive] - k, 8)]
+        out[alive] = mix((out[alive] ^ mix(lane + np.uint64(k))) * _ODD + np.uint64(1))
+        k += 8
+        alive = alive[size[alive] > k]
+    for j in np.flatnonzero(size > LANED):
+        out[j] = int.from_bytes(hashlib.blake2b(data[start[j] : end[j]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges start..end, equal for equal bytes wherever they stand."""
-    down = powers(len(sums))[1]
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
-
-
 def counts(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How often mask holds within each of the ranges at[i]..at[i+1]."""
     total = np.zeros(len(mask) + 1, np.int64)
@@ -112,8 +112,7 @@ def text_stats(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Counts for each text: words, code points, symbols, repeated lines, words in repeated 3-word windows and so on."""
     n = len(at) - 1
     start, end, first = words(data, at)
-    sums = prefix(data)
-    hashes = spans(sums, start, end)
+    hashes = spans(data, start, end)
     owner = owners(first)
     out = {"n_words": np.diff(first), "n_bytes": np.diff(at)}
     lead = (data & 0xC0) != 0x80
@@ -133,7 +132,7 @@ def text_stats(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     has_word = np.diff(np.searchsorted(start, edges)) > 0
     lo, hi = lo[has_word], hi[has_word]
     line_owner = np.searchsorted(at, lo, "right") - 1
-    seen, _ = distinct(line_owner, spans(sums, lo, hi)) if len(lo) else (np.zeros(0, np.int64), None)
+    seen, _ = distinct(line_owner, spans(data, lo, hi)) if len(lo) else (np.zeros(0, np.int64), None)
     out["n_lines"] = np.bincount(line_owner, minlength=n)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(seen, minlength=n)
 
