@@ -35,11 +35,14 @@ from .components import components
 #: Ratio of the largest to the least size of a band.
 BAND = 1.5
 #: Elements for each word of 64 bits of the second sketch, and its least words.
-SPARSE, LEAST_WORDS = 64, 4
+SPARSE, LEAST_WORDS = 16, 16
 #: Further leaders that the members of a bucket with a failed tie are held against before all its pairs are.
 LEADERS = 4
 #: Keys that a task sorts at once, and rows that it sends on at once.
 _KEYS, _SENT = 1 << 19, 1 << 16
+#: More than the bands there are: a key's low bits say which band it is of.
+_BANDS = 64
+_TIE = "key long, node long, leader long, spare int"
 
 
 class Bands:
@@ -127,8 +130,13 @@ def sketches(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return words.view(np.int64), at
 
 
-def blocks(owner: np.ndarray, value: np.ndarray, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the blocks of n sets, one after the other, and n + 1 offsets."""
+def blocks(owner: np.ndarray, value: np.ndarray, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the blocks of n sets, one after the other, whose low bits are the band, and n + 1 offsets; then, for
+    each set and band that it enters, the set, the band and how many keys it can spare.
+
+    A set that fills f blocks, more than the d that may differ, shares at least f - d of its keys with any similar one.
+    So of all sets' keys, put in one order, the last f - d - 1 of each set may be left out: what is left still meets.
+    """
     size = np.bincount(owner, minlength=n)
     at = np.searchsorted(owner, np.arange(n + 1))
     low, high = np.searchsorted(bands.most, size), np.searchsorted(bands.least, size, "right")
@@ -147,11 +155,13 @@ def blocks(owner: np.ndarray, value: np.ndarray, n: int, bands: Bands) -> tuple[
     np.bitwise_xor.at(content, base[of] + block, kernels.mix(h ^ np.uint64(5)))
     filled[base[of] + block] = True
     entry = np.repeat(np.arange(len(text)), count)
-    enough = np.bincount(entry, filled, len(text)) > np.array(bands.may_differ)[band] if len(band) else np.zeros(0, bool)
+    over = np.bincount(entry, filled, len(text)).astype(np.int64) - np.array(bands.may_differ)[band] if len(band) else np.zeros(0, np.int64)
+    enough = over > 0
     number = np.arange(len(content)) - base[entry]
     key = kernels.mix(kernels.mix(content + filled.astype(np.uint64)) + number.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + band[entry].astype(np.uint64))
+    key = key & ~np.uint64(_BANDS - 1) | band[entry].astype(np.uint64)
     emit = filled | ~enough[entry]
-    return key[emit].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(text[entry[emit]], minlength=n))])
+    return key[emit].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(text[entry[emit]], minlength=n))]), text, band, np.maximum(over - 1, 0)
 
 
 def _describe(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -166,6 +176,11 @@ def _describe(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _ties(key: pa.Array, node: pa.Array, leader: pa.Array | None = None, spare: pa.Array | None = None) -> pa.RecordBatch:
+    none = lambda kind: pa.nulls(len(key), kind)
+    return pa.RecordBatch.from_arrays([key, node, none(pa.int64()) if leader is None else leader, none(pa.int32()) if spare is None else spare], ["key", "node", "leader", "spare"])
+
+
 def _led(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of each bucket one row without a leader; for its other members rows with the leader they are tied to."""
     order = np.lexsort((node, key))
@@ -175,13 +190,16 @@ def _led(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(key), bool)
     again[1:] = ~new[1:] & (node[1:] == node[:-1])
     leader = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else node
-    rows = pa.RecordBatch.from_arrays([pa.array(key[~again]), pa.array(node[~again]), pa.array(leader[~again], mask=new[~again])], ["key", "node", "leader"])
+    rows = _ties(pa.array(key[~again]), pa.array(node[~again]), pa.array(leader[~again], mask=new[~again]))
     for lo in range(0, rows.num_rows, _SENT):
         yield rows.slice(lo, _SENT)
 
 
 def _by_batch(words: int, bands: Bands) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Buckets' members, tied to leaders among some hundred texts at a time; a set that the task has met before is left out."""
+    """Buckets' members, tied to leaders among some hundred texts at a time; a set that the task has met before is left out.
+
+    Rows with `spare` say for a node and a band (as key) how many keys it can spare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, np.int64)
@@ -196,7 +214,8 @@ def _by_batch(words: int, bands: Bands) -> Callable[[Iterator[pa.RecordBatch]],
                 met = np.union1d(met, name[first])
                 some = first[owner]
                 place = np.cumsum(first) - 1
-                keys, cut = blocks(place[owner[some]], value[some], int(first.sum()), bands)
+                keys, cut, of, band, spare = blocks(place[owner[some]], value[some], int(first.sum()), bands)
+                yield _ties(pa.array(band.astype(np.int64)), pa.array(name[first][of]), None, pa.array(spare.astype(np.int32)))
                 held.append((keys, np.repeat(name[first], np.diff(cut))))
                 if sum(len(k) for k, _ in held) >= _KEYS:
                     yield from _led(*map(np.concatenate, zip(*held, strict=True)))
@@ -211,8 +230,9 @@ def _over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """From rows sorted by key and node, ties of all nodes without a leader to the first of their bucket; only that one is remembered."""
     key_before, leader_before = None, 0
     for batch in batches:
-        free = batch.column("leader").is_null()
-        yield batch.filter(batch.column("leader").is_valid())
+        done = np.asarray(batch.column("leader").is_valid()) | np.asarray(batch.column("spare").is_valid())
+        yield batch.filter(pa.array(done))
+        free = pa.array(~done)
         key, node = (np.asarray(batch.column(k).filter(free)) for k in ("key", "node"))
         if not len(key):
             continue
@@ -223,7 +243,7 @@ def _over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             leader = np.where(key == key[0], leader_before, leader)
         key_before, leader_before = key[-1], leader[-1]
         tied = node != leader
-        yield pa.RecordBatch.from_arrays([pa.array(key[tied]), pa.array(node[tied]), pa.array(leader[tied])], ["key", "node", "leader"])
+        yield _ties(pa.array(key[tied]), pa.array(node[tied]), pa.array(leader[tied]))
 
 
 def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -308,9 +328,11 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
 
     # Rows without doc_id are links of nothing: as leaders, they would keep the others of their buckets apart.
     # Those that are tied already need not meet the rest of their bucket, so they are dealt out evenly.
-    local = docs.where("doc_id is not null").mapInArrow(_by_batch(words, bands), "key long, node long, leader long")
-    dealt = local.repartition(F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node")))
-    ties = stash(dealt.sortWithinPartitions("key", "node").mapInArrow(_over_batches, "key long, node long, leader long"), "ties")
+    local = docs.where("doc_id is not null").mapInArrow(_by_batch(words, bands), _TIE)
+    dealt = local.repartition(F.when(F.col("leader").isNull() & F.col("spare").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node")))
+    tied = stash(dealt.sortWithinPartitions("key", "node").mapInArrow(_over_batches, _TIE), "ties")
+    ties = tied.where("spare is null").select("key", "node", "leader")
+    spare = tied.where("spare > 0").groupBy("node", F.col("key").alias("band")).agg(F.max("spare").alias("spare"))
 
     pairs = stash(ties.groupBy("node", "leader").agg(F.count("*").alias("shared")), "pairs")
     best = pairs.groupBy("node").agg(F.max_by("leader", F.struct("shared", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
@@ -322,8 +344,15 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     apart = _rooted(_rooted(pairs, roots), roots, "leader", "other").where("root <> other").select("node", "leader")
     doubtful = ties.join(apart, ["node", "leader"]).select("key").distinct()
     members = ties.join(doubtful, "key")
-    members = stash(members.select("key", "node").unionAll(members.select("key", "leader")).distinct(), "members")
-    discard(ties, pairs)
+    members = members.select("key", "node").unionAll(members.select("key", "leader")).distinct().withColumn("band", F.col("key").bitwiseAND(F.lit(_BANDS - 1)))
+    # Two sets that are not in one component yet share doubtful buckets only. Of those each set spares the largest: what
+    # many unlike sets have in common, a passage or a phrase, fills a few blocks of each and so brings few of them together.
+    members = stash(members, "members")
+    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    largest = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("size"), "key"))
+    ranked = members.join(size, "key").withColumn("k", largest).join(spare, ["node", "band"], "left")
+    every, members = members, stash(ranked.where("k > coalesce(spare, 0)").select("key", "node"), "members")
+    discard(tied, pairs, every)
     for last in (False, True):
         if not members.limit(1).count():
             break

@@ -136,3 +136,52 @@ def test_suffix_dedup_keeps_columns(spark) -> None:
     left = {r.doc_id: r.text for r in out.collect()}
     assert left[3] == "short" and left[4] is None and left[2] == "ö" + "y" * 10 and set(left[1]) <= {"ä", "x"}
     assert suffixes.report(empty(spark)).count() == 0
+
+
+def test_representatives_of_repeated_ids(spark) -> None:
+    draw = random.Random(5)
+    one, other, third = (sentence(draw, 60) for _ in range(3))
+    rows = [(0, one), (1, one), (1, other), (1, other), (2, third), (3, third.upper()), (4, None), (4, ""), (None, one)]
+    kept = jaccard.representatives(table(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(0, one), (1, other), (2, third), (4, None), (4, ""), (None, one)], key=str)
+
+
+def test_structured_words_stay_apart(spark) -> None:
+    """Words that a polynomial hash modulo a power of two cannot tell apart: a sequence and its complement."""
+    bits = [k.bit_count() % 2 for k in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    out = jaccard.join(table(spark, [(1, a), (2, b), (3, a)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_spared_keys_leave_every_similar_pair_a_bucket() -> None:
+    """Whatever the order of keys, two similar sets meet in one that neither spares."""
+    import numpy as np
+
+    bands, draw = jaccard.Bands(80), np.random.default_rng(3)
+    for _ in range(200):
+        base = draw.integers(1, 1 << 62, int(draw.integers(30, 200)), dtype=np.uint64)
+        other = base.copy()
+        other[: max(1, len(base) // 10)] += np.uint64(1)  # of 1.1 n elements 0.9 n are common
+        value = np.concatenate([np.unique(base), np.unique(other)])
+        owner = np.repeat([0, 1], [len(np.unique(base)), len(np.unique(other))])
+        keys, at, of, band, spare = jaccard.blocks(owner, value, 2, bands)
+        left = []
+        for who in (0, 1):
+            mine = keys[at[who] : at[who + 1]]
+            keep: set[int] = set()
+            for b, n in zip(band[of == who], spare[of == who], strict=True):
+                keep |= set(sorted(mine[mine & 63 == b].tolist())[int(n) :])
+            left.append(keep)
+        assert left[0] & left[1]
+
+
+def test_anchors_do_not_depend_on_their_piece() -> None:
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    passage, before = draw.integers(97, 101, 400).astype(np.uint8), draw.integers(97, 101, 70_000).astype(np.uint8)
+    alone = suffixes.anchors(passage, np.array([0, 400]))
+    with_more = suffixes.anchors(np.concatenate([before, passage]), np.array([0, 70_000, 70_400]))
+    mine = with_more["text"] == 1
+    assert [alone[k].tolist() for k in ("place", "bucket", "kind", "low", "high")] == [with_more[k][mine].tolist() for k in ("place", "bucket", "kind", "low", "high")]
