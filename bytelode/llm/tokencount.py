@@ -8,6 +8,8 @@ stretches) carries the number of documents so far and the place of the last sepa
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +17,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import stash
+from .common import discard, stash
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The id that ends a document: free in this vocabulary.
@@ -35,6 +38,24 @@ def encoding(path: str = RANKS):  # noqa: ANN201
     return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of so much white space are taken out of the tokeniser's pattern, which goes back over them step by step.
+LONG_RUN = 10_000
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def encode(coder, text: str, long: int = LONG_RUN) -> np.ndarray:  # noqa: ANN001
+    """The ids of a text, as the library gives them, however long its runs of white space are.
+
+    Of a run of white space all but the last character are one piece under the pattern, or the whole run at the text's end.
+    """
+    out, start = [], 0
+    for run in re.finditer(f"{_WHITE}{{{long},}}", text):
+        stop = run.end() - (run.end() < len(text))
+        out += [coder.encode_to_numpy(text[start : run.start()]), np.array(coder._encode_single_piece(text[run.start() : stop].encode("utf-8", "surrogatepass")), np.uint32)]
+        start = stop
+    return np.concatenate([*out, coder.encode_to_numpy(text[start:])])
+
+
 def _write(path: str, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, file_id = encoding(path), TaskContext.get().partitionId()
@@ -50,7 +71,7 @@ def _write(path: str, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
         for batch in batches:
             for text in batch.column("text"):
-                ids = coder.encode_to_numpy(text.as_py() or "").astype("<u2")
+                ids = encode(coder, text.as_py() or "").astype("<u2")
                 rest.append(np.append(ids, np.uint16(END)))
                 held += len(ids) + 1
                 if held >= 16 * block:
@@ -75,25 +96,48 @@ def flat_files(docs: DataFrame, path: str = RANKS, block: int = BLOCK) -> tuple[
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_write(path, block), _FILE)
     files = stash(rows, "tokens")
+    return _parts(files)
+
+
+def _parts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where("block_no is not null").select("file_id", "block_no", "payload"), files.where("doc_no is not null").select("file_id", "doc_no", "doc_id")
 
 
-def _split(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 2 * block
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_buffer()
-                for lo in range(0, data.size, size * 64):
-                    parts = [data.slice(a, min(size, data.size - a)).to_pybytes() for a in range(lo, min(lo + size * 64, data.size), size)]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(parts)), pa.array(range(lo // size, lo // size + len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["file_id", "block_no", "payload"])
+class _FileBlocks(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.paths, self.size, self.many = options["path"].split("\n"), 2 * int(options["block"]), 64
 
-    return run
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((p, lo)) for p in self.paths for lo in range(0, os.path.getsize(p), self.size * self.many)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        path, lo = partition.value
+        with open(path, "rb") as f:
+            f.seek(lo)
+            for k in range(lo // self.size, lo // self.size + self.many):
+                if part := f.read(self.size):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], ["file_id", "block_no", "payload"])
+
+
+class FileBlocks(DataSource):
+    """format("token_blocks"): runs of blocks of flat files of any size, on paths that all executors can open."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "token_blocks"
+
+    def schema(self) -> str:
+        return "file_id string, block_no long, payload binary"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return _FileBlocks(self.options)
 
 
 def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of existing flat files of 16-bit ids (each up to 2 GB, as Spark reads binary files whole)."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_split(block), "file_id string, block_no long, payload binary")
+    """Blocks of the existing flat files of 16-bit ids in a folder, of any size; the folder is mounted on every executor."""
+    spark.dataSource.register(FileBlocks)
+    paths = [p for n in sorted(os.listdir(path)) if os.path.isfile(p := os.path.join(path, n))]
+    return spark.read.format("token_blocks").option("block", block).load("\n".join(paths))
 
 
 def _ends(end: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -141,5 +185,10 @@ def count(docs: DataFrame, path: str = RANKS, block: int = BLOCK) -> DataFrame:
 
     Null and empty texts count 0 tokens; repeated rows and null ids are documents like others; an empty table gives none.
     """
-    blocks, written = flat_files(docs, path, block)
-    return scan(blocks, END, block).join(written, ["file_id", "doc_no"]).select("doc_id", "file_id", "doc_no", "start", "n_tokens")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_write(path, block), _FILE)
+    files = stash(rows, "tokens")
+    blocks, written = _parts(files)
+    out = scan(blocks, END, block).join(written, ["file_id", "doc_no"]).select("doc_id", "file_id", "doc_no", "start", "n_tokens")
+    out = stash(out, "counts")
+    discard(files)
+    return out
