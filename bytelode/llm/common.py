@@ -93,10 +93,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows, the same ones for the same data: those with the least hash of the key."""
+    """At most `rows` rows, the same ones for the same data: those with the least hash of the key, which should not repeat."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def one_text(docs: DataFrame, sample: DataFrame, *columns: str) -> DataFrame:
+    """text and the given columns of a bounded sample of distinct doc_ids: of texts that share a doc_id the one of least hash."""
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min_by(F.struct("text", *columns), F.struct(F.xxhash64("text"), "text")).alias("z"))
+    return rows.select("z.text", *(F.col(f"z.{c}") for c in columns))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets, null mask) of an Arrow text or binary column; nulls are empty."""
     nulls = np.asarray(column.is_null())

@@ -12,15 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded_sample, held_out, pieces
+from .common import held_out, one_text, pieces
 
-#: Documents that the classifiers learn from, languages, and hashed n-gram features, at most.
-TRAIN_ROWS, LANGUAGES, WIDTH = 4_000, 256, 2_048
-BITS = 24
+#: Documents that the classifiers learn from, about (every language has its share, and LEAST at least), and hashed n-gram features.
+TRAIN_ROWS, LEAST, WIDTH = 4_000, 40, 2_048
+#: Bits of a codeword, and further ones for each doubling of the number of languages beyond 16.
+BITS, MORE_BITS = 24, 8
 UNKNOWN = "und"
 #: Decisions whose best score is below this are flagged as ambiguous.
 CLEAR = 0.8
@@ -48,13 +49,18 @@ def ngrams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def codebook(classes: int, bits: int = BITS) -> np.ndarray:
+def bits_for(classes: int) -> int:
+    return BITS + MORE_BITS * max(0, (classes - 1).bit_length() - 4)
+
+
+def codebook(classes: int, bits: int | None = None) -> np.ndarray:
     """Codewords of +1 and -1, from seeded candidates the one farthest from those taken, each bit splitting the classes."""
+    bits = bits or bits_for(classes)
     draw = np.random.default_rng(7)
     words = np.where(np.arange(bits) % 2, 1, -1)[None]
     while len(words) < classes:
         candidates = draw.choice([-1, 1], (512, bits))
-        distance = np.min((candidates[:, None] != words[None]).sum(2), 1)
+        distance = np.min((bits - candidates @ words.T) / 2, 1)
         words = np.vstack([words, candidates[np.argmax(distance)]])
     return words.astype(np.float64)
 
@@ -77,7 +83,8 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150, rate: float = 0.05) -> Model:
     """All bits at once: logistic loss, Adam over the whole sample."""
     code = codebook(len(languages))
-    w, b = np.zeros((WIDTH, BITS), np.float32), np.zeros(BITS, np.float32)
+    bits = code.shape[1]
+    w, b = np.zeros((WIDTH, bits), np.float32), np.zeros(bits, np.float32)
     if len(y):
         target = ((code[y] + 1) / 2).astype(np.float32)
         m, v = np.zeros_like(w), np.zeros_like(w)
@@ -97,19 +104,22 @@ def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, languages: int = LANGUAGES) -> Model:
-    """Learn from text and lang of at most `rows` documents outside the held-out remainder, those with the least hash of doc_id.
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Learn every language from text and lang outside the held-out remainder.
 
-    Null texts and langs teach nothing. The commonest `languages` langs are learned.
+    The sample is bounded by the number of languages: of each one the rows / languages documents, LEAST or more, with the
+    least hash of doc_id. Null texts and langs teach nothing; a doc_id with several langs counts as the least of them.
     """
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    common = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    sample = bounded_sample(known.where(F.col("lang").isin(common)).select("doc_id"), "doc_id", rows)
-    got = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang").join(F.broadcast(sample.distinct()), "doc_id").select("text", "lang").mapInArrow(_train_features, "lang string, x binary").toPandas()
-    got = got[got["lang"].isin(common)].sort_values(["lang", "x"])
+    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    languages = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
+    each = max(rows // max(len(languages), 1), LEAST)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = ids.withColumn("k", rank).where(F.col("k") <= each).select("doc_id", "lang")
+    got = one_text(docs.where("text is not null").select("doc_id", "text"), sample, "lang").mapInArrow(_train_features, "lang string, x binary").toPandas().sort_values(["lang", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    place = {name: k for k, name in enumerate(common)}
-    return fit(x, got["lang"].map(place).to_numpy(np.int64), common or [UNKNOWN])
+    place = {name: k for k, name in enumerate(languages)}
+    return fit(x, got["lang"].map(place).to_numpy(np.int64), languages or [UNKNOWN])
 
 
 def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:

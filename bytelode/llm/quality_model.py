@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt, kernels
-from .common import bounded_sample, held_out, pieces
+from .common import bounded_sample, held_out, one_text, pieces
 
 #: Labelled rows that a model learns from, at most.
 TRAIN_ROWS = 20_000
@@ -37,13 +37,13 @@ def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> gbt.Trees:
     """Learn from at most `rows` labelled documents outside the held-out remainder; labels of null are no labels.
 
-    Several labels of one document count as the least of them. The sample is the part with the least hash of doc_id,
-    so its size is bounded and it can be broadcast.
+    Several labels of one document count as the least of them, and of several texts of one doc_id the one of least hash
+    counts. The sample is the part with the least hash of doc_id, so its size is bounded and it can be broadcast.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = bounded_sample(known, "doc_id", rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality").mapInArrow(_train_features, "x array<double>, quality int").toPandas()
+    got = one_text(docs, sample, "quality").mapInArrow(_train_features, "x array<double>, quality int").toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, 1))
     order = np.lexsort(np.column_stack([x, got["quality"].to_numpy()]).T) if len(got) else np.zeros(0, int)  # the same model whatever the partitions
     return gbt.fit(x[order], got["quality"].to_numpy(float)[order])
