@@ -14,8 +14,8 @@ from .common import bounded_sample, pieces
 
 #: verdict, then host and path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Labelled urls that the trees learn from, and suffixes whose share of allowed urls is kept, at most.
-TRAIN_ROWS, SUFFIXES = 20_000, 1_000
+#: Labelled urls that the trees learn from, at most, and hash buckets into which all suffixes fall.
+TRAIN_ROWS, SUFFIXES = 20_000, 1 << 16
 _HOST_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -52,14 +52,10 @@ def _suffix(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*)$", 1)
 
 
-def _shares(batch: pa.RecordBatch, share: dict[str, float], prior: float) -> np.ndarray:
-    return np.array([share.get(s, prior) for s in batch.column("suffix").to_pylist()])
-
-
-def _features(share: dict[str, float], prior: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _features(shares: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = _shares(batch, share, prior)
+            known = shares[np.asarray(batch.column("suffix"))]
             for lo, hi, data, at in pieces(batch.column("url")):
                 x = lexical(data, at, known[lo:hi])
                 rows = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
@@ -68,10 +64,10 @@ def _features(share: dict[str, float], prior: float) -> Callable[[Iterator[pa.Re
     return run
 
 
-def _scorer(trees: gbt.Trees, share: dict[str, float], prior: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(trees: gbt.Trees, shares: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = _shares(batch, share, prior)
+            known = shares[np.asarray(batch.column("suffix"))]
             found = [trees.score(lexical(data, at, known[lo:hi])) for lo, hi, data, at in pieces(batch.column("url"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("page_id", "host", "path", "rule", "ruled")), pa.array(np.concatenate(found) if found else np.zeros(0))], ["page_id", "host", "path", "rule", "ruled", "score"])
 
@@ -81,21 +77,23 @@ def _scorer(trees: gbt.Trees, share: dict[str, float], prior: float) -> Callable
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' belief in allow) for each row of pages.
 
-    The urls that a rule decides are the labelled ones: the trees learn on at most `rows` of them, by least hash of the
-    url, and judge the rest: allow from a score of 0.5 on. Null urls and urls without :// have an empty host and path and
+    The urls that a rule decides are the labelled ones: the trees learn on at most `rows` different ones, by least hash of
+    the url, and judge the rest: allow from a score of 0.5 on. Null urls and urls without :// have an empty host and path and
     no rule. Repeated rows are judged alike. Without labelled urls the score is 0.5 and the verdict allow.
     """
     named = pages.select(F.col("page_id").cast("long"), "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    named = named.select("*", name.alias("rule"), verdict.alias("ruled"), _suffix(F.col("host")).alias("suffix"))
+    suffix = F.pmod(F.xxhash64(_suffix(F.col("host"))), F.lit(SUFFIXES)).cast("int")
+    named = named.select("*", name.alias("rule"), verdict.alias("ruled"), suffix.alias("suffix"))
     labelled = named.where("ruled is not null").select("url", "suffix", (F.col("ruled") == "allow").cast("int").alias("allow"))
-    by_suffix = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("allow").alias("allowed")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    n, allowed = sum(r["n"] for r in by_suffix), sum(r["allowed"] for r in by_suffix)
-    prior = (allowed + 1) / (n + 2)
-    share = {r["suffix"]: (r["allowed"] + 10 * prior) / (r["n"] + 10) for r in by_suffix}
-    got = bounded_sample(labelled, "url", rows).mapInArrow(_features(share, prior), "x array<double>, allow int").toPandas()
+    n, allowed = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
+    for at, rows_of, allowed_of in labelled.groupBy("suffix").agg(F.count("*"), F.sum("allow")).collect():
+        n[at], allowed[at] = rows_of, allowed_of
+    prior = (allowed.sum() + 1) / (n.sum() + 2)
+    shares = (allowed + 10 * prior) / (n + 10)
+    got = bounded_sample(labelled.dropDuplicates(["url"]), "url", rows).mapInArrow(_features(shares), "x array<double>, allow int").toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, 1))
     order = np.lexsort(np.column_stack([x, got["allow"].to_numpy()]).T) if len(got) else np.zeros(0, int)
     trees = gbt.fit(x[order], got["allow"].to_numpy(float)[order], trees=60)
-    out = named.mapInArrow(_scorer(trees, share, prior), "page_id long, host string, path string, rule string, ruled string, score double")
+    out = named.mapInArrow(_scorer(trees, shares), "page_id long, host string, path string, rule string, ruled string, score double")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "allow").otherwise("block")).alias("verdict"), "score")
