@@ -55,11 +55,12 @@ class Model:
         by_length: dict[int, list[tuple[str, int]]] = {}
         for p, k in self.place.items():
             by_length.setdefault(len(p), []).append((p, k))
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, found in by_length.items():
-            h = _hash(np.array([[*map(ord, p)] for p, _ in found]))[:, -1]
+            letters = np.array([[*map(ord, p)] for p, _ in found])
+            h = _hash(letters)[:, -1]
             order = np.argsort(h)
-            self.keys[n] = h[order], np.array([k for _, k in found])[order]
+            self.keys[n] = h[order], np.array([k for _, k in found])[order], letters[order]
         raw = [b"" if k in self.control else bytes([self.byte_ids.index(k)]) if k in skip else p.replace("\u2581", " ").encode() for k, p in enumerate(self.pieces)]
         self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -125,10 +126,12 @@ class Model:
             ids = np.full((m, len(spans)), -1, np.int64)
             for c, j in enumerate(spans):
                 if i - j in self.keys:
-                    keys, of = self.keys[i - j]
+                    keys, of, letters = self.keys[i - j]
                     h = sums[:, i] - sums[:, j] * _UP[i - j]
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    ids[:, c] = np.where(keys[at] == h, of[at], -1)
+                    hit = np.flatnonzero(keys[at] == h)
+                    hit = hit[(letters[at[hit]] == codes[hit, j:i]).all(1)]  # equal hashes are not yet equal characters
+                    ids[hit, c] = of[at[hit]]
             alone = ids[:, -1] < 0
             ids[alone, -1] = n + codes[alone, i - 1]
             row, col = np.nonzero(ids >= 0)

@@ -111,3 +111,11 @@ def test_decontamination(spark) -> None:
         assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in wanted}
     assert decontam.leaks(empty(spark), bench).count() == 0
     assert decontam.clean(table(spark, rows), bench.where(F.lit(False))).count() == len(rows)
+
+
+def test_long_runs_of_white_space() -> None:
+    coder = tokencount.encoding()
+    for text in ("  a   b", "x\n\n\n\ny", "   ", "a    ", "\t\t\t1  　　 z", "\x1c\x1c\x1c\x1c x", "", "a   'll   '   ü"):
+        assert tokencount.encode(coder, text, 2).tolist() == coder.encode_ordinary(text)
+    assert len(tokencount.encode(coder, " " * 1_000_000)) == len(coder._encode_single_piece(b" " * 1_000_000))
+    assert len(tokencount.encode(coder, "a" + " " * 1_000_000 + "b")) > 2
