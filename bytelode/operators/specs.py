@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass
 
@@ -9,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEARCH_TYPES = ("Forward", "Reverse", "ForwardNext", "Ascii")
-#: Names of file types, as TOML catalogs write them.
-FILE_TYPES = "Jpeg Gif Bmp Mpg Pdf Doc Avi Wmv Htm Zip Mov Xls Ppt Wpd Cpp Exe Ole Gzip Riff Wav VJpeg Sxw Sxc Sxi Rar Png Elf Reg Docx Xlsx Pptx Mp4 Config".split()
 SCHEMA = "spec_idx int, file_type string, suffix string, max_len long, header binary, header_len int, footer binary, footer_len int, case_sensitive boolean, search_type string, markers array<binary>, comment string"
 MIB = 1 << 20
 
@@ -59,6 +58,9 @@ _BUILTIN = [
     ("Gzip", "gz", "1F8B08", "00000000", 100, []),
 ]
 
+#: Names of file types, as TOML catalogs write them: those of the built-in specs and, fixed values, these.
+FILE_TYPES = {kind for kind, *_ in _BUILTIN} | {"Avi", "Config", "Doc", "Docx", "Elf", "Ppt", "Pptx", "Reg", "Sxc", "Sxi", "Sxw", "VJpeg", "Wav", "Xls", "Xlsx"}
+
 
 def builtin_specs() -> list[Spec]:
     return [Spec(t, s, bytes.fromhex(h), bytes.fromhex(f) if f else None, m * MIB, t != "Htm", markers=tuple(map(bytes.fromhex, marks))) for t, s, h, f, m, marks in _BUILTIN]
@@ -90,14 +92,13 @@ def load_specs(path: str) -> list[Spec]:
 
 
 def save_specs(specs: list[Spec], path: str) -> None:
-    numbers = lambda b: "[" + ", ".join(map(str, b)) + "]"
-    text = []
-    for s in specs:
-        text += ["[[specs]]", f'file_type = "{s.file_type}"', f'suffix = "{s.suffix}"', f"header = {numbers(s.header)}"]
-        text += [f"footer = {numbers(s.footer)}"] * (s.footer is not None)
-        text += [f"max_len = {s.max_len}", f"case_sensitive = {str(s.case_sensitive).lower()}", f'search_type = "{s.search_type}"', "markers = [" + ", ".join(map(numbers, s.markers)) + "]", ""]
-    with open(path, "w") as f:
-        f.write("\n".join(text))
+    """Write a TOML catalog that `load_specs` reads back as the same specs."""
+    text = lambda v: json.dumps(v, ensure_ascii=False).replace("\x7f", "\\u007f")
+    with open(path, "w", encoding="utf-8") as f:
+        for s in specs:
+            row = {"file_type": text(s.file_type), "suffix": text(s.suffix), "header": [*s.header], "footer": None if s.footer is None else [*s.footer], "max_len": s.max_len}
+            row |= {"case_sensitive": text(s.case_sensitive), "search_type": text(s.search_type), "markers": [[*m] for m in s.markers], "comment": text(s.comment)}
+            f.write("[[specs]]\n" + "".join(f"{k} = {v}\n" for k, v in row.items() if v is not None) + "\n")
 
 
 def combined_specs(types: list[str] | None = None, disable_builtin: bool = False, config_file: str | None = None) -> list[Spec]:

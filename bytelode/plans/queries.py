@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from bytelode.functions import bytesx as B
 from bytelode.functions import extents as X
+from bytelode.functions import walkers as W
+from bytelode.functions.huffman import unit_count
 from bytelode.functions.walkers import ff_validity
 from bytelode.operators import recover as R
 from bytelode.operators import report, scan, select, stats
@@ -326,6 +328,68 @@ def spec_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(F.broadcast(specs), "spec_idx").groupBy("suffix").agg(F.count("*").alias("n"))
 
 
+# ---- walkers on synthesised files ----
+
+
+def _walk(name: str, fields: list[Field], walker: Callable[[bytes], int | None], sql: str, out: str = "size") -> None:
+    _check(name, fields, lambda b, n: F.coalesce(F.udf(walker, "long", useArrow=True)(b), F.lit(-1)), f"coalesce(({sql})::bigint, -1)", out)
+
+
+_LOCAL = lambda size, name, extra: ["504B0304" + "00" * 14, (4, "le", size), "00000000", (2, "le", name), (2, "le", extra)]
+_ENTRIES: list[Field] = [*_LOCAL(f"{K} % 90", f"{K} % 7", f"{K} % 5"), "AA" * 70, *_LOCAL(f"{K} * 11 % 400", "3", "0"), "BB" * 40]
+_first = f"(30 + {_int(18, 4)} + {_int(26, 2)} + {_int(28, 2)})"
+_walk("walk_zip_entries", _ENTRIES, lambda b: W.zip_by_headers(b, 420), f"least(case when {_first} <= 100 then greatest({_first}, 133 + {_int(118, 4)}) else {_first} end, 420)")
+_walk("walk_mov_atoms", [(4, "be", f"8 + {K} % 40"), "66747970", "0000000866726565" * 8], lambda b: W.mov_size(b, 70), f"case when {_int(0, 4, False)} % 8 = 0 then 70 else {_int(0, 4, False)} end")
+_PDF: list[Field] = ["255044462D312E340A", "78726566" + "0A" + "30" * 20 + "0A", "2525454F46", "41" * 5, "7374617274787265660A", (1, "be", f"48 + {K} % 10"), "0A2525454F46", (1, "be", f"case when {K} % 3 = 0 then 13 else 66 end"), "0A42"]
+_walk("walk_pdf_ends", _PDF, lambda b: W.pdf_size(b, 1 << 20), f"case when {_int(55, 1)} in (48, 56, 57) then 62 + case when {_int(62, 1)} = 13 then 2 else 0 end else 40 end")
+_skip = f"(10 + case when {_int(3, 1)} & 4 = 4 then 2 + {_int(10, 2)} else 0 end)"
+_walk("walk_gzip_fields", ["1F8B08", (1, "be", f"2 * ({K} % 4)"), "00000000" + "00FF", (2, "le", f"{K} % 9"), "00" * 6], lambda b: W.gzip_header_end(b), f"case when {_skip} + ({_int(3, 1)} & 2) <= {_LEN} then {_skip} + ({_int(3, 1)} & 2) end", "body")
+_walk("walk_gzip_name", ["1F8B0808" + "00000000" + "00FF", (1, "be", f"{K} * 7 % 60"), (1, "be", f"{K} % 130"), "42" + "00" + "0000"], lambda b: W.gzip_header_end(b), f"""case when {_int(10, 1)} = 0 then 11 when {_int(10, 1)} < 32 and {_int(10, 1)} not in (9, 10, 13) then null
+ when {_int(11, 1)} = 0 then 12 when ({_int(11, 1)} < 32 and {_int(11, 1)} not in (9, 10, 13)) or {_int(11, 1)} = 127 then null else 14 end""", "body")
+_check("walk_gzip_payload", ["1F8B0800" + "00000000" + "00FF", (1, "be", f"{K} % 8"), (2, "le", f"{K} % 3"), (2, "le", f"65535 - {K} % 2"), "00" * 9], lambda b, n: F.udf(lambda x: W.gzip_payload_valid(x, 10), "boolean", useArrow=True)(b), f"({_int(10, 1)} >> 1) <> 3 and (({_int(10, 1)} >> 1) <> 0 or {_int(11, 2)} + {_int(13, 2)} = 65535)")
+_PATCHED: list[Field] = [_JPEG := "FFD8FFE000104A46494600010100000100010000" + "FFDB004300" + "10" * 64 + "FFC4001400" + (_ONE_CODE := "01" + "00" * 15) + "03" + "FFC4001410" + _ONE_CODE + "00" + "FFC0000B080100010001011100" + "FFDA0008010100003F00", "1122", "FF", (1, "be", f"case {K} % 4 when 0 then 217 when 1 then 1 when 2 then 0 else 211 end"), "3344", "FFD9", "55" * 4]
+_scan_at = len(_JPEG) // 2 + 2
+_walk("walk_jpeg", _PATCHED, lambda b: W.jpeg_size(W.jpeg(b, 1 << 20), b, 1 << 20), f"case {_int(_scan_at + 1, 1)} when 217 then {_scan_at + 2} when 1 then {_scan_at} else {_scan_at + 6} end")
+_UNITS: list[Field] = [(1, "be", f"{K} % 120"), (1, "be", f"{K} * 7 % 200"), (1, "be", f"{K} * 13 % 250"), (1, "be", f"{K} * 31 % 97")]
+_unit_bits = " || ".join(f"lpad(bin({_int(k, 1)}), 8, '0')" for k in range(4))
+_walk("count_jpeg_units", _UNITS, lambda b: unit_count(bytes.fromhex(_JPEG), b), f"length(regexp_extract({_unit_bits}, '^(0...0)*')) // 5", "units")
+
+
+@query(f"""select {K}, {K} * 37 // 512 * 512 as below, ({K} * 37 + 511) // 512 * 512 as above, {K} * 1000003 // 1048576 as mib, case when {K} % 2 = 0 then '{{0}}' else 'x.y_' end || {K} || '_recovered.jpg' as name from orders""".replace("{0}", "a-"))
+def names_and_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col(K) * 37
+    name = F.concat(F.lit("/d.e/"), F.when(F.col(K) % 2 == 0, "a-").otherwise("x.y_"), F.col(K).cast("string"), F.lit(".jpg"))
+    return _table(spark, sf_dir, "orders").select(K, B.align_down(at, 512).alias("below"), B.align_up(at, 512).alias("above"), B.mebibytes(F.col(K) * 1_000_003).alias("mib"), B.recovered_filename(name).alias("name"))
+
+
+@query("""with t as (select doc_id, translate(text, 'THE', 'the') as text from documents), p as (select doc_id, text, string_split(text, 'the') as p from t where contains(text, 'the')), q as (select doc_id, strlen(text) as n, strlen(p[1]) as first, strlen(text) - strlen(p[-1]) - 3 as last, len(p) - 1 as n_hits from p)
+select doc_id, first, last, n_hits from q""")
+def searches_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pattern by three search types: the first place forward, the first one from the end, and the number of printable ones."""
+    specs = [Spec("Config", "t", b"the", None, 9, False, kind) for kind in ("ForwardNext", "Reverse", "Ascii")]
+    found = scan.hits(I.chunks(I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text")), specs)
+    one = lambda idx, what: F.min(F.when((F.col("spec_idx") == idx) & what, F.col("pos") + F.col("chunk_offset")))
+    first = F.col("spec_idx") == 1
+    return found.groupBy(F.col("image_id").cast("long").alias("doc_id")).agg(one(0, F.lit(True)).alias("first"), F.min_by(F.when(first, F.col("pos") + F.col("chunk_offset")), F.when(first, F.col("k2"))).alias("last"), F.count_if(F.col("spec_idx") == 2).alias("n_hits"))
+
+
+@query("""with s as (select o_custkey as seq, o_orderkey * 512 as "offset", (o_orderkey * 7919 % 800) / 100.0::double as entropy, (o_orderkey % 11) / 10.0::double as ff from orders),
+d as (select seq, min("offset") as direct_at from s group by seq),
+b as (select * from (select *, row_number() over (partition by seq order by entropy desc, "offset") as prior from s where entropy >= 6) where prior <= 9),
+p as (select seq, "offset", entropy, prior from b union all select d.seq, d.direct_at, 0.0, 0 from d where not exists (select 1 from b where b.seq = d.seq and b."offset" = d.direct_at)),
+v as (select p.*, s.ff, p."offset" = d.direct_at as direct, row_number() over (partition by p.seq order by s.ff desc, p.entropy desc, p.prior) as rank1 from p join s using (seq, "offset") join d on d.seq = p.seq where s.ff >= 0.3 or p."offset" = d.direct_at)
+select seq, "offset", prior::int as prior, direct, rank1::int as rank1 from v where rank1 <= 3""")
+def recovery_direct_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking where the block right after the fragment, a customer's first order, is put in front whatever its scores are."""
+    c = R.RecoveryConfig(min_entropy=6.0, min_ff_validity=0.3)
+    s = _table(spark, sf_dir, "orders").select(F.lit("orders").alias("image_id"), F.col("o_custkey").alias("seq"), (F.col("o_orderkey") * 512).alias("offset"), (F.expr("o_orderkey * 7919 % 800") / 100.0).alias("entropy"), (F.expr("o_orderkey % 11") / 10.0).alias("ff"))
+    jpegs = s.groupBy("image_id", "seq").agg(F.min("offset").alias("fragment_len")).withColumn("header_at", F.lit(0).cast("long"))
+    sizes = s.groupBy("image_id").agg((F.max("offset") + 512).alias("image_size"))
+    pooled = R.pool(s.select("image_id", "seq", "offset", "entropy"), jpegs, sizes, c)
+    rows = pooled.join(s.drop("entropy"), ["image_id", "seq", "offset"]).join(jpegs, ["image_id", "seq"]).withColumn("direct", F.col("offset") == F.col("header_at") + F.col("fragment_len"))
+    return R.rank_by_validity(rows, c).select("seq", "offset", "prior", "direct", "rank1")
+
+
 # ---- whole images, made of the files above: no SQL; tests hold them against plain Python ----
 
 _ONE_CODE = "01" + "00" * 15

@@ -115,6 +115,9 @@ def test_specs(spark, tmp_path) -> None:
     assert parse_types(" all ") == ["all"] and parse_types(" ") == [] and parse_types("a, b,,") == ["a", "b"]
     save_specs(b, str(tmp_path / "s.toml"))
     assert load_specs(str(tmp_path / "s.toml")) == b
+    odd = [Spec("Config", 'a"b', b"\0?", b"", 5, False, "Reverse", (b"x", b""), 'said "so"\n\\ü')]
+    save_specs(odd, str(tmp_path / "odd.toml"))
+    assert [(s.suffix, s.markers, s.comment, s.search_type) for s in load_specs(str(tmp_path / "odd.toml"))] == [('a"b', (b"x", b""), 'said "so"\n\\ü', "Reverse")]
     assert len(combined_specs(["gif"], config_file=str(tmp_path / "s.toml"))) == 2 and len(combined_specs(["gif"], True)) == 0
     (tmp_path / "odd.toml").write_text('[[specs]]\nfile_type = "Nope"\nsuffix = "o"\nheader = [1]\nmax_len = 5\nsearch_type = "Sideways"\n')
     assert (load_specs(str(tmp_path / "odd.toml"))[0].file_type, load_specs(str(tmp_path / "odd.toml"))[0].search_type) == ("Config", "Forward")
@@ -139,3 +142,14 @@ def test_greedy_and_numbers(spark) -> None:
     kept = select.greedy(df, ["image", "part"], "pos", "adv")
     out = select.number(kept, "image", "part", [F.col("pos")]).orderBy("image", "seq").collect()
     assert [(r.image, r.part, r.pos, r.seq) for r in out] == [("a", 1, 0, 1), ("a", 1, 5, 2), ("a", 2, 1, 3), ("b", 1, 0, 1)]
+
+
+def test_units_at_restarts() -> None:
+    """Units of two bits: a restart after four bytes is not met before it is due, one after three bytes is."""
+    one = H.table(bytes([1] + [0] * 15 + [0]))
+    ctx = H.Context({(0, 0): one, (1, 0): one}, [(1, 0, 0)])
+    assert H.count_units(ctx, bytes(4) + b"\xff\xd0" + bytes(4)) == 32
+    assert H.count_units(ctx, bytes(3) + b"\xff\xd0" + bytes(4)) == 12
+    assert H.count_units(ctx, bytes(4) + b"\xff\xd9" + bytes(4)) == 16 and H.count_units(ctx, b"") == 0
+    assert H.count_units(ctx, b"\xff\xd3" + bytes(2)) == 8 and H.count_units(ctx, b"\x00\xff\x00") == 4
+    assert [*H.segments(b"a\xff\x00b\xff\xd0c\xff")] == [(b"a\xffb", 0xD0), (b"c", None), (b"", None)]
