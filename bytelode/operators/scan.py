@@ -19,10 +19,14 @@ from .specs import Spec
 
 HEAD = 64
 SCAN = "struct<width: int, height: int, broken: long, restarts: boolean, status: string>"
-HIT = f"image_id string, chunk_no int, chunk_offset long, spec_idx int, pos long, pass_no int, k1 long, k2 long, rem long, footer_at long, marker_end long, head binary, probe_at long, probe binary, walked long, sound boolean, scan {SCAN}"
-_NAMES = [x.split()[0] for x in HIT.split(f", scan {SCAN}")[0].split(", ")] + ["scan"]
+#: The facts of a hit that its chunk has no footer for, seen on the whole image up to the longest size.
+LATE = "struct<rem: long, footer_at: long, marker_end: long, head: binary, sound: boolean>"
+HIT = f"image_id string, chunk_no int, chunk_offset long, spec_idx int, pos long, pass_no int, k1 long, k2 long, rem long, footer_at long, marker_end long, head binary, probe_at long, probe binary, walked long, sound boolean, scan {SCAN}, late {LATE}"
+_NAMES = [x.split()[0] for x in HIT.split(f", scan {SCAN}")[0].split(", ")] + ["scan", "late"]
 _SCAN_TYPE = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("broken", pa.int64()), ("restarts", pa.bool_()), ("status", pa.string())])
-_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), _SCAN_TYPE]
+_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), _SCAN_TYPE, pa.struct([("rem", pa.int64()), ("footer_at", pa.int64()), ("marker_end", pa.int64()), ("head", pa.binary()), ("sound", pa.bool_())])]
+#: Types whose size never depends on bytes beyond the chunk.
+WITHIN = ("jpeg", "vjpeg", "zip", "pdf")
 _ROWS = 1000
 #: Characters of text patterns that travel to the driver and the tasks at once; more are searched for in several passes.
 PATTERN_CHARS = 4_000_000
@@ -134,17 +138,35 @@ def _facts(data: bytes, pos: int, spec: Spec, footer: _Next | None, markers: lis
     return rem, footer_at, min(ends, default=None), head, probe_at, probe, walked, sound, scan
 
 
-def chunk_hits(data: bytes, specs: list[Spec], quick_block: int = 0) -> Iterator[tuple]:
-    """Rows of HIT after chunk_offset, for one chunk."""
+def _late(image: bytes, start: int, spec: Spec, facts: tuple, footer: _Next | None, markers: list[_Next]) -> dict | None:
+    """What the image says beyond the chunk of a hit whose footer is not in it; None where that isn't asked."""
+    kind = spec.file_type.lower()
+    if footer is None or facts[1] is not None or facts[0] >= spec.max_len or kind in WITHIN:
+        return None
+    rem = min(len(image) - start, spec.max_len)
+    within = lambda x: m - start if (m := x.after(start)) is not None and m + len(x.value) - start <= rem else None
+    footer_at = within(footer)
+    ends = [m + len(x.value) for x in markers if (m := within(x)) is not None]
+    body = image[start : start + (rem if footer_at is None else footer_at + len(spec.footer))] if kind in ("mov", "gzip") else b""
+    at = W.gzip_header_end(body) if kind == "gzip" else None
+    sound = W.mov_valid(body) if kind == "mov" else at is not None and W.gzip_payload_valid(body, at)
+    return {"rem": rem, "footer_at": footer_at, "marker_end": min(ends, default=None), "head": image[start : start + min(HEAD, rem)], "sound": sound}
+
+
+def chunk_hits(data: bytes, specs: list[Spec], quick_block: int = 0, offset: int = 0, image: bytes | None = None) -> Iterator[tuple]:
+    """Rows of HIT after chunk_offset, for one chunk; late facts if the image is given that the chunk starts in at offset."""
     for idx, spec in enumerate(specs):
-        literal = spec.literal and not quick_block
         found = list(positions(data, spec, quick_block))
-        footer = _Next(data, spec.footer, spec.case_sensitive) if spec.footer else None
-        markers = [_Next(data, m) for m in spec.markers]
-        facts = {pos: _facts(data, pos, spec, footer, markers) for pos in sorted(found)} if spec.search_type == "Reverse" else None
+        if not found:
+            continue
+        literal = spec.literal and not quick_block
+        search = lambda body: (_Next(body, spec.footer, spec.case_sensitive) if spec.footer else None, [_Next(body, m) for m in spec.markers])  # noqa: B023, E731
+        near, far = search(data), search(image) if image is not None else None
+        facts = {pos: _facts(data, pos, spec, *near) for pos in sorted(found)}
+        late = {pos: _late(image, offset + pos, spec, facts[pos], *far) for pos in sorted(found)} if far else {}
         for n, pos in enumerate(found):
             order = (0, pos + len(spec.header), idx) if literal else (1, idx, n)
-            yield idx, pos, *order, *(facts[pos] if facts else _facts(data, pos, spec, footer, markers))
+            yield idx, pos, *order, *facts[pos], late.get(pos)
 
 
 def _run(specs: list[Spec], quick_block: int, only_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -155,20 +177,37 @@ def _run(specs: list[Spec], quick_block: int, only_first: bool) -> Callable[[Ite
             body = data.as_py() or b""
             if only_first:
                 spec = specs[idx]
-                yield image, no, offset, idx, 0, 2, 0, 0, *_facts(body, 0, spec, _Next(body, spec.footer, spec.case_sensitive) if spec.footer else None, [_Next(body, m) for m in spec.markers])
+                yield image, no, offset, idx, 0, 2, 0, 0, *_facts(body, 0, spec, _Next(body, spec.footer, spec.case_sensitive) if spec.footer else None, [_Next(body, m) for m in spec.markers]), None
             else:
                 for hit in chunk_hits(body, specs, quick_block):
                     yield image, no, offset, *hit
 
+    return _batched(rows)
+
+
+def _run_images(specs: list[Spec], quick_block: int, chunk_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for name, content in zip(batch.column("image_id").to_pylist(), batch.column("content"), strict=True):
+            image = content.as_py() or b""
+            for no, offset in enumerate(range(0, len(image), chunk_size)):
+                for hit in chunk_hits(image[offset : offset + chunk_size], specs, quick_block, offset, image):
+                    yield name, no, offset, *hit
+
+    return _batched(rows)
+
+
+def _batched(rows: Callable[[pa.RecordBatch], Iterator[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of HIT in batches of some _ROWS, whatever the batches that they come from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            held: list[tuple] = []
             for row in rows(batch):
                 held.append(row)
                 if len(held) == _ROWS:
                     yield _batch(held)
                     held = []
-            yield _batch(held)
+        yield _batch(held)
 
     return run
 
@@ -183,6 +222,11 @@ def hits(chunks: DataFrame, specs: list[Spec], quick_block: int = 0) -> DataFram
     return chunks.select("image_id", "chunk_no", "chunk_offset", "bytes").mapInArrow(_run(specs, quick_block, False), HIT)
 
 
+def image_hits(images: DataFrame, specs: list[Spec], chunk_size: int, quick_block: int = 0) -> DataFrame:
+    """As `hits` over the chunks of whole images, and while an image is at hand what lies beyond the chunk of a hit without a footer (late)."""
+    return images.select("image_id", "content").mapInArrow(_run_images(specs, quick_block, chunk_size), HIT)
+
+
 def _counted(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = ahocorasick.Automaton()

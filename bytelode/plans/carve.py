@@ -35,45 +35,56 @@ _FACTS = ["file_type", "suffix", "max_len", "header_len", "footer_len", "n_marke
 
 
 def sized(hits: DataFrame, config: CarveConfig) -> DataFrame:
-    """Hits with size (0: no file), advance and comment; without the bytes that these came from."""
+    """Hits with size (0: no file), advance and comment, and with late_size and late_comment; without the bytes that these came from."""
     specs = specs_frame(hits.sparkSession, config.specs).select("spec_idx", "file_type", "suffix", "max_len", "header_len", "footer_len", F.size("markers").alias("n_markers"))
     rows = hits.join(F.broadcast(specs), "spec_idx")
-    h = {k: F.col(k) for k in _FACTS}
     kinds = {s.file_type.lower() for s in config.specs}
-    rows = rows.withColumn("_raw", extents.size(h, kinds))
-    ok = (F.col("_raw") > 0) & (F.col("_raw") <= F.col("rem"))
-    ok = ok if config.disable_validation else ok & extents.valid(h, F.col("_raw"), kinds)
-    dump = F.least("max_len", "rem") if config.write_all else F.lit(0).cast("long")
-    rows = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    rows = rows.withColumn("size", F.when(F.col("_ok"), F.col("_raw")).otherwise(dump)).withColumn("comment", F.when(~F.col("_ok"), "(Header dump)").otherwise(""))
-    rows = rows.withColumn("bridge", ~F.col("file_type").isin("jpeg", "vjpeg", "zip", "pdf") & (F.col("rem") < F.col("max_len")) & (F.col("footer_len") > 0) & F.col("footer_at").isNull())
-    rows = rows.withColumn("scan", F.when(F.col("_ok"), F.col("scan")))
-    return rows.withColumn("advance", select.advance(F.col("file_type"), F.col("size"), F.col("header_len"))).drop("_raw", "_ok", "head", "probe", "probe_at", "walked", "sound", "footer_at", "marker_end")
+    near = {k: F.col(k) for k in _FACTS}
+    far = near | {k: F.col(f"late.{k}") for k in ("rem", "footer_at", "marker_end", "head", "sound")}
+    for name, h, of in (("", near, kinds), ("late_", far, kinds - {*scan.WITHIN})):
+        rows = rows.withColumn(f"{name}raw", extents.size(h, of))
+        raw = F.col(f"{name}raw")
+        ok = (raw > 0) & (raw <= h["rem"])
+        ok = F.coalesce(ok if config.disable_validation else ok & extents.valid(h, raw, of), F.lit(False))
+        dump = F.least("max_len", h["rem"]) if config.write_all else F.lit(0).cast("long")
+        rows = rows.withColumn(f"{name}ok", ok).withColumn(f"{name}size", F.when(F.col(f"{name}ok"), raw).otherwise(dump)).withColumn(f"{name}comment", F.when(F.col(f"{name}ok"), "").otherwise("(Header dump)"))
+    rows = rows.withColumn("bridge", ~F.col("file_type").isin(*scan.WITHIN) & (F.col("rem") < F.col("max_len")) & (F.col("footer_len") > 0) & F.col("footer_at").isNull())
+    rows = rows.withColumn("scan", F.when(F.col("ok"), F.col("scan")))
+    return rows.withColumn("advance", select.advance(F.col("file_type"), F.col("size"), F.col("header_len"))).drop("raw", "ok", "late_raw", "late_ok", "head", "probe", "probe_at", "walked", "sound", "footer_at", "marker_end", "late")
+
+
+def _measured_again(kept: DataFrame, images: DataFrame, config: CarveConfig) -> DataFrame:
+    """Hits that wait for bytes beyond chunks that were given without their images: these are joined, and read from where the hit is."""
+    waiting = kept.where("bridge").select("image_id", "chunk_no", (F.col("chunk_offset") + F.col("pos")).alias("start"), "spec_idx", "pass_no", "k1", "k2", "max_len")
+    window = F.substring("content", (F.col("start") + 1).cast("int"), F.least("max_len", F.lit(2147483647)).cast("int"))
+    again = waiting.join(images, "image_id").select("image_id", "chunk_no", F.col("start").alias("chunk_offset"), window.alias("bytes"), "spec_idx")
+    late = sized(scan.reread(again, config.specs), config).drop("pass_no", "k1", "k2")
+    late = late.join(waiting.select("image_id", "chunk_no", "spec_idx", F.col("start").alias("chunk_offset"), "pass_no", "k1", "k2"), ["image_id", "chunk_no", "spec_idx", "chunk_offset"])
+    return kept.where("not bridge").unionByName(late.withColumn("bridge", F.lit(True)).select(*kept.columns))
 
 
 def carve(images: DataFrame, config: CarveConfig | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """One row for each carved file: image_id, seq, filename, filesize, file_type, byte_runs, jpeg_scan, img_offset, suffix, comment.
 
     images has image_id and content; chunks may be given instead of being cut from it (buffer mode, or images too large
-    for a row). In file mode a hit whose footer isn't in its chunk is measured again on the image itself and comes after
-    the chunk's other files. Null contents are images without bytes.
+    for a row). In file mode a hit whose footer isn't in its chunk is measured on the image itself, while that is at hand
+    for the scan, and comes after the chunk's other files. Null contents are images without bytes.
     """
     config = config or CarveConfig()
-    parts = I.chunks(images, config.chunk_size) if chunks is None else chunks
-    rows = sized(scan.hits(parts, config.specs, config.block_size if config.quick else 0), config)
-    if config.mode == "file":
-        rows = rows.withColumn("advance", F.when(F.col("bridge"), F.col("header_len").cast("long")).otherwise(F.col("advance")))
+    block, in_file = config.block_size if config.quick else 0, config.mode == "file"
+    if in_file and chunks is None:
+        found = scan.image_hits(images, config.specs, config.chunk_size, block)
     else:
-        rows = rows.withColumn("bridge", F.lit(False))
+        found = scan.hits(I.chunks(images, config.chunk_size) if chunks is None else chunks, config.specs, block)
+    rows = sized(found, config).withColumn("bridge", F.col("bridge") & F.lit(in_file))
+    rows = rows.withColumn("advance", F.when(F.col("bridge"), F.col("header_len").cast("long")).otherwise(F.col("advance")))
     kept = select.greedy(rows, ["image_id", "chunk_no", "spec_idx"], "pos", "advance")
-    kept = kept.select(*(c for c in kept.columns), F.lit(0).alias("late"))
-    if config.mode == "file":
-        waiting = kept.where("bridge").select("image_id", "chunk_no", (F.col("chunk_offset") + F.col("pos")).alias("start"), "spec_idx", "pass_no", "k1", "k2", "max_len")
-        window = F.substring("content", (F.col("start") + 1).cast("int"), F.least("max_len", F.lit(2147483647)).cast("int"))
-        again = waiting.join(images, "image_id").select("image_id", "chunk_no", F.col("start").alias("chunk_offset"), window.alias("bytes"), "spec_idx")
-        late = sized(scan.reread(again, config.specs), config)
-        late = late.drop("pass_no", "k1", "k2").join(waiting.select("image_id", "chunk_no", "spec_idx", F.col("start").alias("chunk_offset"), "pass_no", "k1", "k2"), ["image_id", "chunk_no", "spec_idx", "chunk_offset"])
-        kept = kept.where("not bridge").unionByName(late.withColumn("bridge", F.lit(True)).withColumn("late", F.lit(1)).select(*kept.columns))
+    if in_file and chunks is None:
+        late = F.col("bridge")
+        kept = kept.withColumn("size", F.when(late, F.col("late_size")).otherwise(F.col("size"))).withColumn("comment", F.when(late, F.col("late_comment")).otherwise(F.col("comment"))).withColumn("scan", F.when(~late, F.col("scan")))
+    elif in_file:
+        kept = _measured_again(kept, images, config)
+    kept = kept.withColumn("late", F.col("bridge").cast("int"))
     files = select.number(kept.where("size > 0"), "image_id", "chunk_no", [F.col(c) for c in ("late", "pass_no", "k1", "k2")])
     offset = (F.col("chunk_offset") + F.col("pos")).cast("long")
     run = F.struct(F.lit(0).cast("long").alias("offset"), offset.alias("img_offset"), F.col("size").alias("len"))
