@@ -65,11 +65,17 @@ def ratio(rule: str) -> Column:
 
 
 def below(n: int, k: int, p: float) -> float:
-    """The probability that at most k of n independent trials of probability p succeed."""
+    """The probability that at most k of n independent trials of probability p succeed.
+
+    Terms are summed from the largest that matters downwards until they vanish: some multiple of the square root of n of them.
+    """
     if k >= n:
         return 1.0
     log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k + 1)))
+    total, i = 0.0, min(k, int(n * p + 40 * math.sqrt(n * p * (1 - p)) + 40))
+    while i >= 0 and ((term := math.exp(log(i))) > total * 1e-17 or i > n * p):
+        total, i = total + term, i - 1
+    return min(1.0, total)
 
 
 def choose(good: dict[tuple[int, str], dict[int, int]], allowed: float = FALSE_REJECTIONS, mistake: float = MISTAKE) -> dict[tuple[int, str], float]:

@@ -99,6 +99,7 @@ def test_rules(spark) -> None:
 def test_risk_control() -> None:
     assert quality_rules.below(10, 10, 0.3) == 1 and np.isclose(quality_rules.below(10, 0, 0.3), 0.7**10)
     assert np.isclose(quality_rules.below(40, 2, 0.1), sum(math.comb(40, k) * 0.1**k * 0.9 ** (40 - k) for k in range(3)))
+    assert np.isclose(quality_rules.below(10**9, 7_142_000, 0.05 / 7), 0.378, atol=0.02) and quality_rules.below(10**9, 10**8, 0.05 / 7) > 1 - 1e-5
     few, many = {(0, "symbols"): {0: 50}}, {(0, "symbols"): {0: 50_000}}
     assert quality_rules.choose(few) == {} and quality_rules.choose(many) == {(0, "symbols"): 0.0}
     mixed = {(0, "symbols"): {0: 50_000, 4: 3_000}}  # three in fifty exceed the four strictest cutoffs
@@ -164,3 +165,17 @@ def test_pipeline(spark) -> None:
     assert len(ids) == len(set(ids)) > 0.6 * docs.count() and out.where("not round_trip").count() == 0
     good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").join(docs, "doc_id").where(F.length("text") > 300)
     assert {"pipeline", *queries.QUERIES} <= {*entry.queries()} and good.count() > 0
+
+
+def test_stages_on_odd_tables(spark) -> None:
+    """Nulls, empty and long texts, repeated rows and ids, and clashing names, stage by stage."""
+    import corpus_pipeline
+
+    rows = texts() + [(6, "another text under a known id " * 9), (900, "word " * 200_000), (901, " " * 300_000)]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = table(spark, rows)
+        out = stage(spark, docs, SF)
+        assert out.columns == (["doc_id", "n_tokens", "ids", "round_trip"] if name == "encoding" else docs.columns), name
+        n = out.count()
+        assert n == len(rows) if name in ("repeated_passages", "encoding") else 0 < n <= len(rows), name
+        assert stage(spark, empty(spark), SF).count() == 0, name
