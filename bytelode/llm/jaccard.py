@@ -12,7 +12,7 @@ largest sets; a set also enters the next band if a set there could be similar to
 
 Nodes are distinct sets, known by a 64-bit hash, so exact copies never meet as pairs. The members of a bucket are tied to
 one leader (within a batch, then over all batches: no bucket is gathered anywhere). Ties are held against two bounds, that
-of sizes and that of a second sketch with one to two bits for each element, and then verified on the whole sets: first the
+of sizes and that of a second sketch with two bits or more for each element, and then verified on the whole sets: first the
 tie of each node to the leader with which it shares most blocks. Where a bucket's members are not all in one component
 by then, they are held against further leaders, and in the end all its pairs across components that both bounds leave are
 verified. So no link that the definition knows can be missed.
@@ -35,7 +35,7 @@ from .components import components
 #: Ratio of the largest to the least size of a band.
 BAND = 1.5
 #: Elements for each word of 64 bits of the second sketch, and its least words.
-SPARSE, LEAST_WORDS = 16, 16
+SPARSE, LEAST_WORDS = 32, 16
 #: Further leaders that the members of a bucket with a failed tie are held against before all its pairs are.
 LEADERS = 4
 #: Keys that a task sorts at once, and rows that it sends on at once.
@@ -298,8 +298,9 @@ def _near_leaders(members: DataFrame, percent: int) -> DataFrame:
 
     Where ties to one leader failed, most members that are linked to any come together by these, and few pairs remain.
     """
-    one = F.struct("node", "root", "n", "sketch")
-    leaders = members.groupBy("key").agg(F.array(*(F.min_by(one, F.xxhash64("node", F.lit(seed))) for seed in range(LEADERS))).alias("leaders"))
+    first = [F.min_by("node", F.xxhash64("node", F.lit(seed))) for seed in range(LEADERS)]
+    chosen = members.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("first")).select("key", F.explode("first").alias("node"))
+    leaders = members.join(chosen, ["key", "node"]).groupBy("key").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("leaders"))
     close = F.filter("leaders", lambda o: (F.col("root") != o["root"]) & _near(F.col, lambda name: o[name], percent))
     pairs = members.join(leaders, "key").select("node", F.explode(F.transform(close, lambda o: o["node"])).alias("o"))
     return pairs.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct()
