@@ -1,7 +1,6 @@
 """Recovery of fragmented JPEGs: candidate blocks ranked by entropy, marker validity and decodability, then spliced.
 
-Only offsets and scores are shuffled. An image's bytes meet the rows that concern it, one row for each image, where they
-are scored.
+Offsets and scores are shuffled, images only where the rows that concern them are too many to go to the images.
 """
 
 from __future__ import annotations
@@ -14,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelode.functions.bytesx import align_down, recovered_filename
+from bytelode.functions.bytesx import recovered_filename
 from bytelode.functions.huffman import context, count_units
-from bytelode.functions.walkers import ff_validity
+from bytelode.sources.scratch import settle
 
 LEAST_BLOCK, LEAST_FRAGMENT, POOL = 16, 4, 3
 
@@ -45,20 +44,46 @@ def block_entropy(data: bytes, starts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def block_validity(data: bytes, starts: np.ndarray, size: int) -> np.ndarray:
+    """Of each block at starts `ff_validity`: in a run of FF bytes every second one starts a pair, and a pair ends within its block."""
+    out = np.ones(len(starts))
+    values = np.frombuffer(data, np.uint8)
+    for lo in range(0, len(starts), 4096):
+        at = starts[lo : lo + 4096]
+        n = np.minimum(size, len(values) - at)
+        owner = np.repeat(np.arange(len(at)), n)
+        flat = values[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ff = np.flatnonzero(flat == 0xFF)
+        new = np.ones(len(ff), bool)
+        new[1:] = (ff[1:] != ff[:-1] + 1) | (owner[ff[1:]] != owner[ff[:-1]])
+        run = ff[np.maximum.accumulate(np.where(new, np.arange(len(ff)), 0))] if len(ff) else ff
+        first = ff[((ff - run) % 2 == 0) & (ff + 1 < np.cumsum(n)[owner[ff]])]
+        second, of = flat[first + 1], owner[first]
+        may = (second == 0) | (second == 0xD9) | ((second >= 0xD0) & (second <= 0xD7))
+        seen = np.bincount(of, minlength=len(at))
+        out[lo : lo + 4096] = np.where(seen > 0, np.bincount(of, may, len(at)) / np.maximum(seen, 1), 1.0)
+    return out
+
+
 def _on_images(images: DataFrame, rows: DataFrame, score: Callable[[bytes, dict], list[tuple]], schema: str) -> DataFrame:
-    """score(bytes of the image, row) for every row, each giving tuples of schema after image_id."""
+    """score(bytes of the image, row) for every row, each giving tuples of schema after image_id.
+
+    rows come from a table, so Spark knows their size: below its threshold for broadcasts they go to the images, which stay
+    where they are; beyond it both are dealt by image_id.
+    """
     names = [c for c in rows.columns if c != "image_id"]
     by_image = rows.groupBy("image_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
     arrow = [x.split(" ", 1)[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[tuple] = []
             for image, content, asked in zip(batch.column("image_id").to_pylist(), batch.column("content"), batch.column("rows").to_pylist(), strict=True):
                 data = content.as_py() or b""
                 for row in asked:
-                    found = score(data, row)
-                    columns = list(zip(*((image, *f) for f in found), strict=True)) or [()] * (1 + len(arrow))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(schema), strict=True)], ["image_id", *arrow])
+                    found += ((image, *f) for f in score(data, row))
+            columns = list(zip(*found, strict=True)) or [()] * (1 + len(arrow))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(schema), strict=True)], ["image_id", *arrow])
 
     return images.join(by_image, "image_id").select("image_id", "content", "rows").mapInArrow(run, f"image_id string, {schema}")
 
@@ -76,23 +101,13 @@ def incomplete(files: DataFrame) -> DataFrame:
     return rows.select("image_id", "seq", "filename", run["img_offset"].alias("header_at"), run["len"].alias("fragment_len"), F.coalesce("jpeg_scan.fragmentation_point_img_offset", end).alias("search_at"))
 
 
-def candidate_offsets(jpegs: DataFrame, sizes: DataFrame, c: RecoveryConfig) -> DataFrame:
-    """Blocks of the search window outside the fragment, as offsets only: for each JPEG a generated series, no join on ranges."""
-    start = align_down(F.col("search_at"), c.block_size)
-    stop = F.least(start + c.search_window, F.col("image_size") - c.block_size)
-    steps = F.when(stop > start, F.sequence(start, stop - 1, F.lit(c.block_size).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    rows = jpegs.join(sizes, "image_id").select("*", F.explode(steps).alias("offset"))
-    return rows.where("offset < header_at or offset >= header_at + fragment_len")
-
-
-def pool(scored: DataFrame, jpegs: DataFrame, sizes: DataFrame, c: RecoveryConfig) -> DataFrame:
-    """Per JPEG the best 3n by entropy, and first of all the block right after the fragment if it isn't among them (entropy 0)."""
-    key = ["image_id", "seq"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("entropy"), "offset"))
-    best = scored.where(F.col("entropy") >= c.min_entropy).withColumn("prior", rank).where(F.col("prior") <= POOL * c.max_candidates).select(*key, "offset", "entropy", "prior")
-    direct = jpegs.join(sizes, "image_id").select(*key, (F.col("header_at") + F.col("fragment_len")).alias("offset"), "image_size").where("offset < image_size")
-    direct = direct.join(best.select(*key, "offset"), [*key, "offset"], "left_anti").select(*key, "offset", F.lit(0.0).alias("entropy"), F.lit(0).alias("prior"))
-    return best.unionByName(direct)
+def pool(scored: DataFrame, c: RecoveryConfig) -> DataFrame:
+    """Per JPEG the best 3n blocks by entropy, and the direct one: if it isn't among them, it is put in front (prior 0, entropy 0)."""
+    enough = F.coalesce(F.col("entropy") >= c.min_entropy, F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("image_id", "seq").orderBy(F.desc_nulls_last(F.when(enough, F.col("entropy"))), "offset"))
+    among = enough & (F.col("prior") <= POOL * c.max_candidates)
+    rows = scored.withColumn("prior", rank).where(among | F.col("direct"))
+    return rows.withColumn("among", among).withColumn("entropy", F.when(F.col("among"), F.col("entropy")).otherwise(0.0)).withColumn("prior", F.when(F.col("among"), F.col("prior")).otherwise(0)).drop("among")
 
 
 def rank_by_validity(rows: DataFrame, c: RecoveryConfig) -> DataFrame:
@@ -109,42 +124,53 @@ def rank_by_units(rows: DataFrame) -> DataFrame:
     return rows.where("size is not null").withColumn("rank2", rank).where("rank2 = 1")
 
 
-def recover(images: DataFrame, files: DataFrame, config: RecoveryConfig | None = None) -> DataFrame:
-    """One row for each JPEG that could be completed: names, method, scores, offsets, recovered_size and the bytes (data)."""
-    c = config or RecoveryConfig()
-    sizes = images.select("image_id", F.octet_length("content").cast("long").alias("image_size"))
-    jpegs = incomplete(files).where(F.col("fragment_len") >= LEAST_FRAGMENT)
+def scored_blocks(data: bytes, row: dict, c: RecoveryConfig) -> list[tuple]:
+    """(seq, offset, entropy, ff, direct) of one JPEG's blocks: those that can be among the best 3n, and the direct one."""
+    start, direct = row["search_at"] // c.block_size * c.block_size, row["header_at"] + row["fragment_len"]
+    starts = np.arange(start, min(start + c.search_window, len(data) - c.block_size), c.block_size)
+    starts = starts[(starts < row["header_at"]) | (starts >= direct)]
+    e = block_entropy(data, starts, c.block_size)
+    starts, e = starts[e >= c.min_entropy], e[e >= c.min_entropy]
+    best = np.lexsort((starts, -e))[: POOL * c.max_candidates]
+    starts, e = starts[best], e[best].tolist()
+    if direct not in starts and len(data) - direct >= LEAST_BLOCK:
+        starts, e = np.append(starts, direct), [*e, None]
+    enough = np.minimum(c.block_size, len(data) - starts) >= LEAST_BLOCK
+    ff = block_validity(data, starts, c.block_size).tolist()
+    return [(row["seq"], o, x, v, o == direct) for o, x, v, ok in zip(starts.tolist(), e, ff, enough.tolist(), strict=True) if ok]
 
-    def by_entropy(data: bytes, row: dict) -> list[tuple]:
-        start = row["search_at"] // c.block_size * c.block_size
-        starts = np.arange(start, min(start + c.search_window, len(data) - c.block_size), c.block_size)
-        starts = starts[(starts < row["header_at"]) | (starts >= row["header_at"] + row["fragment_len"])]
-        e = block_entropy(data, starts, c.block_size)
-        keep = e >= c.min_entropy
-        return [(row["seq"], o, x) for o, x in zip(starts[keep].tolist(), e[keep].tolist(), strict=True)]
 
-    def by_pairs(data: bytes, row: dict) -> list[tuple]:
-        block = data[row["offset"] : row["offset"] + c.block_size]
-        return [(row["seq"], row["offset"], row["entropy"], row["prior"], ff_validity(block))] if len(block) >= LEAST_BLOCK else []
+def recover(images: DataFrame, files: DataFrame, config: RecoveryConfig | None = None) -> DataFrame:
+    """One row for each JPEG that could be completed: names, method, scores, offsets and recovered_size; `spliced` adds the bytes.
+
+    Images are visited twice, for the scores of blocks and for those of splices; in between, rows of a few numbers are ranked.
+    """
+    c = config or RecoveryConfig()
+    jpegs = settle(incomplete(files).where(F.col("fragment_len") >= LEAST_FRAGMENT), "jpegs")
 
     def splice(data: bytes, row: dict) -> list[tuple]:
         header = data[row["header_at"] : row["header_at"] + row["fragment_len"]]
         rest = data[row["offset"] : row["offset"] + c.search_window]
         ctx = context(header) if c.huffman_validation else None
-        whole = header + rest
-        end = whole.find(b"\xff\xd9")
-        out = (None, None) if end < 0 else (end + 2, whole[: end + 2])
-        return [(row["seq"], row["offset"], row["entropy"], row["ff"], row["rank1"], count_units(ctx, rest) if ctx else None, *out)] if rest else []
-
-    scored = _on_images(images, jpegs, by_entropy, "seq int, offset long, entropy double")
-    pooled = pool(scored, jpegs, sizes, c)
-    ends = jpegs.select("image_id", "seq", "filename", "header_at", "fragment_len", (F.col("header_at") + F.col("fragment_len")).alias("direct_at"))
-    valid = _on_images(images, pooled, by_pairs, "seq int, offset long, entropy double, prior int, ff double")
-    best = rank_by_validity(valid.join(ends, ["image_id", "seq"]).withColumn("direct", F.col("offset") == F.col("direct_at")), c)
-    spliced = _on_images(images, best.select("image_id", "seq", "offset", "entropy", "ff", "rank1", "header_at", "fragment_len"), splice, "seq int, offset long, entropy double, ff double, rank1 int, units long, size long, data binary")
-    won = rank_by_units(spliced).join(ends, ["image_id", "seq"])
-    method = F.when(F.col("offset") == F.col("direct_at"), "direct_continuation").otherwise("fragment_reassembly")
-    return won.select("image_id", F.col("filename").alias("original_filename"), recovered_filename(F.col("filename")).alias("recovered_filename"), method.alias("recovery_method"), F.col("entropy").alias("entropy_score"), F.col("header_at").alias("header_img_offset"), F.col("offset").alias("continuation_img_offset"), F.col("size").alias("recovered_size"), F.col("ff").alias("ff_validity_score"), F.col("units").alias("huffman_mcu_count"), "data")
+        end = (header + rest).find(b"\xff\xd9")
+        size = None if end < 0 else end + 2
+        return [(row["seq"], row["offset"], row["entropy"], row["ff"], row["rank1"], count_units(ctx, rest) if ctx else None, size)] if rest else []
+
+    asked = jpegs.select("image_id", "seq", "header_at", "fragment_len", "search_at")
+    scored = _on_images(images, asked, lambda data, row: scored_blocks(data, row, c), "seq int, offset long, entropy double, ff double, direct boolean")
+    best = rank_by_validity(pool(scored, c), c).join(jpegs.select("image_id", "seq", "header_at", "fragment_len"), ["image_id", "seq"])
+    best = settle(best.select("image_id", "seq", "offset", "entropy", "ff", "rank1", "header_at", "fragment_len"), "blocks")
+    won = rank_by_units(_on_images(images, best, splice, "seq int, offset long, entropy double, ff double, rank1 int, units long, size long"))
+    won = won.join(jpegs.select("image_id", "seq", "filename", "header_at", "fragment_len"), ["image_id", "seq"])
+    method = F.when(F.col("offset") == F.col("header_at") + F.col("fragment_len"), "direct_continuation").otherwise("fragment_reassembly")
+    return won.select("image_id", F.col("filename").alias("original_filename"), recovered_filename(F.col("filename")).alias("recovered_filename"), method.alias("recovery_method"), F.col("entropy").alias("entropy_score"), F.col("header_at").alias("header_img_offset"), F.col("offset").alias("continuation_img_offset"), F.col("size").alias("recovered_size"), F.col("ff").alias("ff_validity_score"), F.col("units").alias("huffman_mcu_count"), "fragment_len")
+
+
+def spliced(images: DataFrame, recovered: DataFrame) -> DataFrame:
+    """Rows of `recover` with their bytes (data): the fragment and what continues it, cut after the end marker."""
+    part = lambda at, n: F.substring("content", (F.col(at) + 1).cast("int"), n.cast("int"))
+    head, rest = F.least("fragment_len", "recovered_size"), F.greatest(F.col("recovered_size") - F.col("fragment_len"), F.lit(0))
+    return images.join(recovered, "image_id").select(*recovered.columns, F.concat(part("header_img_offset", head), part("continuation_img_offset", rest)).alias("data"))
 
 
 def recovery_report(files: DataFrame, recovered: DataFrame) -> DataFrame:

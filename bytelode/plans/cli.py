@@ -15,6 +15,7 @@ from bytelode.operators import report
 from bytelode.operators.specs import builtin_specs, combined_specs, save_specs
 from bytelode.plans.carve import CarveConfig, carve
 from bytelode.sources import images as I
+from bytelode.sources.scratch import settle
 
 
 def parser() -> argparse.ArgumentParser:
@@ -87,13 +88,10 @@ def run_carve(spark: SparkSession, args: argparse.Namespace) -> int:
 def run_recover(spark: SparkSession, args: argparse.Namespace) -> int:
     images = I.from_files(spark, args.image).withColumn("image_id", F.lit("image"))
     files = report.read_report(spark, args.report).withColumn("image_id", F.lit("image"))
-    out = R.recover(images, files, R.RecoveryConfig(args.block_size, args.search_window, args.candidates, args.min_entropy)).collect()
+    won = settle(R.recover(images, files, R.RecoveryConfig(args.block_size, args.search_window, args.candidates, args.min_entropy)), "recovered")
     os.makedirs(args.output, exist_ok=True)
-    rows = []
-    for r in out:
-        with open(os.path.join(args.output, r.recovered_filename), "wb") as f:
-            f.write(r.data)
-        rows.append({k: v for k, v in r.asDict().items() if k not in ("data", "image_id") and v is not None})
+    report.write_files(R.spliced(images, won).withColumnRenamed("recovered_filename", "filename"), os.path.abspath(args.output))
+    rows = [{k: v for k, v in r.asDict().items() if k not in ("fragment_len", "image_id") and v is not None} for r in won.toLocalIterator()]
     with open(os.path.join(args.output, "recover_report.json"), "w") as f:
         json.dump({"incomplete_jpegs": R.incomplete(files).count(), "recovered": len(rows), "recovered_files": rows}, f, indent=2)
     return 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytelode.functions import bytesx as B
@@ -312,9 +312,7 @@ def recovery_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking stages of recovery on scores made from orders; a customer's orders are one JPEG's candidates."""
     c = R.RecoveryConfig(min_entropy=2.0, min_ff_validity=0.3)
     s = _table(spark, sf_dir, "orders").select(F.lit("orders").alias("image_id"), F.col("o_custkey").alias("seq"), (F.col("o_orderkey") * 512).alias("offset"), (F.expr("o_orderkey * 7919 % 800") / 100.0).alias("entropy"), (F.expr("o_orderkey % 11") / 10.0).alias("ff"), F.expr("o_orderkey % 9").alias("units"), F.expr("o_orderkey % 4 <> 0").alias("ends"))
-    none = s.select("image_id", "seq", F.lit(0).alias("header_at"), F.lit(0).alias("fragment_len")).limit(0)
-    pooled = R.pool(s.select("image_id", "seq", "offset", "entropy"), none, none.select("image_id", F.lit(0).alias("image_size")), c)
-    rows = pooled.join(s.drop("entropy"), ["image_id", "seq", "offset"]).withColumn("direct", F.col("offset") % 1024 == 0)
+    rows = R.pool(s.withColumn("direct", F.lit(False)), c).withColumn("direct", F.col("offset") % 1024 == 0)
     won = R.rank_by_units(R.rank_by_validity(rows, c).withColumn("size", F.when(F.col("ends"), 1)))
     return won.select("seq", "offset", "prior", "rank1", "units")
 
@@ -383,11 +381,8 @@ def recovery_direct_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking where the block right after the fragment, a customer's first order, is put in front whatever its scores are."""
     c = R.RecoveryConfig(min_entropy=6.0, min_ff_validity=0.3)
     s = _table(spark, sf_dir, "orders").select(F.lit("orders").alias("image_id"), F.col("o_custkey").alias("seq"), (F.col("o_orderkey") * 512).alias("offset"), (F.expr("o_orderkey * 7919 % 800") / 100.0).alias("entropy"), (F.expr("o_orderkey % 11") / 10.0).alias("ff"))
-    jpegs = s.groupBy("image_id", "seq").agg(F.min("offset").alias("fragment_len")).withColumn("header_at", F.lit(0).cast("long"))
-    sizes = s.groupBy("image_id").agg((F.max("offset") + 512).alias("image_size"))
-    pooled = R.pool(s.select("image_id", "seq", "offset", "entropy"), jpegs, sizes, c)
-    rows = pooled.join(s.drop("entropy"), ["image_id", "seq", "offset"]).join(jpegs, ["image_id", "seq"]).withColumn("direct", F.col("offset") == F.col("header_at") + F.col("fragment_len"))
-    return R.rank_by_validity(rows, c).select("seq", "offset", "prior", "direct", "rank1")
+    rows = s.withColumn("direct", F.col("offset") == F.min("offset").over(Window.partitionBy("image_id", "seq")))
+    return R.rank_by_validity(R.pool(rows, c), c).select("seq", "offset", "prior", "direct", "rank1")
 
 
 # ---- whole images, made of the files above: no SQL; tests hold them against plain Python ----
@@ -417,4 +412,4 @@ def carve_images_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recover_jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = images(spark, sf_dir)
     files = carve(found, CarveConfig(select_types(builtin_specs(), ["jpg"])))
-    return R.recover(found, files, R.RecoveryConfig(64, 512, 3, 0.0, 0.0)).drop("data")
+    return R.recover(found, files, R.RecoveryConfig(64, 512, 3, 0.0, 0.0)).drop("fragment_len")
