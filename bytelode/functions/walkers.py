@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 FALLBACK = 64 << 10
@@ -34,6 +35,7 @@ def _marker(data: bytes, start: int, stop: int) -> int | None:
 
 _PAIR = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+_ENTRY = re.compile(rb"PK\x03\x04")
 
 
 def jpeg(data: bytes, max_len: int) -> Scan:
@@ -93,46 +95,53 @@ def jpeg_size(scan: Scan, data: bytes, max_len: int) -> int:
     return stray + 2 if stray is not None else limit
 
 
-def zip_by_headers(data: bytes, max_len: int) -> int:
-    """The end of the furthest local entry, jumping from one to the next."""
-    end = at = 0
-    while (at := data.find(b"PK\x03\x04", at)) >= 0 and at + 30 <= len(data):
-        stop = at + 30 + number(data, at + 26, 2) + number(data, at + 28, 2) + number(data, at + 18, 4)
-        end = max(end, stop)
-        at = stop
-    return min(end, max_len) if end else min(FALLBACK, max_len, len(data))
+def zip_ends(data: bytes) -> tuple[list[int], list[int]]:
+    """Places of all local entries that have a whole header, and for each the end of the furthest one when jumping from one to the next."""
+    places = [m.start() for m in _ENTRY.finditer(data) if m.start() + 30 <= len(data)]
+    ends = [at + 30 + number(data, at + 26, 2) + number(data, at + 28, 2) + number(data, at + 18, 4) for at in places]
+    for k in reversed(range(len(places))):
+        after = bisect_left(places, ends[k])
+        if after < len(places):
+            ends[k] = max(ends[k], ends[after])
+    return places, ends
+
+
+def zip_by_headers(data: bytes, max_len: int, start: int = 0, entries: tuple[list[int], list[int]] | None = None) -> int:
+    """The end of the furthest local entry from start on, jumping from one to the next; entries are those of all data, if known."""
+    places, ends = entries or zip_ends(data)
+    first = bisect_left(places, start)
+    return min(ends[first] - start, max_len) if first < len(places) else min(FALLBACK, max_len, len(data) - start)
 
 
 _NUMBER = re.compile(rb"[\x20\x09-\x0D\x00]*(\d{1,20})")
+_XREF = re.compile(rb"[ \t\r\n\x0c]*xref|trailer")
 _XREF_STREAM = re.compile(rb"/Type ?/XRef")
 _NEAR = (0, -10, -20, -50, 10, 20, 50)
 
 
-def _xref(data: bytes, at: int) -> bool:
-    rest = data[at:]
-    return rest.lstrip(b" \t\r\n\x0c").startswith(b"xref") or rest.startswith(b"trailer") or _XREF_STREAM.search(rest) is not None
-
-
-def pdf_valid(data: bytes) -> bool:
-    """The last startxref leads near a cross-reference table, or the usual keywords are there."""
-    at = data.rfind(b"startxref")
-    if at >= 0 and (m := _NUMBER.match(data, at + 9)) and (where := int(m[1])) < 1 << 64:
-        if any(0 <= where + d < len(data) and _xref(data, where + d) for d in _NEAR):
+def pdf_valid(data: bytes, start: int = 0, stop: int | None = None) -> bool:
+    """The last startxref between start and stop leads near a cross-reference table, or the usual keywords are there."""
+    stop = len(data) if stop is None else stop
+    at = data.rfind(b"startxref", start, stop)
+    if at >= 0 and (m := _NUMBER.match(data, at + 9, stop)) and (where := int(m[1])) < 1 << 64:
+        near = [start + where + d for d in _NEAR if where + d >= 0 and start + where + d < stop]
+        if any(_XREF.match(data, k, stop) for k in near) or (near and _XREF_STREAM.search(data, min(near), stop)):
             return True
-    return (b"/Length" in data or b"endobj" in data) and (b"trailer" in data or b"startxref" in data)
+    has = lambda word: data.find(word, start, stop) >= 0
+    return (has(b"/Length") or has(b"endobj")) and (at >= 0 or has(b"trailer"))
 
 
-def pdf_size(data: bytes, max_len: int) -> int:
-    """To the last %%EOF and the white space after it in a sound file, else to the first one."""
-    last = data.rfind(b"%%EOF")
-    if last < 0:
-        return min(FALLBACK, max_len, len(data))
+def pdf_size(data: bytes, max_len: int, start: int = 0, last: int | None = None) -> int:
+    """From start to the last %%EOF of data (at last, if known) and the white space after it in a sound file, else to the first one."""
+    last = data.rfind(b"%%EOF") if last is None else last
+    if last < start:
+        return min(FALLBACK, max_len, len(data) - start)
     end = last + 5
-    if pdf_valid(data[:end]):
+    if pdf_valid(data, start, end):
         while end < len(data) and data[end] in b"\r\n \t":
             end += 1
-        return min(end, max_len)
-    return min(data.find(b"%%EOF") + 5, max_len)
+        return min(end - start, max_len)
+    return min(data.find(b"%%EOF", start) + 5 - start, max_len)
 
 
 _ATOM = re.compile(rb"(?:[A-Za-z0-9 .\-_()]|\xa9){4}")
@@ -141,7 +150,7 @@ _ATOM = re.compile(rb"(?:[A-Za-z0-9 .\-_()]|\xa9){4}")
 def _atoms(data: bytes, start: int, stop: int):  # noqa: ANN202
     """(type, start, size) of successive atoms; ends with None at one whose size or type can't be."""
     while start + 8 <= stop:
-        size, kind = number(data, start, 4, "big"), data[start + 4 : start + 8]
+        size, kind = number(data, start, 4, "big"), bytes(data[start + 4 : start + 8])
         if size < 8 or start + size > stop:
             yield None
             return
@@ -196,8 +205,12 @@ def mov_size(data: bytes, max_len: int) -> int:
     return min(at if at else len(data), max_len)
 
 
+#: No gzip header is longer: 10 bytes, extra field, name, comment, check sum; and 5 of what follows.
+GZIP_HEAD = 10 + 2 + 65535 + 1025 + 2049 + 2 + 5
+
+
 def gzip_header_end(data: bytes) -> int | None:
-    """Where the compressed data starts, if the optional fields are sound."""
+    """Where the compressed data starts, if the optional fields are sound; data may end after GZIP_HEAD bytes."""
     if len(data) < 10:
         return None
     flags, at = data[3], 10
@@ -215,13 +228,15 @@ def gzip_header_end(data: bytes) -> int | None:
     return at if at <= len(data) else None
 
 
-def gzip_payload_valid(data: bytes, at: int) -> bool:
-    if len(data) < at + 8 or len(data) - 8 - at <= 0:
+def gzip_payload_valid(data: bytes, at: int, size: int | None = None) -> bool:
+    """Whether what starts at `at` may be compressed data; data may be only the start of a file of that size, up to 5 bytes after `at`."""
+    size = len(data) if size is None else size
+    if size <= at + 8:
         return False
     kind = data[at] >> 1 & 3
     if kind == 3:
         return False
-    return kind != 0 or (len(data) >= at + 5 and number(data, at + 1, 2) == 0xFFFF ^ number(data, at + 3, 2))
+    return kind != 0 or (size >= at + 5 and number(data, at + 1, 2) == 0xFFFF ^ number(data, at + 3, 2))
 
 
 def ff_validity(data: bytes) -> float:

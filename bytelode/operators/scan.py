@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -94,63 +94,82 @@ class _Next:
         return self.at
 
 
-def _facts(data: bytes, pos: int, spec: Spec, footer: _Next | None, markers: list[_Next]) -> tuple:
-    rem = len(data) - pos
-    at = footer.after(pos) if footer else None
-    footer_at = None if at is None else at - pos
-    ends = [m + len(x.value) - pos for x in markers if (m := x.after(pos)) is not None]
-    head, probe_at, probe, walked, sound, scan = data[pos : pos + HEAD], None, None, None, None, None
-    kind = spec.file_type.lower()
-    if kind == "exe" and rem >= 64:
-        probe_at = W.number(head, 0x3C, 4)
-        probe = data[pos + probe_at : pos + probe_at + 84] if probe_at + 4 <= rem else None
-    elif kind == "zip":
-        end = data.find(b"PK\x05\x06", pos)
-        if 0 <= end <= len(data) - 22:
+class _Chunk:
+    """A chunk as the ascending hits of one spec see it: what several of them would look for again is found once."""
+
+    def __init__(self, data: bytes, spec: Spec) -> None:
+        self.data, self.spec, self.kind = data, spec, spec.file_type.lower()
+        self.footer = _Next(data, spec.footer, spec.case_sensitive) if spec.footer else None
+        self.markers = [_Next(data, m) for m in spec.markers]
+        self.end = _Next(data, _ENDS[self.kind]) if self.kind in _ENDS else None
+
+    @cached_property
+    def entries(self) -> tuple[list[int], list[int]]:
+        return W.zip_ends(self.data)
+
+    @cached_property
+    def last_eof(self) -> int:
+        return self.data.rfind(b"%%EOF")
+
+    def facts(self, pos: int) -> tuple:
+        data, spec, kind, longest = self.data, self.spec, self.kind, self.spec.max_len
+        rem = len(data) - pos
+        at = self.footer.after(pos) if self.footer else None
+        footer_at = None if at is None else at - pos
+        ends = [m + len(x.value) - pos for x in self.markers if (m := x.after(pos)) is not None]
+        head, probe_at, probe, walked, sound, scan = data[pos : pos + HEAD], None, None, None, None, None
+        end, plain = self.end.after(pos) if self.end else None, min(longest, rem)
+        if kind == "exe" and rem >= 64:
+            probe_at = W.number(head, 0x3C, 4)
+            probe = data[pos + probe_at : pos + probe_at + 84] if probe_at + 4 <= rem else None
+        elif kind == "zip" and end is not None and end <= len(data) - 22:
             probe_at, probe = end - pos, data[end : end + 22]
-        else:
-            walked = W.zip_by_headers(data[pos:], spec.max_len)
-    elif kind == "pdf":
-        walked = W.pdf_size(data[pos:], spec.max_len)
-    elif kind == "jpeg":
-        body = data[pos : pos + spec.max_len]
-        s = W.jpeg(body, spec.max_len)
-        walked, scan = W.jpeg_size(s, body, spec.max_len), {"width": s.width, "height": s.height, "broken": s.broken, "restarts": s.restarts, "status": s.status}
-    elif kind in ("mov", "gzip", "mpg"):
-        body = data[pos:]
-        plain = min(spec.max_len, rem)
-        if kind == "mov":
-            walked = W.mov_size(body, spec.max_len)
+        elif kind == "zip":
+            walked = W.zip_by_headers(data, longest, pos, self.entries)
+        elif kind == "pdf":
+            walked = W.pdf_size(data, longest, pos, self.last_eof)
+        elif kind == "jpeg":
+            body = data[pos : pos + longest]
+            s = W.jpeg(body, longest)
+            walked, scan = W.jpeg_size(s, body, longest), {"width": s.width, "height": s.height, "broken": s.broken, "restarts": s.restarts, "status": s.status}
         elif kind == "mpg":
-            end = body.find(b"\x00\x00\x01\xb9")
-            walked = min(end + 4, spec.max_len) if end >= 0 else plain
-        else:
-            start = W.gzip_header_end(body)
-            whole = start is not None and W.gzip_payload_valid(body, start)
-            walked = 0 if rem < 18 else min(rem, spec.max_len) if whole else min(W.FALLBACK, plain)
-        size = (footer_at + len(spec.footer) if footer_at is not None else plain) if spec.footer else walked
-        body = body[:size]
-        if kind == "mov":
-            sound = W.mov_valid(body)
+            walked = plain if end is None else min(end + 4 - pos, longest)
+        elif kind == "mov":
+            body = memoryview(data)[pos:]
+            walked = W.mov_size(body, longest)
+            sound = W.mov_valid(body[: self._length(footer_at, plain, walked)])
         elif kind == "gzip":
-            start = W.gzip_header_end(body)
-            sound = start is not None and W.gzip_payload_valid(body, start)
-    return rem, footer_at, min(ends, default=None), head, probe_at, probe, walked, sound, scan
+            fields = data[pos : pos + W.GZIP_HEAD]
+            walked = 0 if rem < 18 else plain if _gzip_valid(fields, rem) else min(W.FALLBACK, plain)
+            size = min(self._length(footer_at, plain, walked), rem)
+            sound = _gzip_valid(fields[:size], size)
+        return rem, footer_at, min(ends, default=None), head, probe_at, probe, walked, sound, scan
 
+    def _length(self, footer_at: int | None, plain: int, walked: int) -> int:
+        return walked if not self.spec.footer else plain if footer_at is None else footer_at + len(self.spec.footer)
 
-def _late(image: bytes, start: int, spec: Spec, facts: tuple, footer: _Next | None, markers: list[_Next]) -> dict | None:
+
+#: What ends a file of a kind, wherever that is.
+_ENDS = {"zip": b"PK\x05\x06", "mpg": b"\x00\x00\x01\xb9"}
+
+
+def _gzip_valid(fields: bytes, size: int) -> bool:
+    start = W.gzip_header_end(fields)
+    return start is not None and W.gzip_payload_valid(fields, start, size)
+
+
+def _late(image: _Chunk, start: int, facts: tuple) -> dict | None:
     """What the image says beyond the chunk of a hit whose footer is not in it; None where that isn't asked."""
-    kind = spec.file_type.lower()
-    if footer is None or facts[1] is not None or facts[0] >= spec.max_len or kind in WITHIN:
+    spec, kind, data = image.spec, image.kind, image.data
+    if image.footer is None or facts[1] is not None or facts[0] >= spec.max_len or kind in WITHIN:
         return None
-    rem = min(len(image) - start, spec.max_len)
+    rem = min(len(data) - start, spec.max_len)
     within = lambda x: m - start if (m := x.after(start)) is not None and m + len(x.value) - start <= rem else None
-    footer_at = within(footer)
-    ends = [m + len(x.value) for x in markers if (m := within(x)) is not None]
-    body = image[start : start + (rem if footer_at is None else footer_at + len(spec.footer))] if kind in ("mov", "gzip") else b""
-    at = W.gzip_header_end(body) if kind == "gzip" else None
-    sound = W.mov_valid(body) if kind == "mov" else at is not None and W.gzip_payload_valid(body, at)
-    return {"rem": rem, "footer_at": footer_at, "marker_end": min(ends, default=None), "head": image[start : start + min(HEAD, rem)], "sound": sound}
+    footer_at = within(image.footer)
+    ends = [m + len(x.value) for x in image.markers if (m := within(x)) is not None]
+    size = rem if footer_at is None else footer_at + len(spec.footer)
+    sound = W.mov_valid(memoryview(data)[start : start + size]) if kind == "mov" else kind == "gzip" and _gzip_valid(data[start : start + min(size, W.GZIP_HEAD)], size)
+    return {"rem": rem, "footer_at": footer_at, "marker_end": min(ends, default=None), "head": data[start : start + min(HEAD, rem)], "sound": sound}
 
 
 def chunk_hits(data: bytes, specs: list[Spec], quick_block: int = 0, offset: int = 0, image: bytes | None = None) -> Iterator[tuple]:
@@ -160,10 +179,9 @@ def chunk_hits(data: bytes, specs: list[Spec], quick_block: int = 0, offset: int
         if not found:
             continue
         literal = spec.literal and not quick_block
-        search = lambda body: (_Next(body, spec.footer, spec.case_sensitive) if spec.footer else None, [_Next(body, m) for m in spec.markers])  # noqa: B023, E731
-        near, far = search(data), search(image) if image is not None else None
-        facts = {pos: _facts(data, pos, spec, *near) for pos in sorted(found)}
-        late = {pos: _late(image, offset + pos, spec, facts[pos], *far) for pos in sorted(found)} if far else {}
+        near, far = _Chunk(data, spec), _Chunk(image, spec) if image is not None else None
+        facts = {pos: near.facts(pos) for pos in sorted(found)}
+        late = {pos: _late(far, offset + pos, facts[pos]) for pos in sorted(found)} if far else {}
         for n, pos in enumerate(found):
             order = (0, pos + len(spec.header), idx) if literal else (1, idx, n)
             yield idx, pos, *order, *facts[pos], late.get(pos)
@@ -176,8 +194,7 @@ def _run(specs: list[Spec], quick_block: int, only_first: bool) -> Callable[[Ite
         for image, no, offset, data, idx in zip(ids, nos, offsets, batch.column("bytes"), wanted, strict=True):
             body = data.as_py() or b""
             if only_first:
-                spec = specs[idx]
-                yield image, no, offset, idx, 0, 2, 0, 0, *_facts(body, 0, spec, _Next(body, spec.footer, spec.case_sensitive) if spec.footer else None, [_Next(body, m) for m in spec.markers]), None
+                yield image, no, offset, idx, 0, 2, 0, 0, *_Chunk(body, specs[idx]).facts(0), None
             else:
                 for hit in chunk_hits(body, specs, quick_block):
                     yield image, no, offset, *hit
