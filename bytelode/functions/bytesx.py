@@ -15,10 +15,10 @@ def piece(data: Column, at: int | Column, n: int | Column) -> Column:
 
 def unsigned(data: Column, at: int | Column, n: int, little: bool = True) -> Column:
     """The unsigned integer of n bytes as a long; 0 where data is too short; null beyond 2**63 - 1."""
-    at = F.lit(at) if isinstance(at, int) else at
-    one = [piece(data, at + k, 1) for k in (reversed(range(n)) if little else range(n))]
-    value = F.conv(F.hex(F.concat(*one)), 16, 10).try_cast("long")
-    return F.when((at >= 0) & (F.octet_length(data) >= at + n), value).otherwise(F.lit(0).cast("long"))
+    here = piece(data, at, n)
+    there = F.octet_length(here) == n if isinstance(at, int) else (at >= 0) & (F.octet_length(here) == n)
+    turned = F.encode(F.reverse(latin1(here)), "ISO-8859-1") if little and n > 1 else here
+    return F.when(there, F.conv(F.hex(turned), 16, 10).try_cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def u8(data: Column, at: int | Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bytesx import piece, starts_with, u8, u16, u32
+from .bytesx import piece, starts_with, u8, u16, u32, unsigned
 from .walkers import FALLBACK
 
 
@@ -54,19 +54,29 @@ def gif_valid(head: Column, size: Column) -> Column:
     return (size >= 10) & (starts_with(head, b"GIF87a") | starts_with(head, b"GIF89a")) & (u16(head, 6) > 0) & (u16(head, 8) > 0)
 
 
-def bmp_valid(head: Column, size: Column) -> Column:
-    """File header, bitmap header and the agreement of image size, resolution and colours."""
-    named, pixels = u32(head, 2), u32(head, 10)
-    file = (size >= 54) & starts_with(head, b"BM") & named.between(54, size) & (u32(head, 6) == 0) & pixels.between(54, named)
-    width, tall, depth, packing = u32(head, 18), u32(head, 22), u16(head, 28), u32(head, 30)
+#: Place and bytes of each number in the headers of a bitmap that `bmp_valid` needs.
+_BMP = {"named": (2, 4), "reserved": (6, 4), "pixels": (10, 4), "header": (14, 4), "width": (18, 4), "tall": (22, 4), "planes": (26, 2), "depth": (28, 2), "packing": (30, 4), "image": (34, 4), "across": (38, 4), "down": (42, 4), "colours": (46, 4), "important": (50, 4)}
+
+
+def bmp_numbers(head: Column) -> Column:
+    """The numbers of a bitmap's headers as one array: as a column of its own it keeps the code of the check short."""
+    return F.array(*(unsigned(head, at, n) for at, n in _BMP.values()))
+
+
+def bmp_valid(head: Column, size: Column, numbers: Column | None = None) -> Column:
+    """File header, bitmap header and the agreement of image size, resolution and colours; numbers: `bmp_numbers`, if at hand."""
+    has = {name: unsigned(head, *_BMP[name]) if numbers is None else F.get(numbers, F.lit(k)) for k, name in enumerate(_BMP)}
+    named, pixels = has["named"], has["pixels"]
+    file = (size >= 54) & starts_with(head, b"BM") & named.between(54, size) & (has["reserved"] == 0) & pixels.between(54, named)
+    width, tall, depth, packing = (has[k] for k in ("width", "tall", "depth", "packing"))
     height = F.when(tall > 0x80000000, F.lit(1 << 32) - tall).otherwise(tall)
-    bitmap = u32(head, 14).isin(40, 52, 56, 108, 124) & width.between(1, 65_536) & height.between(1, 65_536) & (u16(head, 26) == 1) & depth.isin(1, 4, 8, 16, 24, 32)
+    bitmap = has["header"].isin(40, 52, 56, 108, 124) & width.between(1, 65_536) & height.between(1, 65_536) & (has["planes"] == 1) & depth.isin(1, 4, 8, 16, 24, 32)
     bitmap = bitmap & (packing <= 5) & ((packing != 1) | (depth == 8)) & ((packing != 2) | (depth == 4))
-    image, colours, important = u32(head, 34), u32(head, 46), u32(head, 50)
+    image, colours, important = (has[k] for k in ("image", "colours", "important"))
     row = F.floor((width * depth + 31) / 32).cast("long") * 4
     data = (image == 0) | (((packing != 0) | (image == F.pmod(row * height, F.lit(1 << 32)))) & (pixels + image <= named))
     palette = F.when(depth == 1, colours <= 2).when(depth == 4, colours <= 16).when(depth == 8, colours <= 256).otherwise(True)
-    return file & bitmap & data & (u32(head, 38) <= 1_000_000) & (u32(head, 42) <= 1_000_000) & palette & ((colours == 0) | (important <= colours))
+    return file & bitmap & data & (has["across"] <= 1_000_000) & (has["down"] <= 1_000_000) & palette & ((colours == 0) | (important <= colours))
 
 
 def exe_valid(head: Column, probe: Column, size: Column) -> Column:
@@ -91,11 +101,11 @@ def gzip_head_valid(head: Column, size: Column) -> Column:
 
 def _by_kind(kind: Column, rules: dict[str, Callable[[], Column]], kinds: set[str], otherwise: Column) -> Column:
     """The rule of a hit's type; rules of types that the catalog lacks are not even built."""
-    out = otherwise
+    out = None
     for name, rule in rules.items():
         if name in kinds:
-            out = F.when(kind == name, rule()).otherwise(out)
-    return out
+            out = (F if out is None else out).when(kind == name, rule())
+    return otherwise if out is None else out.otherwise(otherwise)
 
 
 def size(h: dict[str, Column], kinds: set[str]) -> Column:
@@ -112,7 +122,7 @@ def valid(h: dict[str, Column], size: Column, kinds: set[str]) -> Column:
     """The structural check of a hit's type, and at least one marker inside if its spec has any."""
     kind, head, sound = h["file_type"], h["head"], F.coalesce(h["sound"], F.lit(False))
     rules = {
-        "png": lambda: png_valid(head, size), "gif": lambda: gif_valid(head, size), "bmp": lambda: bmp_valid(head, size), "exe": lambda: exe_valid(head, h["probe"], size),
+        "png": lambda: png_valid(head, size), "gif": lambda: gif_valid(head, size), "bmp": lambda: bmp_valid(head, size, h.get("numbers")), "exe": lambda: exe_valid(head, h["probe"], size),
         "mpg": lambda: mpg_valid(head, size), "gzip": lambda: gzip_head_valid(head, size) & sound, "mov": lambda: sound,
     }
     return _by_kind(kind, rules, kinds, F.lit(True)) & ((h["n_markers"] == 0) | F.coalesce(h["marker_end"] <= size, F.lit(False)))

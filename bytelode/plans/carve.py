@@ -41,6 +41,11 @@ def sized(hits: DataFrame, config: CarveConfig) -> DataFrame:
     kinds = {s.file_type.lower() for s in config.specs}
     near = {k: F.col(k) for k in _FACTS}
     far = near | {k: F.col(f"late.{k}") for k in ("rem", "footer_at", "marker_end", "head", "sound")}
+    if "bmp" in kinds:
+        bitmap = F.col("file_type") == "bmp"
+        for h, name in ((near, "numbers"), (far, "late_numbers")):
+            rows = rows.withColumn(name, F.when(bitmap, extents.bmp_numbers(h["head"])))
+            h["numbers"] = F.col(name)
     for name, h, of in (("", near, kinds), ("late_", far, kinds - {*scan.WITHIN})):
         rows = rows.withColumn(f"{name}raw", extents.size(h, of))
         raw = F.col(f"{name}raw")
@@ -50,7 +55,7 @@ def sized(hits: DataFrame, config: CarveConfig) -> DataFrame:
         rows = rows.withColumn(f"{name}ok", ok).withColumn(f"{name}size", F.when(F.col(f"{name}ok"), raw).otherwise(dump)).withColumn(f"{name}comment", F.when(F.col(f"{name}ok"), "").otherwise("(Header dump)"))
     rows = rows.withColumn("bridge", ~F.col("file_type").isin(*scan.WITHIN) & (F.col("rem") < F.col("max_len")) & (F.col("footer_len") > 0) & F.col("footer_at").isNull())
     rows = rows.withColumn("scan", F.when(F.col("ok"), F.col("scan")))
-    return rows.withColumn("advance", select.advance(F.col("file_type"), F.col("size"), F.col("header_len"))).drop("raw", "ok", "late_raw", "late_ok", "head", "probe", "probe_at", "walked", "sound", "footer_at", "marker_end", "late")
+    return rows.withColumn("advance", select.advance(F.col("file_type"), F.col("size"), F.col("header_len"))).drop("raw", "ok", "late_raw", "late_ok", "head", "probe", "probe_at", "walked", "sound", "footer_at", "marker_end", "late", "numbers", "late_numbers")
 
 
 def _measured_again(kept: DataFrame, images: DataFrame, config: CarveConfig) -> DataFrame:

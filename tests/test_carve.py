@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bytelode.functions import walkers as W
@@ -113,6 +114,29 @@ def test_recovery(spark) -> None:
     assert recovery(spark, bytes(direct), 0, 64, None, "complete") == []
 
 
+def test_spliced_bytes_and_block_validity(spark) -> None:
+    data = b"\xff\xd8" + bytes(range(1, 63)) + b"abc\xff\xd9rest"
+    won = spark.createDataFrame([("0", 0, 64, 64, 69), ("0", 0, 64, 64, 40)], "image_id string, header_img_offset long, fragment_len long, continuation_img_offset long, recovered_size long")
+    assert [bytes(r.data) for r in R.spliced(image(spark, data), won).orderBy("recovered_size").collect()] == [data[:40], data[:69]]
+    draw = random.Random(3)
+    for _ in range(300):
+        d = bytes(draw.choice([255, 255, 0, 0xD9, 0xD3, 17]) for _ in range(draw.randrange(1, 90)))
+        starts = np.array(sorted(draw.randrange(len(d)) for _ in range(draw.randrange(6))), np.int64)
+        assert R.block_validity(d, starts, 9).tolist() == [W.ff_validity(d[k : k + 9]) for k in starts]
+
+
+def test_hits_share_what_the_chunk_holds(spark) -> None:
+    """Facts of hits in one chunk are those of a chunk that starts at the hit."""
+    atom = lambda kind, body: (len(body) + 8).to_bytes(4, "big") + kind + body
+    draw = random.Random(8)
+    parts = [b"PK\x03\x04" + bytes(14) + (9).to_bytes(4, "little") + bytes(8), b"PK\x05\x06" + bytes(18), b"%PDF-1 ", b"startxref\n3\n%%EOF\n", b"xref", b"\x1f\x8b\x08\0" + bytes(5) + b"\3" + bytes(9), b"\0\0\1\xba!", b"\0\0\1\xb9", atom(b"moov", atom(b"free", b"")), bytes(12), b"trailer /Length"]
+    for s in select_types(builtin_specs(), ["zip", "pdf", "gz", "mpg", "mov"]):
+        for _ in range(60):
+            data = b"".join(draw.choice(parts) for _ in range(draw.randrange(1, 12)))
+            for hit in scan.chunk_hits(data, [s]):
+                assert scan.chunk_hits(data[hit[1] :], [s]).__next__()[5:] == hit[5:]
+
+
 def test_jpeg_report_round_trip(spark, tmp_path) -> None:
     whole = START + TABLES + SOF + SOS + b"\x12\xff\xd9"
     broken = START + TABLES + SOF + SOS + b"\x12\xff\x11" + bytes(70)
