@@ -10,6 +10,7 @@ two together would leave just this pair, which makes the path the one that mergi
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE = 0x2581
+MARK = "\u2581"
+_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are segmented at once, and distinct words and pairs that a worker remembers, at most.
 PIECE, REMEMBERED = 1 << 21, 1 << 19
+#: Fewer words of one length than this advance one by one.
+FEW = 4
 _STEP = 0x2545F4914F6CDD1D
 _UP = np.full(1 << 10, _STEP, np.uint64)
 _UP[0] = 1
@@ -65,7 +69,10 @@ class Model:
         self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.pairs: dict[int, bool] = {}
-        self.known = np.zeros(0, np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
         self.known_at, self.known_n, self.known_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -97,20 +104,23 @@ class Model:
         n = len(self.pieces)
         free = (last < 0) | (last >= n) | (piece >= n)
         out = np.ones(len(last), bool)
-        code = last[~free].astype(np.int64) * n + piece[~free]
-        unique, where = np.unique(code, return_inverse=True)
-        if len(self.pairs) > 2 * REMEMBERED:
-            self.pairs.clear()
-        got = np.empty(len(unique), bool)
-        for k, c in enumerate(unique.tolist()):
-            ok = self.pairs.get(c)
-            if ok is None:
-                a, b = self.pieces[c // n], self.pieces[c % n]
-                ok = self.pairs[c] = self.merge([*a, *b]) == [a, b]
-            got[k] = ok
-        out[~free] = got[where]
+        unique, where = np.unique(last[~free].astype(np.int64) * n + piece[~free], return_inverse=True)
+        out[~free] = np.array([self.fit(c // n, c % n) for c in unique.tolist()], bool)[where]
         return out
 
+    def fit(self, last: int, piece: int) -> bool:
+        """`fits` for one pair."""
+        n = len(self.pieces)
+        if last < 0 or last >= n or piece >= n:
+            return True
+        ok = self.pairs.get(last * n + piece)
+        if ok is None:
+            if len(self.pairs) > 2 * REMEMBERED:
+                self.pairs.clear()
+            a, b = self.pieces[last], self.pieces[piece]
+            ok = self.pairs[last * n + piece] = self.merge([*a, *b]) == [a, b]
+        return ok
+
     def segment(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words of one length, as rows of code points: the ids of their pieces one after the other, and how many each has.
 
@@ -169,61 +179,81 @@ class Model:
         owner = np.repeat(np.arange(len(counted)), counted)
         return out, np.bincount(owner, wide, len(counted)).astype(np.int64)
 
-    def learn(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> None:
-        """Segment the given new words and remember them under their keys."""
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        spaced = (size > 1) & (codes[np.minimum(start + 1, len(codes) - 1)] == SPACE) & (codes[start] == SPACE)
-        spaced |= size > 512
-        if not self.bpe:
-            spaced[:] = False
-        for k in np.flatnonzero(spaced):  # runs of spaces, whose pieces tie in score, and monstrous words merge one by one
-            word = codes[start[k] : start[k] + size[k]]
-            ids = np.array([self.place.get(s, len(self.pieces) + ord(s[0])) for s in self.merge([*map(chr, word)])])
-            found.append((key[k : k + 1], *self._bytes_for_unknown(ids, np.array([len(ids)]))))
-        for length in np.unique(size[~spaced]):
-            rows = np.flatnonzero((size == length) & ~spaced)
-            found.append((key[rows], *self._bytes_for_unknown(*self.segment(codes[start[rows, None] + np.arange(length)]))))
-        if len(self.known) > REMEMBERED:
-            self.known, self.known_at, self.known_n, self.known_ids = self.known[:0], self.known_at[:0], self.known_n[:0], self.known_ids[:0]
+    def advance(self, word: str) -> list[int]:
+        """The same search for one word alone: cheaper than arrays of one row where no other word has its length."""
+        n, bpe = len(self.pieces), self.bpe
+        lowest = float(self.scores.min()) - 10
+        last, back, total = [-1], [0], [0.0]
+        for i in range(1, len(word) + 1):
+            best, start, piece = -np.inf, i - 1, n + ord(word[i - 1])
+            for j in range(max(0, i - self.longest), i):
+                k = self.place.get(word[j:i])
+                if k is None:
+                    if j < i - 1:
+                        continue
+                    k = n + ord(word[j])
+                if bpe:
+                    if self.fit(last[j], k):
+                        best, start, piece = 0.0, j, k
+                        break
+                elif (worth := total[j] + (float(self.scores[k]) if k < n else lowest)) > best:
+                    best, start, piece = worth, j, k
+            last.append(piece)
+            back.append(start)
+            total.append(best)
+        out, i = [], len(word)
+        while i:
+            out.append(last[i])
+            i = back[i]
+        return out[::-1]
+
+    def learn(self, words: list[str]) -> None:
+        """Segment the given new words, those of one length together, and remember their ids."""
+        found: list[tuple[list[str], np.ndarray, np.ndarray]] = []
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            if self.bpe and word.startswith(MARK * 2):  # the pieces of runs of spaces tie in score: these merge one by one
+                ids = np.array([self.place.get(s, len(self.pieces) + ord(s[0])) for s in self.merge([*word])])
+                found.append(([word], *self._bytes_for_unknown(ids, np.array([len(ids)]))))
+            else:
+                by_length.setdefault(len(word), []).append(word)
+        for length, group in by_length.items():
+            if len(group) < FEW:
+                for word in group:
+                    ids = np.array(self.advance(word))
+                    found.append(([word], *self._bytes_for_unknown(ids, np.array([len(ids)]))))
+                continue
+            codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(len(group), length)
+            found.append((group, *self._bytes_for_unknown(*self.segment(codes))))
         n = np.concatenate([self.known_n, *(f[2] for f in found)])
-        at = np.concatenate([self.known_at, len(self.known_ids) + np.cumsum(n[len(self.known_n) :]) - n[len(self.known_n) :]])
-        known = np.concatenate([self.known, *(f[0] for f in found)])
-        order = np.argsort(known)
-        self.known, self.known_at, self.known_n = known[order], at[order], n[order]
+        self.known_at = np.cumsum(n) - n
+        self.known_n = n
+        for group, _, _ in found:
+            self.known.update(zip(group, range(len(self.known), len(self.known) + len(group)), strict=True))
         self.known_ids = np.concatenate([self.known_ids, *(f[1].astype(np.int32) for f in found)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and n + 1 offsets; an empty text has no ids."""
-        whole = "".join(f" {t}" if t else "" for t in texts)
-        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        at = np.concatenate([[0], np.cumsum([len(t) + bool(t) for t in texts])]).astype(np.int64)
-        if not len(codes):
-            return np.zeros(0, np.int32), at
-        codes[codes == 32] = SPACE
-        space = codes == SPACE
-        first = space.copy()
-        first[1:] &= ~space[:-1]
-        first[at[:-1][np.diff(at) > 0]] = True
-        start = np.flatnonzero(first)
-        size = np.diff(np.append(start, len(codes)))
-        value = (codes.astype(np.uint64) + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-        offset = np.arange(len(codes)) - np.repeat(start, size)
-        value *= _power(int(size.max()) + 1)[offset]
-        key = np.add.reduceat(value, start) ^ (size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        unique, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
-        new = self.known[place] != unique if len(self.known) else np.ones(len(unique), bool)
-        if new.any():
-            forgets = len(self.known) > REMEMBERED
-            some = np.flatnonzero(new) if not forgets else np.arange(len(unique))
-            self.learn(codes, start[where[some]], size[where[some]], unique[some])
-        place = np.searchsorted(self.known, unique)
-        n = self.known_n[place][inverse]
-        begin = self.known_at[place][inverse]
+        """Ids of all texts one after the other, and n + 1 offsets; an empty text has no ids.
+
+        Words that were met before are known by their characters, so an answer never depends on what else was encoded.
+        """
+        words: list[str] = []
+        first = [0]
+        for t in texts:
+            if t:
+                words += _WORD.findall(MARK + t.replace(" ", MARK))
+            first.append(len(words))
+        if not words:
+            return np.zeros(0, np.int32), np.array(first)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+            self.learn(new)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n = self.known_n[place]
         ends = np.cumsum(n)
-        ids = self.known_ids[np.repeat(begin - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(start, at)]
+        ids = self.known_ids[np.repeat(self.known_at[place] - (ends - n), n) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[first]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts from ids and their offsets: pieces joined, marks turned to spaces, without the one space put before."""
@@ -235,17 +265,6 @@ class Model:
         return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-@lru_cache(8)
-def _powers(bits: int) -> np.ndarray:
-    out = np.full(1 << bits, _STEP, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _power(n: int) -> np.ndarray:
-    return _powers(max(10, n.bit_length()))
-
-
 @lru_cache(4)
 def load(path: str = MODEL) -> Model:
     """Read a model's pieces with the public library."""
@@ -266,7 +285,7 @@ _worker: dict[tuple, Model] = {}
 
 def _coder(parts: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (len(parts[0]), float(parts[1].sum()), parts[4])
+        name = (tuple(parts[0]), parts[1].tobytes(), tuple(parts[2]), tuple(parts[3]), parts[4])
         model = _worker.get(name) or _worker.setdefault(name, Model(*parts))
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()

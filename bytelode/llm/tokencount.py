@@ -39,7 +39,7 @@ def encoding(path: str = RANKS):  # noqa: ANN201
 
 
 #: Runs of so much white space are taken out of the tokeniser's pattern, which goes back over them step by step.
-LONG_RUN = 10_000
+LONG_RUN = 100
 _WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import sentencepiece
@@ -36,6 +37,18 @@ def test_random_texts(given_texts: list[str]) -> None:
     assert model.decode(ids, at) == given_texts
 
 
+def test_long_words_that_resemble_each_other() -> None:
+    """Words and their complements get their own ids, whatever else is in the batch or was met before."""
+    draw = random.Random(7)
+    for n in (600, 1024, 4096):
+        word = "".join(draw.choice("ab") for _ in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        for batch in ([word, other], [other, word], [word], [other], [word, other + "x", other, word + "y", f"{word} {other}"]):
+            assert encode(pieces.load(), batch) == LIBRARY.encode(batch)
+    for text in ("a" * 200_000, "漢字" * 20_000, "".join(draw.choice("abcdefgh") for _ in range(100_000))):
+        assert encode(pieces.load(), [text]) == [LIBRARY.encode(text)]
+
+
 def test_unigram_scores() -> None:
     """Of a unigram model the best total score, by trying all cuts."""
     model = pieces.Model(["<unk>", "\u2581a", "b", "ab", "\u2581", "a", "ba", "bab"], np.array([0, -1.0, -2.0, -1.5, -1.0, -2.5, -2.2, -4.0]), [], [0], False)
@@ -46,9 +59,9 @@ def test_unigram_scores() -> None:
 
     draw = random.Random(1)
     for _ in range(50):
-        text = "".join(draw.choice("ab") for _ in range(draw.randint(1, 9)))
-        (ids,) = encode(model, [text])
-        assert np.isclose(model.scores[ids].sum(), best("\u2581" + text))
+        batch = ["".join(draw.choice("ab") for _ in range(draw.randint(1, 9))) for _ in range(draw.choice([1, 40]))]
+        for text, ids in zip(batch, encode(model, batch), strict=True):
+            assert np.isclose(model.scores[ids].sum(), best("\u2581" + text))
 
 
 def test_encoding_of_tables(spark) -> None:
@@ -119,3 +132,9 @@ def test_long_runs_of_white_space() -> None:
         assert tokencount.encode(coder, text, 2).tolist() == coder.encode_ordinary(text)
     assert len(tokencount.encode(coder, " " * 1_000_000)) == len(coder._encode_single_piece(b" " * 1_000_000))
     assert len(tokencount.encode(coder, "a" + " " * 1_000_000 + "b")) > 2
+    for n in (99, 100, 101):
+        text = ("x" + " " * n) * 20
+        assert tokencount.encode(coder, text).tolist() == coder.encode_ordinary(text)
+    before = time.process_time()
+    assert len(tokencount.encode(coder, ("x" + " " * 9_999) * 100)) > 200
+    assert time.process_time() - before < 10
