@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, langid, pieces, quality_model, quality_rules, suffixes, tokencount, urlfilter
+from . import align, chat, decontam, jaccard, langid, pieces, quality_model, quality_rules, suffixes, tokencount, urlfilter
 from .common import read
 
 
@@ -52,7 +52,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(read(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op6_token_counts, op7_decontamination, op8_url_filters, op9_sentencepiece, op10_suffix_dedup)
+    f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op6_token_counts, op7_decontamination, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op11_cross_tokenizer_alignment)
 }
 ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.join_sql(), "op5_chat_formatting": chat.collapse_sql()}
