@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, chat, decontam, jaccard, langid, pieces, quality_model, quality_rules, suffixes, tokencount, urlfilter
+from . import align, chat, decontam, filteraudit, jaccard, langid, pieces, quality_model, quality_rules, suffixes, tokencount, urlfilter, warc
 from .common import read
 
 
@@ -56,7 +56,15 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.report(read(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op6_token_counts, op7_decontamination, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op11_cross_tokenizer_alignment)
+    f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_language_id, op4_quality_rules, op5_chat_formatting, op6_token_counts, op7_decontamination, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op11_cross_tokenizer_alignment, op12_filter_interaction_audit, op13_warc)
 }
-ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.join_sql(), "op5_chat_formatting": chat.collapse_sql()}
+ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.join_sql(), "op5_chat_formatting": chat.collapse_sql(), "op12_filter_interaction_audit": filteraudit.audit_sql(), "op13_warc": warc.round_trip_sql()}
