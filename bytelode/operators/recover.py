@@ -1,6 +1,7 @@
 """Recovery of fragmented JPEGs: candidate blocks ranked by entropy, marker validity and decodability, then spliced.
 
-Offsets and scores are shuffled, images only where the rows that concern them are too many to go to the images.
+Offsets and scores are shuffled, images only where they are given whole and the rows that concern them are too many to go
+to the images.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelode.functions.bytesx import recovered_filename
-from bytelode.functions.huffman import context, count_units
+from bytelode.functions.huffman import context, count_all
 from bytelode.sources.scratch import settle
+from bytelode.sources.store import Ranges, read_ranges
+
+from . import intervals
 
 LEAST_BLOCK, LEAST_FRAGMENT, POOL = 16, 4, 3
+#: Blocks of a bin, and bytes of candidates that are read and decoded together (one candidate at least).
+BIN_BLOCKS, TOGETHER = 2048, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -44,48 +50,85 @@ def block_entropy(data: bytes, starts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def validity(flat: np.ndarray, owner: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """`ff_validity` of each stretch of flat bytes, one after the other: in a run of FF bytes every second one starts a pair, and a pair ends within its stretch."""
+    ff = np.flatnonzero(flat == 0xFF)
+    new = np.ones(len(ff), bool)
+    new[1:] = (ff[1:] != ff[:-1] + 1) | (owner[ff[1:]] != owner[ff[:-1]])
+    run = ff[np.maximum.accumulate(np.where(new, np.arange(len(ff)), 0))] if len(ff) else ff
+    first = ff[((ff - run) % 2 == 0) & (ff + 1 < end[owner[ff]])]
+    second, of = flat[first + 1], owner[first]
+    may = (second == 0) | (second == 0xD9) | ((second >= 0xD0) & (second <= 0xD7))
+    seen = np.bincount(of, minlength=len(end))
+    return np.where(seen > 0, np.bincount(of, may, len(end)) / np.maximum(seen, 1), 1.0)
+
+
 def block_validity(data: bytes, starts: np.ndarray, size: int) -> np.ndarray:
-    """Of each block at starts `ff_validity`: in a run of FF bytes every second one starts a pair, and a pair ends within its block."""
+    """Of each block at starts `ff_validity`."""
     out = np.ones(len(starts))
     values = np.frombuffer(data, np.uint8)
     for lo in range(0, len(starts), 4096):
         at = starts[lo : lo + 4096]
         n = np.minimum(size, len(values) - at)
-        owner = np.repeat(np.arange(len(at)), n)
-        flat = values[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        ff = np.flatnonzero(flat == 0xFF)
-        new = np.ones(len(ff), bool)
-        new[1:] = (ff[1:] != ff[:-1] + 1) | (owner[ff[1:]] != owner[ff[:-1]])
-        run = ff[np.maximum.accumulate(np.where(new, np.arange(len(ff)), 0))] if len(ff) else ff
-        first = ff[((ff - run) % 2 == 0) & (ff + 1 < np.cumsum(n)[owner[ff]])]
-        second, of = flat[first + 1], owner[first]
-        may = (second == 0) | (second == 0xD9) | ((second >= 0xD0) & (second <= 0xD7))
-        seen = np.bincount(of, minlength=len(at))
-        out[lo : lo + 4096] = np.where(seen > 0, np.bincount(of, may, len(at)) / np.maximum(seen, 1), 1.0)
+        end = np.cumsum(n)
+        out[lo : lo + 4096] = validity(values[np.repeat(at - end + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(at)), n), end)
     return out
 
 
-def _on_images(images: DataFrame, rows: DataFrame, score: Callable[[bytes, dict], list[tuple]], schema: str) -> DataFrame:
-    """score(bytes of the image, row) for every row, each giving tuples of schema after image_id.
+class Held:
+    """An image whose bytes are at hand, as `Ranges` reads it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def size(self, _: str) -> int:
+        return len(self.data)
+
+    def read(self, _: str, offset: int, length: int) -> bytes:
+        return self.data[offset : offset + length] if offset >= 0 else b""
+
+
+#: Scores rows of images: of (reader, row) pairs each gives tuples of the schema after image_id.
+Score = Callable[[list[tuple[Held | Ranges, dict]]], list[list[tuple]]]
+
+
+def _visit(images: DataFrame | None, rows: DataFrame, score: Score, schema: str, together: int) -> DataFrame:
+    """score of all rows, `together` at a time, where their images are or, where image_id is a path (images is None), by ranges read for each row.
 
     rows come from a table, so Spark knows their size: below its threshold for broadcasts they go to the images, which stay
-    where they are; beyond it both are dealt by image_id.
+    where they are; beyond it both are dealt by image_id. Read by ranges, nothing but the rows is ever dealt out.
     """
-    names = [c for c in rows.columns if c != "image_id"]
-    by_image = rows.groupBy("image_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
     arrow = [x.split(" ", 1)[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(names: list[str], found: list[list[tuple]]) -> pa.RecordBatch:
+        flat = [(image, *f) for image, some in zip(names, found, strict=True) for f in some]
+        columns = list(zip(*flat, strict=True)) or [()] * (1 + len(arrow))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(schema), strict=True)], ["image_id", *arrow])
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Ranges()
+        for batch in batches:
+            asked = batch.to_pylist()
+            for lo in range(0, len(asked), together):
+                some = asked[lo : lo + together]
+                yield batch_of([r["image_id"] for r in some], score([(reader, r) for r in some]))
+        reader.close()
+
+    def at_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []
-            for image, content, asked in zip(batch.column("image_id").to_pylist(), batch.column("content"), batch.column("rows").to_pylist(), strict=True):
-                data = content.as_py() or b""
-                for row in asked:
-                    found += ((image, *f) for f in score(data, row))
-            columns = list(zip(*found, strict=True)) or [()] * (1 + len(arrow))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(schema), strict=True)], ["image_id", *arrow])
+            names, asked = [], []
+            for image, content, some in zip(batch.column("image_id").to_pylist(), batch.column("content"), batch.column("rows").to_pylist(), strict=True):
+                held = Held(content.as_py() or b"")
+                names += [image] * len(some)
+                asked += [(held, {"image_id": image, **row}) for row in some]
+            for lo in range(0, len(asked), together):
+                yield batch_of(names[lo : lo + together], score(asked[lo : lo + together]))
 
-    return images.join(by_image, "image_id").select("image_id", "content", "rows").mapInArrow(run, f"image_id string, {schema}")
+    if images is None:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(tasks).sortWithinPartitions("image_id").mapInArrow(by_range, f"image_id string, {schema}")
+    by_image = rows.groupBy("image_id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "image_id"))).alias("rows"))
+    return images.join(by_image, "image_id").select("image_id", "content", "rows").mapInArrow(at_hand, f"image_id string, {schema}")
 
 
 def _types(schema: str) -> list[pa.DataType]:
@@ -124,52 +167,99 @@ def rank_by_units(rows: DataFrame) -> DataFrame:
     return rows.where("size is not null").withColumn("rank2", rank).where("rank2 = 1")
 
 
-def scored_blocks(data: bytes, row: dict, c: RecoveryConfig) -> list[tuple]:
-    """(seq, offset, entropy, ff, direct) of one JPEG's blocks: those that can be among the best 3n, and the direct one."""
-    start, direct = row["search_at"] // c.block_size * c.block_size, row["header_at"] + row["fragment_len"]
-    starts = np.arange(start, min(start + c.search_window, len(data) - c.block_size), c.block_size)
-    starts = starts[(starts < row["header_at"]) | (starts >= direct)]
-    e = block_entropy(data, starts, c.block_size)
-    starts, e = starts[e >= c.min_entropy], e[e >= c.min_entropy]
-    best = np.lexsort((starts, -e))[: POOL * c.max_candidates]
-    starts, e = starts[best], e[best].tolist()
-    if direct not in starts and len(data) - direct >= LEAST_BLOCK:
-        starts, e = np.append(starts, direct), [*e, None]
-    enough = np.minimum(c.block_size, len(data) - starts) >= LEAST_BLOCK
-    ff = block_validity(data, starts, c.block_size).tolist()
-    return [(row["seq"], o, x, v, o == direct) for o, x, v, ok in zip(starts.tolist(), e, ff, enough.tolist(), strict=True) if ok]
+def bin_size(c: RecoveryConfig) -> int:
+    """Bytes of the bins that blocks are scored and joined in."""
+    return c.block_size * BIN_BLOCKS
+
+
+def windows(jpegs: DataFrame, c: RecoveryConfig) -> DataFrame:
+    """Where each JPEG's continuation is looked for: blocks from lo to hi, without those within its fragment."""
+    start = F.expr(f"search_at div {c.block_size}") * c.block_size
+    return jpegs.select("image_id", "seq", start.alias("lo"), (start + c.search_window).alias("hi"), F.col("header_at").alias("skip_lo"), (F.col("header_at") + F.col("fragment_len")).alias("skip_hi"))
+
+
+def _scores(c: RecoveryConfig) -> Score:
+    """The blocks of a bin (seq is null) that reach the least entropy, or the one right after a fragment, whatever its entropy."""
+
+    def score(asked: list[tuple[Held | Ranges, dict]]) -> list[list[tuple]]:
+        out = []
+        for reader, row in asked:
+            path, size, block = row["image_id"], reader.size(row["image_id"]), c.block_size
+            if row["seq"] is not None:
+                data = reader.read(path, row["at"], block)
+                found = [(row["seq"], row["at"], None, float(block_validity(data, np.zeros(1, np.int64), block)[0]))] if len(data) >= LEAST_BLOCK else []
+            else:
+                data = reader.read(path, row["at"], bin_size(c) + block)
+                starts = np.arange(0, min(bin_size(c), size - block - row["at"]), block)
+                starts = starts if block >= LEAST_BLOCK else starts[:0]
+                e = block_entropy(data, starts, block)
+                starts, e = starts[e >= c.min_entropy], e[e >= c.min_entropy]
+                found = [(None, row["at"] + o, x, v) for o, x, v in zip(starts.tolist(), e.tolist(), block_validity(data, starts, block).tolist(), strict=True)]
+            out.append(found)
+        return out
 
+    return score
 
-def recover(images: DataFrame, files: DataFrame, config: RecoveryConfig | None = None) -> DataFrame:
+
+def candidates(images: DataFrame | None, jpegs: DataFrame, c: RecoveryConfig) -> DataFrame:
+    """image_id, seq, offset, entropy, ff and direct: for each JPEG the blocks that can be among the best 3n, and the direct one.
+
+    A block is scored once for all JPEGs whose windows it is in; windows meet blocks in a join on bins.
+    """
+    where = windows(jpegs, c)
+    bins = intervals.covered(where, bin_size(c)).select("image_id", F.lit(None).cast("int").alias("seq"), (F.col("bin") * bin_size(c)).alias("at")).distinct()
+    direct = where.select("image_id", "seq", F.col("skip_hi").alias("at"))
+    asked = settle(bins.unionAll(direct), "bins")
+    scores = settle(_visit(images, asked, _scores(c), "seq int, offset long, entropy double, ff double", 64), "scores")
+    top = intervals.best(scores.where("seq is null").drop("seq"), where, ["image_id"], "seq", POOL * c.max_candidates, "entropy", bin_size(c)).drop("rank")
+    direct = scores.where("seq is not null").select("image_id", "seq", "offset", F.lit(True).alias("direct"), F.col("ff").alias("direct_ff"))
+    # the direct block is one of the best ones, or stands beside them without a score
+    both = top.join(direct, ["image_id", "seq", "offset"], "full")
+    return both.select("image_id", "seq", "offset", "entropy", F.coalesce("ff", "direct_ff").alias("ff"), F.coalesce("direct", F.lit(False)).alias("direct"))
+
+
+def splices(c: RecoveryConfig) -> Score:
+    """For each candidate, unless it is beyond the image, (seq, offset, entropy, ff, rank1, units, size): how far the splice decodes and where it ends."""
+
+    def score(asked: list[tuple[Held | Ranges, dict]]) -> list[list[tuple]]:
+        parts = [(reader.read(row["image_id"], row["header_at"], row["fragment_len"]), reader.read(row["image_id"], row["offset"], c.search_window)) for reader, row in asked]
+        contexts = {h: context(h) if c.huffman_validation else None for h in {h for h, _ in parts}}
+        units = count_all([(contexts[header], rest) for header, rest in parts])
+        out = []
+        for (_, row), (header, rest), n in zip(asked, parts, units, strict=True):
+            end = (header + rest[:1]).find(b"\xff\xd9")
+            if end < 0 and (at := rest.find(b"\xff\xd9")) >= 0:
+                end = len(header) + at
+            out.append([(row["seq"], row["offset"], row["entropy"], row["ff"], row["rank1"], n, None if end < 0 else end + 2)] if rest else [])
+        return out
+
+    return score
+
+
+def recover(images: DataFrame | None, files: DataFrame, config: RecoveryConfig | None = None) -> DataFrame:
     """One row for each JPEG that could be completed: names, method, scores, offsets and recovered_size; `spliced` adds the bytes.
 
-    Images are visited twice, for the scores of blocks and for those of splices; in between, rows of a few numbers are ranked.
+    images has image_id and content. Without images each image_id is the path of a file, of any size, that all executors
+    can open: of these only the ranges are read that are looked at, and no bytes are dealt out.
     """
     c = config or RecoveryConfig()
     jpegs = settle(incomplete(files).where(F.col("fragment_len") >= LEAST_FRAGMENT), "jpegs")
-
-    def splice(data: bytes, row: dict) -> list[tuple]:
-        header = data[row["header_at"] : row["header_at"] + row["fragment_len"]]
-        rest = data[row["offset"] : row["offset"] + c.search_window]
-        ctx = context(header) if c.huffman_validation else None
-        end = (header + rest).find(b"\xff\xd9")
-        size = None if end < 0 else end + 2
-        return [(row["seq"], row["offset"], row["entropy"], row["ff"], row["rank1"], count_units(ctx, rest) if ctx else None, size)] if rest else []
-
-    asked = jpegs.select("image_id", "seq", "header_at", "fragment_len", "search_at")
-    scored = _on_images(images, asked, lambda data, row: scored_blocks(data, row, c), "seq int, offset long, entropy double, ff double, direct boolean")
-    best = rank_by_validity(pool(scored, c), c).join(jpegs.select("image_id", "seq", "header_at", "fragment_len"), ["image_id", "seq"])
+    best = rank_by_validity(pool(candidates(images, jpegs, c), c), c).join(jpegs.select("image_id", "seq", "header_at", "fragment_len"), ["image_id", "seq"])
     best = settle(best.select("image_id", "seq", "offset", "entropy", "ff", "rank1", "header_at", "fragment_len"), "blocks")
-    won = rank_by_units(_on_images(images, best, splice, "seq int, offset long, entropy double, ff double, rank1 int, units long, size long"))
+    won = rank_by_units(_visit(images, best, splices(c), "seq int, offset long, entropy double, ff double, rank1 int, units long, size long", max(1, min(1024, TOGETHER // max(c.search_window, 1)))))
     won = won.join(jpegs.select("image_id", "seq", "filename", "header_at", "fragment_len"), ["image_id", "seq"])
     method = F.when(F.col("offset") == F.col("header_at") + F.col("fragment_len"), "direct_continuation").otherwise("fragment_reassembly")
     return won.select("image_id", F.col("filename").alias("original_filename"), recovered_filename(F.col("filename")).alias("recovered_filename"), method.alias("recovery_method"), F.col("entropy").alias("entropy_score"), F.col("header_at").alias("header_img_offset"), F.col("offset").alias("continuation_img_offset"), F.col("size").alias("recovered_size"), F.col("ff").alias("ff_validity_score"), F.col("units").alias("huffman_mcu_count"), "fragment_len")
 
 
-def spliced(images: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Rows of `recover` with their bytes (data): the fragment and what continues it, cut after the end marker."""
-    part = lambda at, n: F.substring("content", (F.col(at) + 1).cast("int"), n.cast("int"))
+def spliced(images: DataFrame | None, recovered: DataFrame) -> DataFrame:
+    """Rows of `recover` with their bytes (data): the fragment and what continues it, cut after the end marker. images as there."""
     head, rest = F.least("fragment_len", "recovered_size"), F.greatest(F.col("recovered_size") - F.col("fragment_len"), F.lit(0))
+    if images is None:
+        part = lambda df, at, n, name: read_ranges(df.withColumns({"path": F.col("image_id"), "offset": F.col(at), "length": n})).drop("path", "offset", "length").withColumnRenamed("bytes", name)
+        both = part(part(recovered, "header_img_offset", head, "_head"), "continuation_img_offset", rest, "_rest")
+        return both.select(*recovered.columns, F.concat("_head", "_rest").alias("data"))
+    part = lambda at, n: F.substring("content", (F.col(at) + 1).cast("int"), n.cast("int"))
     return images.join(recovered, "image_id").select(*recovered.columns, F.concat(part("header_img_offset", head), part("continuation_img_offset", rest)).alias("data"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import platform
-from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -85,16 +84,3 @@ def payloads(images: DataFrame, files: DataFrame) -> DataFrame:
     """The bytes of each file: image_id, filename, data."""
     run = F.col("byte_runs")[0]
     return files.join(images, "image_id").select("image_id", "filename", F.substring("content", (run["img_offset"] + 1).cast("int"), run["len"].cast("int")).alias("data"))
-
-
-def write_files(payload: DataFrame, directory: str) -> None:
-    """Write every file from where its row is, into a folder that all executors share."""
-
-    def put(rows: Iterator[Row]) -> None:
-        os.makedirs(directory, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(directory, r.filename), "wb") as f:
-                f.write(r.data)
-
-    payload.select("filename", "data").foreachPartition(put)
-

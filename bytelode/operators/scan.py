@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from bytelode.functions import walkers as W
 from bytelode.functions.bytesx import WILDCARD, matches, piece
 
+from .signatures import Signatures, printable
 from .specs import Spec
 
 HEAD = 64
+__all__ = ["block_hits", "chunk_hits", "find", "find_last", "hits", "image_hits", "occurrences", "positions", "printable"]
 SCAN = "struct<width: int, height: int, broken: long, restarts: boolean, status: string>"
 #: The facts of a hit that its chunk has no footer for, seen on the whole image up to the longest size.
 LATE = "struct<rem: long, footer_at: long, marker_end: long, head: binary, sound: boolean>"
@@ -58,28 +60,10 @@ def find_last(data: bytes, value: bytes, case_sensitive: bool = True) -> int | N
     return at
 
 
-def printable(byte: int) -> bool:
-    return 32 <= byte < 127 or byte in (9, 10, 13)
-
-
-def positions(data: bytes, spec: Spec, quick_block: int = 0) -> Iterator[int]:
+def positions(data: bytes, spec: Spec, quick_block: int = 0) -> list[int]:
     """All places of a spec's header, overlapping ones too: at block boundaries only in quick mode; within printable bytes for Ascii; from the end for Reverse."""
-    h = spec.header
-    if quick_block:
-        fits = pattern(h, spec.case_sensitive).match
-        yield from (k for k in range(0, len(data) - len(h) + 1, quick_block) if fits(data, k))
-        return
-    found: list[int] | Iterator[int] = _forward(data, spec)
-    if spec.search_type == "Ascii":
-        found = (k for k in found if all(map(printable, data[k : k + len(h)])))
-    yield from reversed(list(found)) if spec.search_type == "Reverse" else found
-
-
-def _forward(data: bytes, spec: Spec) -> Iterator[int]:
-    at = find(data, spec.header, 0, spec.case_sensitive)
-    while at is not None:
-        yield at
-        at = find(data, spec.header, at + 1, spec.case_sensitive)
+    found = Signatures([spec]).places(data, quick_block).get(0, [])
+    return [int(k) for k in (found[::-1] if spec.search_type == "Reverse" and not quick_block else found)]
 
 
 class _Next:
@@ -94,25 +78,29 @@ class _Next:
         return self.at
 
 
-class _Chunk:
-    """A chunk as the ascending hits of one spec see it: what several of them would look for again is found once."""
+class _Shared:
+    """What hits of several specs look for in the same data, found when first asked for."""
 
-    def __init__(self, data: bytes, spec: Spec) -> None:
-        self.data, self.spec, self.kind = data, spec, spec.file_type.lower()
-        self.footer = _Next(data, spec.footer, spec.case_sensitive) if spec.footer else None
-        self.markers = [_Next(data, m) for m in spec.markers]
-        self.end = _Next(data, _ENDS[self.kind]) if self.kind in _ENDS else None
+    def __init__(self, data: bytes) -> None:
+        self.data = data
 
-    @cached_property
-    def entries(self) -> tuple[list[int], list[int]]:
-        return W.zip_ends(self.data)
+    zip = cached_property(lambda self: W.zip_ends(self.data))
+    pdf = cached_property(lambda self: W.PdfMarks(self.data))
+    jpeg = cached_property(lambda self: W.JpegMarks(self.data))
+    mov = cached_property(lambda self: W.MovMarks(self.data))
 
-    @cached_property
-    def last_eof(self) -> int:
-        return self.data.rfind(b"%%EOF")
+
+class _Chunk:
+    """A chunk as the ascending hits of one spec see it: what several of them would look for again is found once, and nothing is copied for a hit but its head."""
+
+    def __init__(self, shared: _Shared, spec: Spec) -> None:
+        self.shared, self.data, self.spec, self.kind = shared, shared.data, spec, spec.file_type.lower()
+        self.footer = _Next(self.data, spec.footer, spec.case_sensitive) if spec.footer else None
+        self.markers = [_Next(self.data, m) for m in spec.markers]
+        self.end = _Next(self.data, _ENDS[self.kind]) if self.kind in _ENDS else None
 
     def facts(self, pos: int) -> tuple:
-        data, spec, kind, longest = self.data, self.spec, self.kind, self.spec.max_len
+        data, shared, kind, longest = self.data, self.shared, self.kind, self.spec.max_len
         rem = len(data) - pos
         at = self.footer.after(pos) if self.footer else None
         footer_at = None if at is None else at - pos
@@ -125,98 +113,128 @@ class _Chunk:
         elif kind == "zip" and end is not None and end <= len(data) - 22:
             probe_at, probe = end - pos, data[end : end + 22]
         elif kind == "zip":
-            walked = W.zip_by_headers(data, longest, pos, self.entries)
+            walked = W.zip_by_headers(data, longest, pos, shared.zip)
         elif kind == "pdf":
-            walked = W.pdf_size(data, longest, pos, self.last_eof)
+            walked = W.pdf_size(data, longest, pos, shared.pdf)
         elif kind == "jpeg":
-            body = data[pos : pos + longest]
-            s = W.jpeg(body, longest)
-            walked, scan = W.jpeg_size(s, body, longest), {"width": s.width, "height": s.height, "broken": s.broken, "restarts": s.restarts, "status": s.status}
+            s = W.jpeg(data, longest, pos, shared.jpeg)
+            walked = W.jpeg_size(s, data, longest, pos, shared.jpeg)
+            scan = {"width": s.width, "height": s.height, "broken": s.broken, "restarts": s.restarts, "status": s.status}
         elif kind == "mpg":
             walked = plain if end is None else min(end + 4 - pos, longest)
         elif kind == "mov":
-            body = memoryview(data)[pos:]
-            walked = W.mov_size(body, longest)
-            sound = W.mov_valid(body[: self._length(footer_at, plain, walked)])
+            walked = W.mov_size(data, longest, pos)
+            sound = W.mov_valid(data, pos, min(len(data), pos + self._length(footer_at, plain, walked)), shared.mov)
         elif kind == "gzip":
             fields = data[pos : pos + W.GZIP_HEAD]
-            walked = 0 if rem < 18 else plain if _gzip_valid(fields, rem) else min(W.FALLBACK, plain)
+            walked = 0 if rem < 18 else rem if _gzip_valid(fields, rem) else min(W.FALLBACK, plain)
             size = min(self._length(footer_at, plain, walked), rem)
             sound = _gzip_valid(fields[:size], size)
+            if may_wait(self.spec) and footer_at is None:
+                probe_at = gzip_body(fields, rem < W.GZIP_HEAD)
+                probe = fields if probe_at is None else None
         return rem, footer_at, min(ends, default=None), head, probe_at, probe, walked, sound, scan
 
     def _length(self, footer_at: int | None, plain: int, walked: int) -> int:
         return walked if not self.spec.footer else plain if footer_at is None else footer_at + len(self.spec.footer)
 
+    def late(self, start: int, near: tuple) -> dict | None:
+        """What the image, of which this is all, says of a hit whose chunk has no footer for it; None where that isn't asked."""
+        spec, data = self.spec, self.data
+        if not waits(spec, near):
+            return None
+        rem = min(len(data) - start, spec.max_len)
+        within = lambda x: m - start if (m := x.after(start)) is not None and m + len(x.value) - start <= rem else None
+        footer_at = within(self.footer)
+        ends = [m + len(x.value) for x in self.markers if (m := within(x)) is not None]
+        size = rem if footer_at is None else footer_at + len(spec.footer)
+        if self.kind == "mov":
+            sound = W.mov_valid(data, start, start + size, self.shared.mov)
+        else:
+            sound = self.kind == "gzip" and _gzip_valid(data[start : start + min(size, W.GZIP_HEAD)], size)
+        return {"rem": rem, "footer_at": footer_at, "marker_end": min(ends, default=None), "head": data[start : start + min(HEAD, rem)], "sound": sound}
+
 
 #: What ends a file of a kind, wherever that is.
 _ENDS = {"zip": b"PK\x05\x06", "mpg": b"\x00\x00\x01\xb9"}
 
 
+def may_wait(spec: Spec) -> bool:
+    """Whether hits of a spec are measured beyond their chunk where that has no footer for them."""
+    return bool(spec.footer) and spec.file_type.lower() not in WITHIN
+
+
+def waits(spec: Spec, near: tuple) -> bool:
+    return may_wait(spec) and near[1] is None and near[0] < spec.max_len
+
+
 def _gzip_valid(fields: bytes, size: int) -> bool:
     start = W.gzip_header_end(fields)
     return start is not None and W.gzip_payload_valid(fields, start, size)
 
 
-def _late(image: _Chunk, start: int, facts: tuple) -> dict | None:
-    """What the image says beyond the chunk of a hit whose footer is not in it; None where that isn't asked."""
-    spec, kind, data = image.spec, image.kind, image.data
-    if image.footer is None or facts[1] is not None or facts[0] >= spec.max_len or kind in WITHIN:
+def gzip_body(fields: bytes, cut: bool) -> int | None:
+    """Where the compressed data of a gzip file may start, -1 where it can't be one; None if fields are cut too early to tell."""
+    at = W.gzip_header_end(fields)
+    if cut and (at is None or at + 5 > len(fields)):
         return None
-    rem = min(len(data) - start, spec.max_len)
-    within = lambda x: m - start if (m := x.after(start)) is not None and m + len(x.value) - start <= rem else None
-    footer_at = within(image.footer)
-    ends = [m + len(x.value) for x in image.markers if (m := within(x)) is not None]
-    size = rem if footer_at is None else footer_at + len(spec.footer)
-    sound = W.mov_valid(memoryview(data)[start : start + size]) if kind == "mov" else kind == "gzip" and _gzip_valid(data[start : start + min(size, W.GZIP_HEAD)], size)
-    return {"rem": rem, "footer_at": footer_at, "marker_end": min(ends, default=None), "head": data[start : start + min(HEAD, rem)], "sound": sound}
-
-
-def chunk_hits(data: bytes, specs: list[Spec], quick_block: int = 0, offset: int = 0, image: bytes | None = None) -> Iterator[tuple]:
-    """Rows of HIT after chunk_offset, for one chunk; late facts if the image is given that the chunk starts in at offset."""
-    for idx, spec in enumerate(specs):
-        found = list(positions(data, spec, quick_block))
-        if not found:
-            continue
-        literal = spec.literal and not quick_block
-        near, far = _Chunk(data, spec), _Chunk(image, spec) if image is not None else None
-        facts = {pos: near.facts(pos) for pos in sorted(found)}
-        late = {pos: _late(far, offset + pos, facts[pos]) for pos in sorted(found)} if far else {}
-        for n, pos in enumerate(found):
-            order = (0, pos + len(spec.header), idx) if literal else (1, idx, n)
-            yield idx, pos, *order, *facts[pos], late.get(pos)
-
-
-def _run(specs: list[Spec], quick_block: int, only_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        ids, nos, offsets = (batch.column(k).to_pylist() for k in ("image_id", "chunk_no", "chunk_offset"))
-        wanted = batch.column("spec_idx").to_pylist() if only_first else [None] * batch.num_rows
-        for image, no, offset, data, idx in zip(ids, nos, offsets, batch.column("bytes"), wanted, strict=True):
-            body = data.as_py() or b""
-            if only_first:
-                yield image, no, offset, idx, 0, 2, 0, 0, *_Chunk(body, specs[idx]).facts(0), None
-            else:
-                for hit in chunk_hits(body, specs, quick_block):
+    return at if at is not None and W.gzip_payload_valid(fields, at, at + 9) else -1
+
+
+def chunk_hits(data: bytes, specs: list[Spec] | Signatures, quick_block: int = 0, offset: int = 0, image: _Shared | None = None) -> Iterator[tuple]:
+    """Rows of HIT after chunk_offset, for one chunk, spec by spec and ascending; late facts if the image is given that the chunk starts in at offset."""
+    signatures = specs if isinstance(specs, Signatures) else Signatures(specs)
+    near = _Shared(data)
+    for idx, found in signatures.places(data, quick_block).items():
+        spec = signatures.specs[idx]
+        literal, backward = spec.literal and not quick_block, spec.search_type == "Reverse" and not quick_block
+        chunk, whole = _Chunk(near, spec), _Chunk(image, spec) if image is not None else None
+        for n, pos in enumerate(found.tolist()):
+            facts = chunk.facts(pos)
+            order = (0, pos + len(spec.header), idx) if literal else (1, idx, len(found) - n if backward else n)
+            yield idx, pos, *order, *facts, whole.late(offset + pos, facts) if whole else None
+
+
+def _run(specs: list[Spec], quick_block: int, ends: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def start() -> Callable[[pa.RecordBatch], Iterator[tuple]]:
+        signatures = Signatures(specs)
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            ids, nos, offsets = (batch.column(k).to_pylist() for k in ("image_id", "chunk_no", "chunk_offset"))
+            for image, no, offset, data in zip(ids, nos, offsets, batch.column("bytes"), strict=True):
+                body = data.as_py() or b""
+                if ends:
+                    yield from ((image, no, offset, *end) for end in chunk_ends(body, specs))
+                for hit in chunk_hits(body, signatures, quick_block):
                     yield image, no, offset, *hit
 
-    return _batched(rows)
+        return rows
+
+    return _batched(start)
 
 
 def _run_images(specs: list[Spec], quick_block: int, chunk_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for name, content in zip(batch.column("image_id").to_pylist(), batch.column("content"), strict=True):
-            image = content.as_py() or b""
-            for no, offset in enumerate(range(0, len(image), chunk_size)):
-                for hit in chunk_hits(image[offset : offset + chunk_size], specs, quick_block, offset, image):
-                    yield name, no, offset, *hit
+    def start() -> Callable[[pa.RecordBatch], Iterator[tuple]]:
+        signatures = Signatures(specs)
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for name, content in zip(batch.column("image_id").to_pylist(), batch.column("content"), strict=True):
+                image = content.as_py() or b""
+                whole = _Shared(image)
+                for no, offset in enumerate(range(0, len(image), chunk_size)):
+                    for hit in chunk_hits(image[offset : offset + chunk_size], signatures, quick_block, offset, whole):
+                        yield name, no, offset, *hit
+
+        return rows
 
-    return _batched(rows)
+    return _batched(start)
 
 
-def _batched(rows: Callable[[pa.RecordBatch], Iterator[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of HIT in batches of some _ROWS, whatever the batches that they come from."""
+def _batched(start: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of HIT in batches of some _ROWS, whatever the batches that they come from; start makes what a task needs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = start()
         held: list[tuple] = []
         for batch in batches:
             for row in rows(batch):
@@ -234,9 +252,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
 
-def hits(chunks: DataFrame, specs: list[Spec], quick_block: int = 0) -> DataFrame:
-    """Every header hit in chunks (image_id, chunk_no, chunk_offset, bytes). The bytes stay in this stage; of a file only its first HEAD bytes go on."""
-    return chunks.select("image_id", "chunk_no", "chunk_offset", "bytes").mapInArrow(_run(specs, quick_block, False), HIT)
+def hits(chunks: DataFrame, specs: list[Spec], quick_block: int = 0, ends: bool = False) -> DataFrame:
+    """Every header hit in chunks (image_id, chunk_no, chunk_offset, bytes), those of a spec in a chunk side by side and ascending.
+
+    The bytes stay in this stage; of a file only its first HEAD bytes go on. With ends each chunk's rows of `chunk_ends`
+    come before its hits.
+    """
+    return chunks.select("image_id", "chunk_no", "chunk_offset", "bytes").mapInArrow(_run(specs, quick_block, ends), HIT)
+
+
+#: pass_no of the rows that say what a chunk holds for hits of chunks before it.
+ENDS = -1
+
+
+def lead(specs: list[Spec]) -> int:
+    """How many bytes of a chunk's start and end its neighbours must know: to see heads, footers and markers that lie across."""
+    return max([HEAD, *(len(x) for s in specs if may_wait(s) for x in (s.footer, *s.markers))])
+
+
+def chunk_ends(data: bytes, specs: list[Spec]) -> Iterator[tuple]:
+    """What hits of other chunks must know of one chunk, as rows of HIT after chunk_offset whose pass_no is ENDS.
+
+    One row (spec_idx -1) has its length as pos, its first bytes as head and its last ones as probe; and one for each spec
+    that may wait has the places of its first footer and of the first end of a marker.
+    """
+    size, columns = lead(specs), _NAMES[3:]
+    first = max(size, W.GZIP_HEAD if any(may_wait(s) and s.file_type.lower() == "gzip" for s in specs) else 0)
+    row = lambda **known: tuple(known.get(c) for c in columns)
+    yield row(spec_idx=-1, pos=len(data), pass_no=ENDS, head=data[:first], probe=data[max(0, len(data) - size) :])
+    for idx, spec in enumerate(specs):
+        if may_wait(spec):
+            ends = [at + len(m) for m in spec.markers if (at := find(data, m)) is not None]
+            yield row(spec_idx=idx, pos=0, pass_no=ENDS, footer_at=find(data, spec.footer, 0, spec.case_sensitive), marker_end=min(ends, default=None))
 
 
 def image_hits(images: DataFrame, specs: list[Spec], chunk_size: int, quick_block: int = 0) -> DataFrame:
@@ -283,9 +330,22 @@ def occurrences(texts: DataFrame, patterns: DataFrame, chars: int = PATTERN_CHAR
     return out.groupBy("pattern").agg(F.sum("n_hits").alias("n_hits"))
 
 
-def reread(windows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """The facts of one hit at the start of each window (as hits, with spec_idx)."""
-    return windows.select("image_id", "chunk_no", "chunk_offset", "bytes", "spec_idx").mapInArrow(_run(specs, 0, True), HIT)
+def _tally(specs: list[Spec]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signatures = Signatures(specs)
+        for batch in batches:
+            found: Counter[int] = Counter()
+            for data in batch.column("bytes"):
+                for idx, at in signatures.places(data.as_py() or b"").items():
+                    found[idx] += len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["spec_idx", "n_hits"])
+
+    return run
+
+
+def tally(chunks: DataFrame, specs: list[Spec]) -> DataFrame:
+    """spec_idx and n_hits: how often each header that is met stands in chunks (column bytes), in one pass for all of the catalog."""
+    return chunks.select("bytes").mapInArrow(_tally(specs), "spec_idx int, n_hits long").groupBy("spec_idx").agg(F.sum("n_hits").alias("n_hits"))
 
 
 def block_hits(data: Column, header: bytes, block_size: int, case_sensitive: bool = True) -> Column:

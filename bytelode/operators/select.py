@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from bytelode.sources.scratch import keep, owned, settle
+
 #: Rows of a segment that are gathered as one array; longer ones are resolved by joins.
 LONGEST = 10_000
 
@@ -39,17 +42,44 @@ def greedy(df: DataFrame, keys: list[str], pos: str, advance: str) -> DataFrame:
     return one.select(*keys, *(F.col(f"r.{c}").alias(c) for c in (pos, advance, *rest)))
 
 
-def _stash(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that row numbers and partitions stay what they were."""
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bytelode-")
-    at = f"{at.rstrip('/')}/select-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def in_order(df: DataFrame, keys: list[str], pos: str, advance: str, always: str | None = None) -> DataFrame:
+    """As greedy, for rows of a key that stand side by side in ascending order, as a scan leaves them: nothing is gathered or shuffled.
+
+    Rows for which `always` holds are kept, and stand outside of the selection.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, reach = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            coded = [np.asarray(pc.dictionary_encode(batch.column(k), null_encoding="encode").indices) for k in keys]
+            new = np.ones(n, bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in coded], axis=0)
+            at, on = (np.asarray(batch.column(c).fill_null(0)) for c in (pos, advance))
+            kept = np.asarray(batch.column(always).fill_null(False)) if always else np.zeros(n, bool)
+            kept = kept.copy()
+            cuts = np.flatnonzero(new).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], n], strict=True):
+                key = tuple(batch.column(k)[lo].as_py() for k in keys)
+                if key != before:
+                    before, reach = key, None
+                if kept[lo]:  # rows to keep always share no key with others
+                    continue
+                k = lo if reach is None else lo + int(np.searchsorted(at[lo:hi], reach, "left"))
+                while k < hi:
+                    kept[k] = True
+                    reach = int(at[k] + on[k])
+                    k = max(k + 1, lo + int(np.searchsorted(at[lo:hi], reach, "left")))
+            yield batch.filter(pa.array(kept))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
     """df with _idx, which ascends with order, and _part, the range of the sort a row is in; no range is a whole key's by need."""
-    return _stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_idx", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_idx", 33)))
+    return settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_idx", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_idx", 33)))
 
 
 def _running(df: DataFrame, keys: list[str], value: Column, name: str, last: int = 0, down: bool = False) -> DataFrame:
@@ -74,13 +104,13 @@ def _chains(rows: DataFrame) -> DataFrame:
     probes = rows.select("_seg", F.when(whole, F.col("_end")).otherwise(F.col("_at")).alias("_at"), F.when(whole, 0).otherwise(1).alias("_tag"), F.col("_idx").alias("_row"), F.lit(1).alias("_sub"))
     both = rows.select("_seg", "_at", F.lit(1).alias("_tag"), F.col("_idx").alias("_row"), F.lit(0).alias("_sub")).unionAll(probes)
     after = _running(_sorted(both, ["_seg", "_at", "_tag", "_row", "_sub"]), ["_seg"], F.expr("if(_sub = 0, _row, null)"), "_next", -1, True)
-    jumps = [_stash(after.where("_sub = 1 and _next is not null").select("_row", "_next"))]
+    jumps = [settle(after.where("_sub = 1 and _next is not null").select("_row", "_next"))]
     while not jumps[-1].isEmpty():
         then = jumps[-1].select(F.col("_row").alias("_next"), F.col("_next").alias("_then"))
-        jumps.append(_stash(jumps[-1].join(then, "_next").select("_row", F.col("_then").alias("_next"))))
+        jumps.append(settle(jumps[-1].join(then, "_next").select("_row", F.col("_then").alias("_next"))))
     kept = rows.where("_idx = _seg").select("_idx")
     for jump in reversed(jumps[:-1]):
-        kept = _stash(kept.unionAll(kept.join(jump, F.col("_idx") == F.col("_row")).select(F.col("_next").alias("_idx"))))
+        kept = settle(kept.unionAll(kept.join(jump, F.col("_idx") == F.col("_row")).select(F.col("_next").alias("_idx"))))
     return kept
 
 
@@ -89,19 +119,25 @@ def greedy_any(df: DataFrame, keys: list[str], pos: str, advance: str, longest:
 
     A row that starts at or after every earlier end is kept whatever came before, so each key falls into independent
     segments. Those of up to `longest` rows are gathered, others resolved by joins; only positions and row numbers take part.
+    The result is a table in the shared folder, which the caller may discard; those made on the way are gone.
     """
+    with owned():
+        return keep(settle(_greedy_any(df, keys, pos, advance, longest), "kept"))
+
+
+def _greedy_any(df: DataFrame, keys: list[str], pos: str, advance: str, longest: int) -> DataFrame:
     names = df.columns
     rest = [c for c in names if c not in keys and c not in (pos, advance)]
     rows = _sorted(df, [*keys, pos, advance, *rest]).withColumn("_end", F.col(pos) + F.greatest(F.col(advance), F.lit(0)))
     rows = _running(rows, keys, F.col("_end"), "_before", -1)
-    rows = _stash(rows.withColumn("_start", F.coalesce(F.col(pos) >= F.col("_before"), F.lit(True))))
-    rows = _stash(_running(rows, keys, F.expr("if(_start, _idx, null)"), "_seg"))
-    sizes = _stash(rows.groupBy("_seg").count().where(F.col("count") > longest).select("_seg"))
+    rows = settle(rows.withColumn("_start", F.coalesce(F.col(pos) >= F.col("_before"), F.lit(True))))
+    rows = settle(_running(rows, keys, F.expr("if(_start, _idx, null)"), "_seg"))
+    sizes = settle(rows.groupBy("_seg").count().where(F.col("count") > longest).select("_seg"))
     if sizes.isEmpty():
         return greedy(rows.select(*names, "_seg"), [*keys, "_seg"], pos, advance).select(*names)
     short = greedy(rows.join(sizes, "_seg", "left_anti").select(*names, "_seg"), [*keys, "_seg"], pos, advance).select(*names)
     long = rows.join(sizes, "_seg", "left_semi")
-    kept = _chains(_stash(long.select("_seg", "_idx", F.col(pos).alias("_at"), "_end")))
+    kept = _chains(settle(long.select("_seg", "_idx", F.col(pos).alias("_at"), "_end")))
     return short.unionAll(long.join(kept, "_idx", "left_semi").select(*names))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytelode.functions import bytesx, extents
-from bytelode.operators import scan, select
+from bytelode.operators import scan, select, stitch
 from bytelode.operators.specs import Spec, builtin_specs, specs_frame
 from bytelode.sources import images as I
+from bytelode.sources.scratch import settle
 
 MODES = ("file", "buffer")
 
@@ -34,62 +35,67 @@ class CarveConfig:
 _FACTS = ["file_type", "suffix", "max_len", "header_len", "footer_len", "n_markers", "rem", "footer_at", "marker_end", "head", "probe_at", "probe", "walked", "sound"]
 
 
+def _measured(rows: DataFrame, config: CarveConfig, late: bool) -> DataFrame:
+    """rows with ok, size (0: no file) and comment by a hit's facts, or by its late ones under names that begin with late_."""
+    kinds = {s.file_type.lower() for s in config.specs} - {*(scan.WITHIN if late else ())}
+    h = {k: F.col(k) for k in _FACTS}
+    if late:
+        h |= {k: F.col(f"late.{k}") for k in ("rem", "footer_at", "marker_end", "head", "sound")}
+        h |= {k: F.lit(None).cast(kind) for k, kind in (("probe_at", "long"), ("probe", "binary"), ("walked", "long"))}
+    name = "late_" if late else ""
+    if "bmp" in kinds:
+        rows = rows.withColumn("numbers", F.when(F.col("file_type") == "bmp", extents.bmp_numbers(h["head"])))
+        h["numbers"] = F.col("numbers")
+    rows = rows.withColumn("raw", extents.size(h, kinds))
+    raw = F.col("raw")
+    ok = (raw > 0) & (raw <= h["rem"])
+    ok = F.coalesce(ok if config.disable_validation else ok & extents.valid(h, raw, kinds), F.lit(False))
+    dump = F.least("max_len", h["rem"]) if config.write_all else F.lit(0).cast("long")
+    rows = rows.withColumn(f"{name}ok", ok)
+    return rows.withColumn(f"{name}size", F.when(F.col(f"{name}ok"), raw).otherwise(dump)).withColumn(f"{name}comment", F.when(F.col(f"{name}ok"), "").otherwise("(Header dump)")).drop("raw", "numbers")
+
+
 def sized(hits: DataFrame, config: CarveConfig) -> DataFrame:
-    """Hits with size (0: no file), advance and comment, and with late_size and late_comment; without the bytes that these came from."""
+    """Hits with size, advance and comment, and whether they wait for what lies beyond their chunk (bridge)."""
     specs = specs_frame(hits.sparkSession, config.specs).select("spec_idx", "file_type", "suffix", "max_len", "header_len", "footer_len", F.size("markers").alias("n_markers"))
-    rows = hits.join(F.broadcast(specs), "spec_idx")
-    kinds = {s.file_type.lower() for s in config.specs}
-    near = {k: F.col(k) for k in _FACTS}
-    far = near | {k: F.col(f"late.{k}") for k in ("rem", "footer_at", "marker_end", "head", "sound")}
-    if "bmp" in kinds:
-        bitmap = F.col("file_type") == "bmp"
-        for h, name in ((near, "numbers"), (far, "late_numbers")):
-            rows = rows.withColumn(name, F.when(bitmap, extents.bmp_numbers(h["head"])))
-            h["numbers"] = F.col(name)
-    for name, h, of in (("", near, kinds), ("late_", far, kinds - {*scan.WITHIN})):
-        rows = rows.withColumn(f"{name}raw", extents.size(h, of))
-        raw = F.col(f"{name}raw")
-        ok = (raw > 0) & (raw <= h["rem"])
-        ok = F.coalesce(ok if config.disable_validation else ok & extents.valid(h, raw, of), F.lit(False))
-        dump = F.least("max_len", h["rem"]) if config.write_all else F.lit(0).cast("long")
-        rows = rows.withColumn(f"{name}ok", ok).withColumn(f"{name}size", F.when(F.col(f"{name}ok"), raw).otherwise(dump)).withColumn(f"{name}comment", F.when(F.col(f"{name}ok"), "").otherwise("(Header dump)"))
-    rows = rows.withColumn("bridge", ~F.col("file_type").isin(*scan.WITHIN) & (F.col("rem") < F.col("max_len")) & (F.col("footer_len") > 0) & F.col("footer_at").isNull())
-    rows = rows.withColumn("scan", F.when(F.col("ok"), F.col("scan")))
-    return rows.withColumn("advance", select.advance(F.col("file_type"), F.col("size"), F.col("header_len"))).drop("raw", "ok", "late_raw", "late_ok", "head", "probe", "probe_at", "walked", "sound", "footer_at", "marker_end", "late", "numbers", "late_numbers")
-
-
-def _measured_again(kept: DataFrame, images: DataFrame, config: CarveConfig) -> DataFrame:
-    """Hits that wait for bytes beyond chunks that were given without their images: these are joined, and read from where the hit is."""
-    waiting = kept.where("bridge").select("image_id", "chunk_no", (F.col("chunk_offset") + F.col("pos")).alias("start"), "spec_idx", "pass_no", "k1", "k2", "max_len")
-    window = F.substring("content", (F.col("start") + 1).cast("int"), F.least("max_len", F.lit(2147483647)).cast("int"))
-    again = waiting.join(images, "image_id").select("image_id", "chunk_no", F.col("start").alias("chunk_offset"), window.alias("bytes"), "spec_idx")
-    late = sized(scan.reread(again, config.specs), config).drop("pass_no", "k1", "k2")
-    late = late.join(waiting.select("image_id", "chunk_no", "spec_idx", F.col("start").alias("chunk_offset"), "pass_no", "k1", "k2"), ["image_id", "chunk_no", "spec_idx", "chunk_offset"])
-    return kept.where("not bridge").unionByName(late.withColumn("bridge", F.lit(True)).select(*kept.columns))
-
-
-def carve(images: DataFrame, config: CarveConfig | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    rows = _measured(hits.join(F.broadcast(specs), "spec_idx", "left"), config, False)
+    waits = ~F.col("file_type").isin(*scan.WITHIN) & (F.col("rem") < F.col("max_len")) & (F.col("footer_len") > 0) & F.col("footer_at").isNull()
+    rows = rows.withColumn("bridge", F.coalesce(waits, F.lit(False)) & F.lit(config.mode == "file")).withColumn("scan", F.when(F.col("ok"), F.col("scan")))
+    on = select.advance(F.col("file_type"), F.col("size"), F.col("header_len"))
+    # only what waits, or tells of a chunk's ends, still needs bytes
+    needed = F.col("bridge") | (F.col("pass_no") == scan.ENDS)
+    rows = rows.withColumn("advance", F.when(F.col("bridge"), F.col("header_len").cast("long")).otherwise(on))
+    return rows.withColumns({c: F.when(needed, F.col(c)) for c in ("head", "probe", "probe_at", "marker_end")}).drop("ok", "walked", "sound", "rem")
+
+
+def carve(images: DataFrame | None, config: CarveConfig | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """One row for each carved file: image_id, seq, filename, filesize, file_type, byte_runs, jpeg_scan, img_offset, suffix, comment.
 
-    images has image_id and content; chunks may be given instead of being cut from it (buffer mode, or images too large
-    for a row). In file mode a hit whose footer isn't in its chunk is measured on the image itself, while that is at hand
-    for the scan, and comes after the chunk's other files. Null contents are images without bytes.
+    images has image_id and content. For images too large for a row chunks are given instead (image_id, chunk_no, chunk_offset
+    and bytes, end to end). In file mode a hit whose footer isn't in its chunk is measured beyond it and comes after the
+    chunk's other files: on the image itself while that is at hand for the scan, or else by what later chunks tell of
+    their ends. Null contents are images without bytes.
     """
     config = config or CarveConfig()
     block, in_file = config.block_size if config.quick else 0, config.mode == "file"
-    if in_file and chunks is None:
+    apart = in_file and chunks is not None
+    if in_file and not apart:
         found = scan.image_hits(images, config.specs, config.chunk_size, block)
     else:
-        found = scan.hits(I.chunks(images, config.chunk_size) if chunks is None else chunks, config.specs, block)
-    rows = sized(found, config).withColumn("bridge", F.col("bridge") & F.lit(in_file))
-    rows = rows.withColumn("advance", F.when(F.col("bridge"), F.col("header_len").cast("long")).otherwise(F.col("advance")))
-    kept = select.greedy(rows, ["image_id", "chunk_no", "spec_idx"], "pos", "advance")
-    if in_file and chunks is None:
+        if apart:
+            stitch.check(config.specs)
+        found = scan.hits(I.chunks(images, config.chunk_size) if chunks is None else chunks, config.specs, block, apart)
+    rows = sized(found, config).withColumn("_ends", F.col("pass_no") == scan.ENDS)
+    kept = select.in_order(rows, ["image_id", "chunk_no", "spec_idx", "_ends"], "pos", "advance", "_ends").drop("advance")
+    if apart:
+        kept = settle(kept, "hits")
+        waiting = stitch.stitched(kept.where("bridge and not _ends"), kept.where("_ends"), config.specs)
+        kept = kept.where("not bridge and not _ends").unionByName(waiting)
+    if in_file:
         late = F.col("bridge")
+        kept = _measured(kept, config, True)
         kept = kept.withColumn("size", F.when(late, F.col("late_size")).otherwise(F.col("size"))).withColumn("comment", F.when(late, F.col("late_comment")).otherwise(F.col("comment"))).withColumn("scan", F.when(~late, F.col("scan")))
-    elif in_file:
-        kept = _measured_again(kept, images, config)
-    kept = kept.withColumn("late", F.col("bridge").cast("int"))
+    kept = kept.withColumn("late", F.col("bridge").cast("int")).drop("_ends", "head", "probe", "probe_at", "marker_end", "footer_at", "late_ok", "late_size", "late_comment")
     files = select.number(kept.where("size > 0"), "image_id", "chunk_no", [F.col(c) for c in ("late", "pass_no", "k1", "k2")])
     offset = (F.col("chunk_offset") + F.col("pos")).cast("long")
     run = F.struct(F.lit(0).cast("long").alias("offset"), offset.alias("img_offset"), F.col("size").alias("len"))

@@ -15,7 +15,8 @@ from bytelode.operators import report
 from bytelode.operators.specs import builtin_specs, combined_specs, save_specs
 from bytelode.plans.carve import CarveConfig, carve
 from bytelode.sources import images as I
-from bytelode.sources.scratch import settle
+from bytelode.sources import store
+from bytelode.sources.scratch import owned, settle
 
 
 def parser() -> argparse.ArgumentParser:
@@ -72,7 +73,7 @@ def run_carve(spark: SparkSession, args: argparse.Namespace) -> int:
     files.write.mode("overwrite").parquet(kept)
     files = spark.read.parquet(kept)
     if not args.report_only:
-        report.write_files(report.payloads(images, files), os.path.abspath(args.output_directory))
+        store.write_files(report.payloads(images, files), os.path.abspath(args.output_directory))
     for n, (image_id, size) in enumerate(images.select("image_id", F.octet_length("content")).collect()):
         folder = args.output_directory if len(found) <= 1 else os.path.join(args.output_directory, f"{n + 1}")
         os.makedirs(folder, exist_ok=True)
@@ -86,12 +87,13 @@ def run_carve(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def run_recover(spark: SparkSession, args: argparse.Namespace) -> int:
-    images = I.from_files(spark, args.image).withColumn("image_id", F.lit("image"))
-    files = report.read_report(spark, args.report).withColumn("image_id", F.lit("image"))
-    won = settle(R.recover(images, files, R.RecoveryConfig(args.block_size, args.search_window, args.candidates, args.min_entropy)), "recovered")
-    os.makedirs(args.output, exist_ok=True)
-    report.write_files(R.spliced(images, won).withColumnRenamed("recovered_filename", "filename"), os.path.abspath(args.output))
-    rows = [{k: v for k, v in r.asDict().items() if k not in ("fragment_len", "image_id") and v is not None} for r in won.toLocalIterator()]
+    path = os.path.abspath(args.image)
+    files = report.read_report(spark, args.report).withColumn("image_id", F.lit(path))
+    with owned():
+        won = settle(R.recover(None, files, R.RecoveryConfig(args.block_size, args.search_window, args.candidates, args.min_entropy)), "recovered")
+        os.makedirs(args.output, exist_ok=True)
+        store.write_files(R.spliced(None, won).withColumnRenamed("recovered_filename", "filename"), os.path.abspath(args.output))
+        rows = [{k: v for k, v in r.asDict().items() if k not in ("fragment_len", "image_id") and v is not None} for r in won.toLocalIterator()]
     with open(os.path.join(args.output, "recover_report.json"), "w") as f:
         json.dump({"incomplete_jpegs": R.incomplete(files).count(), "recovered": len(rows), "recovered_files": rows}, f, indent=2)
     return 0

@@ -8,19 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from bytelode.functions import bytesx as B
 from bytelode.functions import extents as X
 from bytelode.functions import walkers as W
-from bytelode.functions.huffman import unit_count
-from bytelode.functions.walkers import ff_validity
+from bytelode.functions.huffman import context, count_all
 from bytelode.operators import recover as R
-from bytelode.operators import report, scan, select, stats
+from bytelode.operators import intervals, report, scan, select, stats
 from bytelode.operators.specs import Spec, builtin_specs, filter_types, select_types, specs_frame
 from bytelode.plans.carve import CarveConfig, carve
 from bytelode.sources import images as I
+from bytelode.sources import store
+from bytelode.sources.scratch import settle, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,13 +149,6 @@ def clean_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- search in documents ----
 
 
-@query("""select b.item_id, sum((length(d.text) - length(replace(d.text, left(b.text, 16), ''))) // 16)::bigint as n_hits
-from benchmark b join documents d on contains(d.text, left(b.text, 16)) where length(b.text) >= 16 group by b.item_id""")
-def multi_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 16 characters of every benchmark item, as the SQL has it, searched for in all documents at once; item_hits has whole items."""
-    return _item_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").where("length(text) >= 16").withColumn("text", F.expr("left(text, 16)")))
-
-
 @query("""select b.item_id, sum((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::bigint as n_hits
 from benchmark b join documents d on contains(d.text, b.text) where length(b.text) > 0 group by b.item_id""")
 def item_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +288,13 @@ def decode_u16_u32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", B.u16(b, 0).alias("u16_le"), B.u16(b, 2, False).alias("u16_be"), B.u32(b, 4).alias("u32_le"), B.u32(b, 4, False).alias("u32_be"), B.u64(b, 8, False).alias("u64_be"), B.u32(b, 14).alias("short"))
 
 
+@F.pandas_udf(DoubleType())
+def _validities(rows: pd.Series) -> pd.Series:
+    n = rows.str.len().to_numpy(np.int64)
+    flat = np.frombuffer(b"".join(rows), np.uint8)
+    return pd.Series(R.validity(flat, np.repeat(np.arange(len(n)), n), np.cumsum(n)))
+
+
 _PAIRS: list[Field] = ["FF", (1, "be", "l_partkey % 256"), "41FF", (1, "be", "l_suppkey % 3 * 108"), "42FF", (1, "be", "208 + l_linenumber"), "FF"]
 _good = "(b in (0, 217) or b between 208 and 215)"
 
@@ -298,9 +302,8 @@ _good = "(b in (0, 217) or b between 208 and 215)"
 @query(f"""select l_orderkey, l_linenumber, ((case when {_good.replace('b ', 'l_partkey % 256 ').replace('(b', '(l_partkey')} then 1 else 0 end) + (case when {_good.replace('b ', 'l_suppkey % 3 * 108 ')} then 1 else 0 end)
  + (case when {_good.replace('b ', '208 + l_linenumber ')} then 1 else 0 end)) / 3.0 as score from lineitem""".replace("(l_partkey in", "(l_partkey % 256 in"))
 def ff_validity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.udf(ff_validity, "double", useArrow=True)
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _hex_spark(_PAIRS).alias("b"))
-    return rows.select("l_orderkey", "l_linenumber", score("b").alias("score"))
+    return rows.select("l_orderkey", "l_linenumber", _validities("b").alias("score"))
 
 
 @query("""with s as (select o_custkey as seq, o_orderkey * 512 as "offset", (o_orderkey * 7919 % 800) / 100.0::double as entropy, (o_orderkey % 11) / 10.0::double as ff, o_orderkey % 9 as units, o_orderkey % 4 <> 0 as ends from orders),
@@ -317,13 +320,73 @@ def recovery_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select("seq", "offset", "prior", "rank1", "units")
 
 
-@query("""with s as (select * from (values (0, 'jpg'), (1, 'gif'), (2, 'bmp'), (3, 'pdf'), (4, 'zip'), (5, 'png')) t(spec_idx, suffix)), d as (select 'src' || (doc_id % 3) as k, doc_id from documents)
-select s.suffix, count(*)::bigint as n from documents d join s on s.spec_idx = d.doc_id % 6 where s.suffix in ('jpg', 'png', 'zip') group by s.suffix""")
+_FOUND = " union all ".join(f"select '{suffix}' as suffix, sum((length({text}) - length(replace({text}, '{header}', ''))) // {len(header)})::bigint as n from pages" for suffix, header, text in (("bmp", "BM", "html"), ("exe", "MZ", "html"), ("htm", "<html", _FOLD), ("cpp", "#include", "html")))
+
+
+@query(f"select * from ({_FOUND}) where n > 0")
 def spec_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows tied to specs by index, restricted by type (jpeg names jpg)."""
-    specs = filter_types(specs_frame(spark, builtin_specs()), ["jpeg", "png", "zip"]).select("spec_idx", "suffix")
-    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 6).cast("int").alias("spec_idx"))
-    return docs.join(F.broadcast(specs), "spec_idx").groupBy("suffix").agg(F.count("*").alias("n"))
+    """Hits in pages tied to their specs by index, for the types chosen."""
+    types = ["bmp", "exe", "htm", "cpp"]
+    specs = filter_types(specs_frame(spark, builtin_specs()), types).select("spec_idx", "suffix")
+    chosen = select_types(builtin_specs(), types)
+    numbers = spark.createDataFrame([(k, builtin_specs().index(s)) for k, s in enumerate(chosen)], "place int, spec_idx int")
+    hits = scan.tally(I.chunks(_pages(spark, sf_dir)), chosen).withColumnRenamed("spec_idx", "place")
+    return hits.join(numbers, "place").join(specs, "spec_idx").select("suffix", F.col("n_hits").alias("n"))
+
+
+@query("""with w as (select distinct unnest(string_split(text, ' ')) as word from benchmark), v as (select word, word || ' ' as h from w where regexp_full_match(word, '[a-z]{4,}'))
+select word, sum((length(text) - length(replace(text, h, ''))) // length(h))::bigint as n_hits from v join documents on contains(text, h) group by word""")
+def catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of some thousand signatures, the words of the benchmark with the space after them, looked for in one pass over all documents."""
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.col("word").rlike("^[a-z]{4,}$")).distinct()
+    catalog = sorted(r.word for r in words.collect())
+    specs = [Spec("Config", w, f"{w} ".encode(), None, 1) for w in catalog]
+    found = scan.tally(I.chunks(I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text")), specs)
+    names = spark.createDataFrame(list(enumerate(catalog)), "spec_idx int, word string")
+    return found.join(names, "spec_idx").select("word", "n_hits")
+
+
+_CUT = 512
+
+
+@query(f"""with parts as (select page_id, html, strlen(html) as n, string_split(html, '<p>') as a, string_split(html, '</p>') as b from pages where html is not null),
+o as (select page_id, n, sum(strlen(part) + 3) over (partition by page_id order by k) - 3 as p, k, many from (select page_id, n, len(a) as many, unnest(a) as part, generate_subscripts(a, 1) as k from parts)),
+c as (select page_id, sum(strlen(part) + 4) over (partition by page_id order by k) - 4 as q, k, many from (select page_id, len(b) as many, unnest(b) as part, generate_subscripts(b, 1) as k from parts)),
+h as (select o.page_id, o.n, o.p, c.q, o.p // {_CUT} as chunk from (select * from o where k < many) o asof left join (select * from c where k < many) c on o.page_id = c.page_id and o.p <= c.q where o.p // {_CUT} = (o.p + 2) // {_CUT}),
+f as (select *, coalesce(q + 4 <= (chunk + 1) * {_CUT}, false) as here from h),
+r as (select page_id, chunk, p, not here as late, coalesce(q + 4, n) - p as size from (select *, min(p) over (partition by page_id, chunk, q) as first from f) where not here or p = first)
+select page_id, row_number() over (partition by page_id order by chunk, late, p)::int as seq, size::bigint as filesize, p::bigint as img_offset from r""")
+def carve_pages_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File mode over chunks without their images: what ends beyond its chunk is measured by what later chunks tell of their ends."""
+    chunks = I.chunks(_pages(spark, sf_dir), _CUT)
+    return _picked(carve(None, CarveConfig([Spec("Config", "par", b"<p>", b"</p>", 1 << 20)]), chunks))
+
+
+@query("""with h as (select page_id, hex(encode(coalesce(html, ''))) as h from pages where page_id is not null)
+select page_id, (length(substr(h, 2 * (page_id * 37 % 200)::int + 1, 2 * (1 + page_id % 300)::int)) // 2)::bigint as n_bytes, substr(h, 2 * (page_id * 37 % 200)::int + 1, 2 * (1 + page_id % 300)::int) as bytes from h""")
+def ranges_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files, and of each one range read back by a table of ranges."""
+    at = shared_path(spark, "pages")
+    pages = _table(spark, sf_dir, "pages").where("page_id is not null")
+    store.write_files(pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.encode("html", "UTF-8").alias("data")), at)
+    asked = pages.select("page_id", F.concat(F.lit(f"{at}/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), (F.col("page_id") * 37 % 200).alias("offset"), (1 + F.col("page_id") % 300).alias("length"))
+    return store.read_ranges(asked).select("page_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.hex("bytes").alias("bytes"))
+
+
+@query(f"""with c as (select doc_id, k // 64 as block, b, count(*) as n from {_BYTES} group by all), t as (select doc_id, block, sum(n) as t from c group by all),
+e as (select c.doc_id, c.block * 64 as "offset", round(sum(-(n / t) * log2(n / t)), 9) as e from c join t on c.doc_id = t.doc_id and c.block = t.block group by all),
+w as (select doc_id, strlen(text) as n, doc_id % 7 * 64 as lo, doc_id % 7 * 64 + 64 * (5 + doc_id % 40) as hi, doc_id % 7 * 64 + 100 as a, doc_id % 7 * 64 + 100 + doc_id % 5 * 64 as b from documents)
+select doc_id, "offset"::bigint as "offset", round(e, 6) + 0.0 as entropy, r::int as rank from (select e.*, row_number() over (partition by e.doc_id order by e.e desc, e."offset") as r from e join w on e.doc_id = w.doc_id
+ where "offset" < n - 64 and "offset" >= lo and "offset" < hi and not ("offset" >= a and "offset" < b)) where r <= 3""")
+def blocks_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three blocks of highest entropy in a window of each document, without those in a part of it: a join on bins."""
+    docs = _table(spark, sf_dir, "documents")
+    sizes = docs.select(F.col("doc_id").cast("string").alias("image_id"), F.octet_length("text").alias("n"))
+    points = stats.entropies(I.from_table(docs, "doc_id", "text"), 64).join(sizes, "image_id").where(F.col("offset") < F.col("n") - 64).select("image_id", "offset", F.round("entropy", 9).alias("entropy"))
+    lo = F.col("doc_id") % 7 * 64
+    spans = docs.select(F.col("doc_id").cast("string").alias("image_id"), F.lit(1).alias("seq"), lo.alias("lo"), (lo + 64 * (5 + F.col("doc_id") % 40)).alias("hi"), (lo + 100).alias("skip_lo"), (lo + 100 + F.col("doc_id") % 5 * 64).alias("skip_hi"))
+    best = intervals.best(points, spans, ["image_id"], "seq", 3, "entropy", 512)
+    return best.select(F.col("image_id").cast("long").alias("doc_id"), "offset", (F.round("entropy", 6) + 0.0).alias("entropy"), "rank")
 
 
 # ---- walkers on synthesised files ----
@@ -350,7 +413,36 @@ _scan_at = len(_JPEG) // 2 + 2
 _walk("walk_jpeg", _PATCHED, lambda b: W.jpeg_size(W.jpeg(b, 1 << 20), b, 1 << 20), f"case {_int(_scan_at + 1, 1)} when 217 then {_scan_at + 2} when 1 then {_scan_at} else {_scan_at + 6} end")
 _UNITS: list[Field] = [(1, "be", f"{K} % 120"), (1, "be", f"{K} * 7 % 200"), (1, "be", f"{K} * 13 % 250"), (1, "be", f"{K} * 31 % 97")]
 _unit_bits = " || ".join(f"lpad(bin({_int(k, 1)}), 8, '0')" for k in range(4))
-_walk("count_jpeg_units", _UNITS, lambda b: unit_count(bytes.fromhex(_JPEG), b), f"length(regexp_extract({_unit_bits}, '^(0...0)*')) // 5", "units")
+_unit_bits_of = f"length(regexp_extract({_unit_bits}, '^(0...0)*')) // 5"
+
+
+def _units_of(header: bytes | int) -> Callable[[Column], Column]:
+    """Units of a batch of rows decoded together: after one header, or each after the header that its first bytes are."""
+
+    @F.pandas_udf(LongType())
+    def count(rows: pd.Series) -> pd.Series:
+        whole = isinstance(header, bytes)
+        heads = [header] * len(rows) if whole else [b[:header] for b in rows]
+        known = {h: context(h) for h in {*heads}}
+        found = count_all([(known[h], b if whole else b[header:]) for h, b in zip(heads, rows, strict=True)])
+        return pd.Series([-1 if n is None else n for n in found])
+
+    return count
+
+
+_check("count_jpeg_units", _UNITS, lambda b, n: _units_of(bytes.fromhex(_JPEG))(b), f"({_unit_bits_of})::bigint", "units")
+# Headers with a sampling of 0, 1 or 2 blocks, a start or padding within, and scans of one to four components where two fit.
+_HEAD: list[Field] = ["FFD8FFE000104A46494600010100000100010000" + "FF", (1, "be", f"case when {K} % 2 = 0 then 216 else 255 end"), "FFDB004300" + "10" * 64 + "FFC4001400" + _ONE_CODE + "03" + "FFC4001410" + _ONE_CODE + "00" + "FFC0000B0800080008010" + "1", (1, "be", f"case {K} % 3 when 0 then 0 when 1 then 17 else 33 end"), "00" + "FFDA0008", (1, "be", f"1 + {K} % 4"), "0100003F00"]
+_head_size = sum(len(f) if isinstance(f, str) else 2 * f[0] for f in _HEAD) // 2
+_bits_after = " || ".join(f"lpad(bin({_int(_head_size + k, 1)}), 8, '0')" for k in range(4))
+_check("count_units_by_header", [*_HEAD, *_UNITS], lambda b, n: _units_of(_head_size)(b), f"(case when {K} % 4 > 1 then -1 else length(regexp_extract({_bits_after}, '^(0...0)*')) // 5 // (case when {K} % 3 = 2 then 2 else 1 end) end)::bigint", "units")
+_atom = lambda kind, size, body="": f"{size:08X}" + kind.encode().hex().upper() + body
+_MOV: list[Field] = ["00", (1, "be", f"{K} % 3"), "0001", (4, "be", f"232 + case when {K} % 11 = 0 then 4 else 0 end"), b"moov".hex(), _atom("mvhd", 108), (1, "be", f"{K} % 4"), "000000", (4, "be", f"{K} % 5"), "00000000", (4, "be", f"case {K} % 7 when 0 then 0 when 1 then 1000001 else 1000 end"), "00" * 84, _atom("trak", 116), _atom("tkhd", 92, "00" * 84), _atom("mdia", 16, "00" * 8)]
+_check("walk_mov_valid", _MOV, lambda b, n: F.udf(W.mov_valid, "boolean", useArrow=True)(b), f"{K} % 11 <> 0 and {K} % 4 < 2 and {K} % 5 <> 0 and {K} % 7 > 1")
+_WHITE: list[Field] = ["255044462D312E340A", "78726566" + "0A" + "30" * 20 + "0A", "2525454F46", "41" * 5, "737461727478726566", (1, "be", f"case {K} % 6 when 0 then 32 when 1 then 9 when 2 then 13 when 3 then 0 when 4 then 11 else 12 end"), "39", "0A2525454F46", "0D0A42"]
+_walk("walk_pdf_white", _WHITE, lambda b: W.pdf_size(b, 1 << 20), f"case when {K} % 6 < 3 then 64 else 40 end")
+_CAPPED: list[Field] = ["FFD8FFE000104A46494600010100000100010000" + "FFDB004300" + "10" * 64 + "FFC4001400" + _ONE_CODE + "03" + "FFC0000B08", (2, "be", f"{K} % 40"), (2, "be", f"{K} % 30"), "01011100" + "FFDA0008010100003F00", "1122" * 40]
+_walk("walk_jpeg_cap", _CAPPED, lambda b: W.jpeg_size(W.jpeg(b, 1 << 20), b, 1 << 20), f"case when {K} % 40 * ({K} % 30) = 0 then {_LEN} else least({_LEN}, {K} % 40 * ({K} % 30) * 9 // 10) end")
 
 
 @query(f"""select {K}, {K} * 37 // 512 * 512 as below, ({K} * 37 + 511) // 512 * 512 as above, {K} * 1000003 // 1048576 as mib, case when {K} % 2 = 0 then '{{0}}' else 'x.y_' end || {K} || '_recovered.jpg' as name from orders""".replace("{0}", "a-"))
@@ -413,3 +505,17 @@ def recover_jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = images(spark, sf_dir)
     files = carve(found, CarveConfig(select_types(builtin_specs(), ["jpg"])))
     return R.recover(found, files, R.RecoveryConfig(64, 512, 3, 0.0, 0.0)).drop("fragment_len")
+
+
+@query()
+def recover_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recover_jpegs, over files of a hundred images each that are read by ranges: no image is in a row."""
+    at = shared_path(spark, "disks")
+    parts = images(spark, sf_dir).select(F.col("image_id").cast("long").alias("n"), "content")
+    joined = parts.groupBy(F.expr("n div 100").alias("disk")).agg(F.array_sort(F.collect_list(F.struct("n", "content"))).alias("z"))
+    disks = joined.select(F.concat(F.col("disk").cast("string"), F.lit(".img")).alias("filename"), F.unhex(F.concat_ws("", F.transform("z", lambda x: F.hex(x["content"])))).alias("data"))
+    store.write_files(disks, at)
+    found = spark.read.format("binaryFile").load(at).select(F.col("path").alias("image_id"), "content")
+    files = settle(carve(found, CarveConfig(select_types(builtin_specs(), ["jpg"]))), "files")
+    won = R.recover(None, files, R.RecoveryConfig(64, 512, 3, 0.0, 0.0)).drop("fragment_len")
+    return won.withColumn("image_id", F.regexp_extract("image_id", r"(\d+)\.img$", 1))
