@@ -25,6 +25,8 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are segmented at once, and distinct words and pairs that a worker remembers, at most.
 PIECE, REMEMBERED = 1 << 21, 1 << 19
+#: Pairs that a worker remembers at most, and pieces' hashes that are told apart at once, as powers of two.
+SLOTS = 20
 #: Fewer words of one length than this advance one by one.
 FEW = 4
 _STEP = 0x2545F4914F6CDD1D
@@ -50,33 +52,51 @@ class Model:
     byte_ids: list[int]
     control: list[int]
     bpe: bool
+    halves: np.ndarray | None = None  # of each piece the two that merge into it last, -1 where merging never makes it
     place: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         skip = {*self.byte_ids, *self.control}
         self.place = {p: k for k, p in enumerate(self.pieces) if k not in skip and p}
+        if self.halves is None:
+            self.halves = np.array([self._last_merge(p) if self.bpe and len(p) > 1 and k not in skip else (-1, -1) for k, p in enumerate(self.pieces)])
+        self.left, self.right = self.halves.T.tolist()
+        # when a merge is done: the pieces' order by score; single characters are there from the start
+        order = np.empty(len(self.pieces), np.int64)
+        order[np.lexsort((np.arange(len(self.pieces)), -self.scores))] = np.arange(len(self.pieces))
+        self.when = np.where([len(p) == 1 for p in self.pieces], -1, order).tolist()
+        self.rank = order.tolist()
         self.longest = max(map(len, self.place))
         by_length: dict[int, list[tuple[str, int]]] = {}
         for p, k in self.place.items():
+            if self.bpe and len(p) > 1 and self.left[k] < 0:
+                continue
             by_length.setdefault(len(p), []).append((p, k))
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, found in by_length.items():
             letters = np.array([[*map(ord, p)] for p, _ in found])
             h = _hash(letters)[:, -1]
             order = np.argsort(h)
-            self.keys[n] = h[order], np.array([k for _, k in found])[order], letters[order]
+            maybe = np.zeros(1 << SLOTS, bool)
+            maybe[h >> np.uint64(64 - SLOTS)] = True
+            self.keys[n] = h[order], np.array([k for _, k in found])[order], letters[order], maybe
         raw = [b"" if k in self.control else bytes([self.byte_ids.index(k)]) if k in skip else p.replace("\u2581", " ").encode() for k, p in enumerate(self.pieces)]
         self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.pairs: dict[int, bool] = {}
+        self.met, self.met_ok = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.known_at, self.known_n, self.known_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """BPE: of the adjacent pairs that form a piece, the one of best score, then the leftmost, merges first."""
+    def _last_merge(self, piece: str) -> tuple[int, int]:
+        made: list[tuple[str, str]] = []
+        return tuple(self.place[x] for x in made[-1]) if self.merge([*piece], made) == [piece] and made and all(x in self.place for x in made[-1]) else (-1, -1)
+
+    def merge(self, symbols: list[str], made: list[tuple[str, str]] | None = None) -> list[str]:
+        """BPE: of the adjacent pairs that form a piece, the one of best score, then the leftmost, merges first; made gets all merges."""
         after, before, alive = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)], list(symbols)
         heap: list[tuple[float, int, int, str]] = []
 
@@ -90,6 +110,8 @@ class Model:
             _, i, j, both = heapq.heappop(heap)
             if after[i] != j or alive[i] + alive[j] != both or not alive[i]:
                 continue
+            if made is not None:
+                made.append((alive[i], alive[j]))
             alive[i], alive[j] = both, ""
             after[i] = after[j]
             if after[j] >= 0:
@@ -104,12 +126,23 @@ class Model:
         n = len(self.pieces)
         free = (last < 0) | (last >= n) | (piece >= n)
         out = np.ones(len(last), bool)
-        unique, where = np.unique(last[~free].astype(np.int64) * n + piece[~free], return_inverse=True)
-        out[~free] = np.array([self.fit(c // n, c % n) for c in unique.tolist()], bool)[where]
+        code = last[~free].astype(np.int64) * n + piece[~free]
+        slot = (code.astype(np.uint64) * np.uint64(_STEP) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        got, new = self.met_ok[slot], np.flatnonzero(self.met[slot] != code)
+        if len(new):
+            unique, where = np.unique(code[new], return_inverse=True)
+            found = np.array([self._stay_apart(*divmod(c, n)) for c in unique.tolist()], bool)
+            got[new] = found[where]
+            self.met[slot[new]], self.met_ok[slot[new]] = code[new], got[new]
+        out[~free] = got
         return out
 
     def fit(self, last: int, piece: int) -> bool:
-        """`fits` for one pair."""
+        """`fits` for one pair.
+
+        The merges that made the two are undone one by one, the latest first. Whatever stands at the boundary then must not
+        merge across it before the merge that was just undone: earlier in score or, of equal ones, further to the left.
+        """
         n = len(self.pieces)
         if last < 0 or last >= n or piece >= n:
             return True
@@ -117,10 +150,23 @@ class Model:
         if ok is None:
             if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs.clear()
-            a, b = self.pieces[last], self.pieces[piece]
-            ok = self.pairs[last * n + piece] = self.merge([*a, *b]) == [a, b]
+            ok = self.pairs[last * n + piece] = self._stay_apart(last, piece)
         return ok
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        pieces, place, rank, when, left, right = self.pieces, self.place, self.rank, self.when, self.left, self.right
+        before = len(pieces)
+        while True:
+            both = place.get(pieces[a] + pieces[b])
+            if both is not None and rank[both] < before:
+                return False
+            if when[a] > when[b]:
+                before, a = when[a], right[a]
+            elif when[b] >= 0:
+                before, b = when[b] + 1, left[b]
+            else:
+                return True
+
     def segment(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words of one length, as rows of code points: the ids of their pieces one after the other, and how many each has.
 
@@ -136,12 +182,14 @@ class Model:
             ids = np.full((m, len(spans)), -1, np.int64)
             for c, j in enumerate(spans):
                 if i - j in self.keys:
-                    keys, of, letters = self.keys[i - j]
+                    keys, of, letters, maybe = self.keys[i - j]
                     h = sums[:, i] - sums[:, j] * _UP[i - j]
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == h)
-                    hit = hit[(letters[at[hit]] == codes[hit, j:i]).all(1)]  # equal hashes are not yet equal characters
-                    ids[hit, c] = of[at[hit]]
+                    row = np.flatnonzero(maybe[h >> np.uint64(64 - SLOTS)])
+                    at = np.minimum(np.searchsorted(keys, h[row]), len(keys) - 1)
+                    same = keys[at] == h[row]
+                    row, at = row[same], at[same]
+                    same = (letters[at] == codes[row, j:i]).all(1)  # equal hashes are not yet equal characters
+                    ids[row[same], c] = of[at[same]]
             alone = ids[:, -1] < 0
             ids[alone, -1] = n + codes[alone, i - 1]
             row, col = np.nonzero(ids >= 0)
@@ -188,6 +236,8 @@ class Model:
             best, start, piece = -np.inf, i - 1, n + ord(word[i - 1])
             for j in range(max(0, i - self.longest), i):
                 k = self.place.get(word[j:i])
+                if k is not None and bpe and i - j > 1 and self.left[k] < 0:
+                    continue
                 if k is None:
                     if j < i - 1:
                         continue
@@ -285,7 +335,7 @@ _worker: dict[tuple, Model] = {}
 
 def _coder(parts: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (tuple(parts[0]), parts[1].tobytes(), tuple(parts[2]), tuple(parts[3]), parts[4])
+        name = (tuple(parts[0]), parts[1].tobytes(), tuple(parts[2]), tuple(parts[3]), parts[4], parts[5].tobytes())
         model = _worker.get(name) or _worker.setdefault(name, Model(*parts))
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
@@ -310,7 +360,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     the driver runs; its pieces (about a megabyte) travel with the tasks.
     """
     model = load(path)
-    parts = (model.pieces, model.scores, model.byte_ids, model.control, model.bpe)
+    parts = (model.pieces, model.scores, model.byte_ids, model.control, model.bpe, model.halves)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coder(parts), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
@@ -329,6 +379,6 @@ def _decoder(parts: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and text from ids; null ids count as none, and control pieces stand for nothing."""
     model = load(path)
-    parts = (model.pieces, model.scores, model.byte_ids, model.control, model.bpe)
+    parts = (model.pieces, model.scores, model.byte_ids, model.control, model.bpe, model.halves)
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_decoder(parts), "doc_id long, text string")
 
