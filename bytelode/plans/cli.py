@@ -6,12 +6,14 @@ import argparse
 import json
 import os
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import recover as R
 from bytelode.operators import report
+from bytelode.operators.reporter import JsonReporter, tell
 from bytelode.operators.specs import builtin_specs, combined_specs, save_specs
 from bytelode.plans.carve import CarveConfig, carve
 from bytelode.sources import images as I
@@ -53,36 +55,53 @@ def recover_parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Larger files don't fit into a row: they are carved by chunks.
+ROW = 2 << 30
+
+
 def run_carve(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Files and audit and report for every image; with several images each has a folder of its own name's number for its report."""
+    """Files, one audit log and one report over all images. Files that can't be read are named, and the run goes on."""
     if args.save_config:
         save_specs(builtin_specs(), args.save_config)
         return 0
+    if args.debug:
+        spark.sparkContext.setLogLevel("INFO")
     specs = combined_specs([t.strip() for t in args.types.split(",") if t.strip()], args.disable_builtin, args.config_file)
-    found = [f for f in args.files if os.path.isfile(f)]
-    for f in {*args.files} - {*found}:
-        print(f"{f}: no such file", file=sys.stderr)
-    if args.files:
-        images = I.from_files(spark, found).withColumn("image_id", F.regexp_replace("image_id", "^file:/*", "/")) if found else spark.createDataFrame([], I.IMAGE)
-    else:
-        images = spark.createDataFrame([("stdin", sys.stdin.buffer.read())], I.IMAGE)
     config = CarveConfig(specs, "file" if args.files else "buffer", I.CHUNK, args.block_size, args.quick, args.disable_validation, args.write_all, args.prefix_filenames or len(args.files) > 1)
-    os.makedirs(args.output_directory, exist_ok=True)
-    files = carve(images, config)
-    kept = os.path.join(args.output_directory, ".files.parquet")
-    files.write.mode("overwrite").parquet(kept)
-    files = spark.read.parquet(kept)
-    if not args.report_only:
-        store.write_files(report.payloads(images, files), os.path.abspath(args.output_directory))
-    for n, (image_id, size) in enumerate(images.select("image_id", F.octet_length("content")).collect()):
-        folder = args.output_directory if len(found) <= 1 else os.path.join(args.output_directory, f"{n + 1}")
-        os.makedirs(folder, exist_ok=True)
-        of = files.where(F.col("image_id") == image_id)
+    out = os.path.abspath(args.output_directory)
+    os.makedirs(out, exist_ok=True)
+    with owned():
+        if args.files:
+            asked = spark.createDataFrame([(os.path.abspath(f),) for f in args.files], "path string")
+            probed = I.probe(asked).collect()
+            for r in probed:
+                if r.error:
+                    print(f"{r.path}: {r.error}", file=sys.stderr)
+            good = {r.path: r.size for r in probed if not r.error}
+            small, large = ([p for p, n in good.items() if (n < ROW) is fits] for fits in (True, False))
+            sources = spark.createDataFrame(list(good.items()), "image_id string, bytes_read long")
+            found = []
+            if small:
+                # as many images at a time as there are partitions
+                images = I.from_files(spark, small).withColumn("image_id", F.regexp_replace("image_id", "^file:/*", "/")).coalesce(max(1, args.concurrent_files))
+                found.append(carve(images, config))
+            if large:
+                found.append(carve(None, config, I.chunks_of_files(spark, large, config.chunk_size)))
+            files = reduce(DataFrame.unionAll, found) if found else None
+        else:
+            data = sys.stdin.buffer.read()
+            images = spark.createDataFrame([("stdin", bytearray(data))], I.IMAGE)
+            sources = spark.createDataFrame([("stdin", len(data))], "image_id string, bytes_read long")
+            files = carve(images, config)
+        if files is None:
+            return 0
+        files = settle(files, "files")
+        if not args.report_only:
+            store.write_files(report.payloads(None if args.files else images, files), out)
         if not args.disable_audit:
-            with open(os.path.join(folder, "audit_log.txt"), "a") as f:
-                f.write("\n".join(report.audit_lines(of, size or 0)) + "\n")
+            report.write_audit(sources, files, os.path.join(out, "audit_log.txt"))
         if not args.disable_report:
-            report.write_report(report.reports(images.where(F.col("image_id") == image_id), of).first()["report"], folder)
+            tell(JsonReporter(os.path.join(out, "carve_report.json")), sources, files)
     return 0
 
 

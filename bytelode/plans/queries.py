@@ -6,6 +6,7 @@ into small files, many of them deliberately unsound, by arithmetic that both eng
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -20,11 +21,13 @@ from bytelode.functions import walkers as W
 from bytelode.functions.huffman import context, count_all
 from bytelode.operators import recover as R
 from bytelode.operators import intervals, report, scan, select, stats
-from bytelode.operators.specs import Spec, builtin_specs, filter_types, select_types, specs_frame
+from bytelode.operators.reporter import JsonReporter, tell
+from bytelode.operators.specs import Spec, builtin_specs, filter_types, load_specs, parse_types, save_specs, select_types, specs_frame, union_specs
 from bytelode.plans.carve import CarveConfig, carve
 from bytelode.sources import images as I
 from bytelode.sources import store
 from bytelode.sources.scratch import settle, shared_path
+from bytelode.streaming.landing import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -477,6 +480,124 @@ def recovery_direct_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rank_by_validity(R.pool(rows, c), c).select("seq", "offset", "prior", "direct", "rank1")
 
 
+# ---- reports, catalogs and streams ----
+
+
+_NUMBERED = _HTM + """, n as (select page_id, row_number() over (partition by page_id order by late, img_offset)::int as seq, filesize::bigint as filesize, img_offset::bigint as img_offset from r)"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as sources of a report: image_id and bytes_read."""
+    return _pages(spark, sf_dir).select("image_id", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes_read"))
+
+
+@query(_NUMBERED + " select page_id, seq, seq || '-' || img_offset || '.htm' as filename, filesize, 'htm' as file_type, 0::bigint as \"offset\", img_offset, filesize as len, false as has_scan from n")
+def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON report over all pages, written by many tasks in order, and read back."""
+    at = f"{shared_path(spark, 'report')}/carve_report.json"
+    files = settle(_htm(spark, sf_dir, "buffer"), "files")
+    numbered = files.select(F.monotonically_increasing_id().alias("_"), "*").drop("_")
+    tell(JsonReporter(at), _sources(spark, sf_dir), numbered)
+    back = report.read_report(spark, at)
+    # objects stand in the order of image and number, which tells each its image
+    known = files.select(F.row_number().over(Window.orderBy("image_id", "seq")).alias("place"), F.col("image_id").cast("long").alias("page_id"), F.col("seq").alias("number"))
+    run = F.col("byte_runs")[0]
+    return back.withColumnRenamed("seq", "place").join(known, "place").select("page_id", F.col("number").alias("seq"), "filename", "filesize", "file_type", run["offset"].alias("offset"), run["img_offset"].alias("img_offset"), run["len"].alias("len"), F.col("jpeg_scan").isNotNull().alias("has_scan"))
+
+
+@query(_NUMBERED + """, l as (select page_id, 0 as place, 0 as num, 'Num\tName\tSize\tFile Offset\tComment' || chr(10) as line from pages
+union all select page_id, 1, seq, seq || chr(9) || seq || '.htm' || chr(9) || filesize || chr(9) || img_offset || chr(9) from n
+union all select page_id, 2, 0, chr(10) || 'Finished carving. Total bytes read: ' || coalesce(strlen(html), 0) from pages) select page_id, place, num::bigint as num, line from l""".replace("\t", "' || chr(9) || '"))
+def audit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = report.audit_text(_sources(spark, sf_dir), _htm(spark, sf_dir, "buffer"))
+    return lines.select(F.col("image_id").cast("long").alias("page_id"), "place", "num", "line")
+
+
+@query("""with x as (select o_orderkey, o_orderkey % 5 as kind, o_orderkey * 37 as pos, 1 + o_orderkey % 9 as len from orders)
+select kind, count(*) as incomplete, count(*) filter (where len >= 4) as searched, sum(case when kind = 2 then pos + 7 else pos + len end)::bigint as search_at from x where kind in (1, 2) group by kind""")
+def incomplete_jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File objects made from orders: those of JPEGs without an end, how many are long enough, and where their rest is looked for."""
+    status = F.when(F.col(K) % 5 == 1, "truncated").when(F.col(K) % 5 == 2, "fragmented").otherwise("complete")
+    run = F.struct(F.lit(0).cast("long").alias("offset"), (F.col(K) * 37).alias("img_offset"), (1 + F.col(K) % 9).alias("len"))
+    broken = F.when(F.col(K) % 5 == 2, F.col(K) * 37 + 7)
+    info = F.when(F.col(K) % 5 < 4, F.struct(F.lit(1).alias("width"), F.lit(1).alias("height"), broken.alias("fragmentation_point_img_offset"), F.lit(False).alias("has_restart_markers"), status.alias("status")))
+    files = _table(spark, sf_dir, "orders").select(F.lit("i").alias("image_id"), F.col(K).cast("int").alias("seq"), F.lit("f").alias("filename"), F.lit("jpeg").alias("file_type"), F.array(run).alias("byte_runs"), info.alias("jpeg_scan"))
+    found = R.incomplete(files)
+    return found.groupBy((F.col("seq") % 5).cast("long").alias("kind")).agg(F.count("*").alias("incomplete"), F.count_if(F.col("fragment_len") >= R.LEAST_FRAGMENT).alias("searched"), F.sum("search_at").alias("search_at"))
+
+
+@query(f"""with b as (select page_id, hex(encode(html)) as h from pages where html is not null), s as (select page_id, unhex(substr(h, 2 * 64 * 3 + 1))::blob as rest, substr(h, 2 * 64 * 3 + 1) as h from b),
+k as (select page_id, h, unnest(range(0, greatest(length(h) // 2 - 2, 0))) as pos from s)
+select page_id, count(*)::bigint as n_files, min(pos)::bigint as first_at, sum(length(h) // 2 - pos)::bigint as bytes from k where substr(h, 2 * pos::int + 1, 4) = '3C70' and pos % 16 = 0 group by page_id""")
+def quick_after_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without their first three blocks, carved at block boundaries only, without checks: whatever starts there is taken whole."""
+    rest = I.skip_blocks(_pages(spark, sf_dir).where("content is not null"), 3, 64)
+    files = carve(rest, CarveConfig([Spec("Jpeg", "p", b"<p", None, 1 << 20)], "buffer", quick=True, block_size=16, disable_validation=True))
+    return files.groupBy(F.col("image_id").cast("long").alias("page_id")).agg(F.count("*").alias("n_files"), F.min("img_offset").alias("first_at"), F.sum("filesize").alias("bytes"))
+
+
+@query(f"select doc_id, coalesce(round(e, 6), 0) + 0.0 as entropy from (select c.doc_id, sum(-(n / t) * log2(n / t)) as e from (select doc_id, b, count(*) as n from {_BYTES} group by all) c join (select doc_id, count(*) as t from {_BYTES} group by doc_id) t on c.doc_id = t.doc_id group by c.doc_id)")
+def entropy_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entropy of documents that are given in pieces of 700 bytes."""
+    pieces = I.chunks(I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text"), 700)
+    found = stats.entropy_of(stats.byte_counts(pieces))
+    return found.select(F.col("image_id").cast("long").alias("doc_id"), (F.round("entropy", 6) + 0.0).alias("entropy"))
+
+
+@query("""with w as (select distinct lower(split_part(n_name, ' ', 1)) as word from nation), c as (select row_number() over (order by word) - 1 as spec_idx, word from w)
+select spec_idx::int as spec_idx, case when spec_idx % 3 = 0 then 'config' else 'htm' end as file_type, word as suffix, hex(encode(word)) as header, strlen(word)::int as header_len, case when spec_idx % 2 = 0 then hex(encode('/' || word)) end as footer, (1000 + spec_idx)::bigint as max_len, spec_idx % 3 <> 0 as case_sensitive,
+ case spec_idx % 4 when 1 then 'Reverse' when 2 then 'Ascii' else 'Forward' end as search_type, (spec_idx % 5)::int as n_markers from c where word not like '%1' union all
+select (select count(*) from c)::int + row_number() over (order by spec_idx)::int - 1, case when spec_idx % 3 = 0 then 'config' else 'htm' end, word, hex(encode(word)), strlen(word)::int, case when spec_idx % 2 = 0 then hex(encode('/' || word)) end, (1000 + spec_idx)::bigint, spec_idx % 3 <> 0, case spec_idx % 4 when 1 then 'Reverse' when 2 then 'Ascii' else 'Forward' end, (spec_idx % 5)::int from c where word like '%1'""")
+def catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog made from nations, written as TOML, read back and chosen from; the rest of it is put behind as a second one."""
+    words = sorted({r[0] for r in _table(spark, sf_dir, "nation").select(F.lower(F.split("n_name", " ")[0])).collect()})
+    made = [Spec("Nope" if k % 3 == 0 else "Htm", w, w.encode(), f"/{w}".encode() if k % 2 == 0 else None, 1000 + k, k % 3 != 0, ["Sideways", "Reverse", "Ascii", "Forward"][k % 4], tuple(b"m" * n for n in range(1, k % 5 + 1))) for k, w in enumerate(words)]
+    with tempfile.TemporaryDirectory() as folder:
+        save_specs(made, f"{folder}/specs.toml")
+        back = load_specs(f"{folder}/specs.toml")
+    first = specs_frame(spark, back)
+    chosen = filter_types(first, parse_types(",".join(s.suffix for s in select_types(back, [w for w in words if not w.endswith("1")]))))
+    # numbers go on behind the whole first catalog
+    rest = specs_frame(spark, select_types(back, [w for w in words if w.endswith("1")]))
+    both = union_specs(first, rest)
+    both = both.join(chosen.select("spec_idx"), "spec_idx", "left_semi").unionByName(both.where(F.col("spec_idx") >= len(words)))
+    return both.select("spec_idx", "file_type", "suffix", F.hex("header").alias("header"), "header_len", F.hex("footer").alias("footer"), "max_len", "case_sensitive", "search_type", F.size("markers").alias("n_markers"))
+
+
+@query("select o_orderkey, strftime(o_orderdate::timestamp, '%Y-%m-%dT%H:%M:%S') || '+0000' as stamp, case when o_orderkey % 2 = 0 then 'jpg' else 'htm' end as suffix, (case when o_orderkey % 2 = 0 then 3 when o_orderkey % 3 = 0 then 5 else o_orderkey % 100 end)::bigint as on_by from orders")
+def stamps_and_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as reports have them, and how far a search goes on after a hit: JPEGs by their header only."""
+    even = F.col(K) % 2 == 0
+    size = F.when(F.col(K) % 3 == 0, 0).otherwise(F.col(K) % 100).cast("long")
+    on = F.when(~even & (F.col(K) % 3 != 0) & (F.col(K) % 100 == 0), F.lit(0).cast("long")).otherwise(select.advance(F.when(even, "jpeg").otherwise("htm"), size, F.when(even, 3).otherwise(5)))
+    return _table(spark, sf_dir, "orders").select(K, B.timestamp(F.col("o_orderdate").cast("timestamp")).alias("stamp"), F.when(even, "jpg").otherwise("htm").alias("suffix"), on.alias("on_by"))
+
+
+@query("with h as (select doc_id, encode(text) as b, text from documents where text is not null) select doc_id, (case when contains(text, 'th') then strlen(text) - strlen(string_split(text, 'th')[-1]) - 2 else -1 end)::bigint as last_at from h")
+def last_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last place of a pattern in each document."""
+
+    @F.udf(LongType(), useArrow=True)
+    def last(data: bytes) -> int:
+        at = scan.find_last(bytes(data), b"th")
+        return -1 if at is None else at
+
+    docs = I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text").where("content is not null")
+    return docs.select(F.col("image_id").cast("long").alias("doc_id"), last("content").alias("last_at"))
+
+
+@query(_NUMBERED + " select page_id, seq, filesize, img_offset from n")
+def carve_landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that land as files in a folder, carved by a stream as they come; files that can't be read are named and passed over."""
+    at = shared_path(spark, "landing")
+    pages = _table(spark, sf_dir, "pages").where("page_id is not null and html is not null")
+    store.write_files(pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.encode("html", "UTF-8").alias("data")), f"{at}/in")
+    config = CarveConfig(select_types(builtin_specs(), ["htm"]), "buffer")
+    watch(spark, f"{at}/in", f"{at}/out", f"{at}/state", config, 50_000).awaitTermination()
+    files = spark.read.schema("image_id string, seq int, filesize long, img_offset long").parquet(f"{at}/out")
+    return files.select(F.regexp_extract("image_id", r"(\d+)\.html$", 1).cast("long").alias("page_id"), "seq", "filesize", "img_offset")
+
+
 # ---- whole images, made of the files above: no SQL; tests hold them against plain Python ----
 
 _ONE_CODE = "01" + "00" * 15

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .store import store
+
 CHUNK = 100 << 20
 IMAGE = "image_id string, content binary"
 
@@ -19,6 +22,28 @@ def from_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return found.select(F.col("path").alias("image_id"), "content")
 
 
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, errors = [], []
+        for path in batch.column("path").to_pylist():
+            size, error = None, None
+            try:
+                system, at = store(path)
+                with system.open_input_file(at) as f:
+                    size = f.size()
+                    f.read_at(1, 0) if size else None
+            except (OSError, ValueError, TypeError) as e:
+                error = f"{type(e).__name__}: {e}"
+            sizes.append(size)
+            errors.append(error)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], ["path", "size", "error"])
+
+
+def probe(paths: DataFrame) -> DataFrame:
+    """path, size and error of each file: error says why a file can't be opened or read, and is null for the others, with which a run goes on."""
+    return paths.select("path").mapInArrow(_probed, "path string, size long, error string")
+
+
 def from_table(df: DataFrame, image_id: str, content: str) -> DataFrame:
     """A column of a table as images; text counts as UTF-8."""
     kind = dict(df.dtypes)[content]
@@ -38,6 +63,12 @@ def chunks(images: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
     return rows.select("image_id", "chunk_no", "chunk_offset", F.substring("content", (F.col("chunk_offset") + 1).cast("int"), F.lit(chunk_size)).alias("bytes"))
 
 
+def chunks_of_files(spark: SparkSession, paths: list[str], chunk_size: int = CHUNK) -> DataFrame:
+    """The chunks of files of any size."""
+    spark.dataSource.register(ImageChunks)
+    return spark.read.format("image_chunks").option("chunkSize", chunk_size).load("\n".join(paths))
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, no: int, offset: int, size: int) -> None:
         self.path, self.no, self.offset, self.size = path, no, offset, size
@@ -45,11 +76,14 @@ class _Range(InputPartition):
 
 class _ChunkReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.size, self.skip = options["path"], int(options.get("chunkSize", CHUNK)), int(options.get("skipBytes", 0))
+        self.paths, self.size, self.skip = options["path"].split("\n"), int(options.get("chunkSize", CHUNK)), int(options.get("skipBytes", 0))
 
     def partitions(self) -> list[InputPartition]:
-        end = os.path.getsize(self.path)
-        return [_Range(self.path, k, at, min(self.size, end - at)) for k, at in enumerate(range(self.skip, end, self.size))]
+        out = []
+        for path in self.paths:
+            end = os.path.getsize(path)
+            out += [_Range(path, k, at, min(self.size, end - at)) for k, at in enumerate(range(self.skip, end, self.size))]
+        return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
@@ -58,7 +92,7 @@ class _ChunkReader(DataSourceReader):
 
 
 class ImageChunks(DataSource):
-    """format("image_chunks"): one partition for each chunk of a file of any size on a path that all executors can open."""
+    """format("image_chunks"): one partition for each chunk of files of any size, on paths (one a line) that all executors can open."""
 
     @classmethod
     def name(cls) -> str:

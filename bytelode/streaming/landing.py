@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from bytelode.operators.reporter import Reporter
 from bytelode.plans.carve import CarveConfig, carve
 
 
-def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, config: CarveConfig | None = None, files_per_batch: int = 100) -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, config: CarveConfig | None = None, files_per_batch: int = 100, reporter: Reporter | None = None) -> StreamingQuery:
     """Carve every new file of folder into Parquet at out, with batch_id; stops when all present files are done.
 
-    A batch that is tried again replaces its own rows, since each batch writes its own partition.
+    A batch that is tried again replaces its own rows, since each batch writes its own partition. A reporter is told of
+    every batch, under its number, after its rows are written.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
     images = stream.select(F.col("path").alias("image_id"), "content")
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        carve(batch, config).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        at = f"{out}/batch_id={batch_id}"
+        carve(batch, config).write.mode("overwrite").parquet(at)
+        if reporter is not None:
+            reporter.add(batch.sparkSession.read.parquet(at), batch_id)
 
     return images.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
