@@ -7,6 +7,7 @@ codeword comes close.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from .common import held_out, one_text, pieces
 
 #: Documents that the classifiers learn from, about (every language has its share, and LEAST at least), and hashed n-gram features.
 TRAIN_ROWS, LEAST, WIDTH = 4_000, 40, 2_048
+#: Languages that are learned, at most: the most frequent ones.
+LANGUAGES = 500
 #: Bits of a codeword, and further ones for each doubling of the number of languages beyond 16.
 BITS, MORE_BITS = 24, 8
 UNKNOWN = "und"
@@ -104,19 +107,30 @@ def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learn every language from text and lang outside the held-out remainder.
+def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], DataFrame]:
+    """The languages to learn, and doc_id and lang of the documents to learn from, outside the held-out remainder.
 
-    The sample is bounded by the number of languages: of each one the rows / languages documents, LEAST or more, with the
-    least hash of doc_id. Null texts and langs teach nothing; a doc_id with several langs counts as the least of them.
+    Of each of the LANGUAGES most frequent languages these are the rows / languages documents, LEAST or more, with the least
+    hash of doc_id: at most the larger of rows and LEAST * LANGUAGES. A doc_id with several langs counts as the least of them.
     """
+    spark = docs.sparkSession
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    languages = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
+    most = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in most)
     each = max(rows // max(len(languages), 1), LEAST)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = ids.withColumn("k", rank).where(F.col("k") <= each).select("doc_id", "lang")
-    got = one_text(docs.where("text is not null").select("doc_id", "text"), sample, "lang").mapInArrow(_train_features, "lang string, x binary").toPandas().sort_values(["lang", "x"])
+    # The least hashes of a language lie below a bound that its count tells: only about `each` rows of it are ever ordered.
+    enough = each + 8 * math.sqrt(each) + 8
+    below = spark.createDataFrame([(r["lang"], min(2**63 - 1, int(enough / r["n"] * 2**64) - 2**63)) for r in most], "lang string, bound long")
+    few = ids.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(below), "lang").where(F.col("h") <= F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return languages, few.withColumn("k", rank).where(F.col("k") <= each).select("doc_id", "lang")
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Learn every language of `sample` from its texts. Null texts and langs teach nothing."""
+    languages, chosen = sample(docs, rows)
+    got = one_text(docs.where("text is not null").select("doc_id", "text"), chosen, "lang").mapInArrow(_train_features, "lang string, x binary").toPandas().sort_values(["lang", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, WIDTH).astype(np.float32)
     place = {name: k for k, name in enumerate(languages)}
     return fit(x, got["lang"].map(place).to_numpy(np.int64), languages or [UNKNOWN])

@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are chosen under a proven bound on how many good documents they reject.
 
-Each rule compares one ratio of a document with a cutoff. For every stratum (a band of word counts), rule and candidate
-cutoff, all documents labelled good are counted. From the loosest cutoff to stricter ones, an exact binomial test must
-reject that the rule's false-rejection rate exceeds its share of the allowed rate; the last cutoff before the first
-failure holds, and without one the rule is off in that stratum. Testing in a fixed order needs no correction among the
-cutoffs of a rule; the level is divided by the number of rules and strata (Bonferroni).
+Each rule compares one ratio of a document with a cutoff. All rules tighten along one fixed path: in turn, each goes to its
+next stricter cutoff, from off to the strictest. For every stratum (a band of word counts) and every step of the path all
+documents labelled good that any rule would reject there are counted. Step by step an exact binomial test must reject that
+the rules together falsely reject more than the allowed rate; the last step before the first failure holds, and without
+one all rules are off in that stratum. Testing in a fixed order needs no correction among the steps, and the rules are
+tested together; so the level is divided by the number of strata only (Bonferroni), and some 90 good documents are enough
+to get a stratum going.
 """
 
 from __future__ import annotations
@@ -78,28 +80,49 @@ def below(n: int, k: int, p: float) -> float:
     return min(1.0, total)
 
 
-def choose(good: dict[tuple[int, str], dict[int, int]], allowed: float = FALSE_REJECTIONS, mistake: float = MISTAKE) -> dict[tuple[int, str], float]:
-    """Cutoffs for each (stratum, rule) from counts of good documents by the number of cutoffs that they exceed."""
-    level = mistake / ((len(STRATA) + 1) * len(RULES))
-    out = {}
-    for (band, rule), by in good.items():
-        n = sum(by.values())
-        for k, cut in reversed(list(enumerate(RULES[rule][1]))):
-            over = sum(c for passed, c in by.items() if passed > k)
-            if below(n, over, allowed / len(RULES)) > level:
+def path() -> list[tuple[str, float]]:
+    """The rule that each step tightens, and its cutoff from there on: every rule's loosest one in turn, then their next ones."""
+    longest = max(len(cuts) for _, cuts in RULES.values())
+    return [(rule, cuts[len(cuts) - notch]) for notch in range(1, longest + 1) for rule, (_, cuts) in RULES.items() if notch <= len(cuts)]
+
+
+def cutoffs_at(steps: int) -> dict[str, float]:
+    """Each rule's cutoff after so many steps; a rule that is still off has none."""
+    return dict(path()[:steps])
+
+
+def rejected_at() -> Column:
+    """The step from which on a document is rejected; as many as there are steps, if it never is."""
+    steps, none = path(), len(path())
+    first = []
+    for rule, (_, cuts) in RULES.items():
+        exceeded = sum((F.when(ratio(rule) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+        at = [none, *(steps.index((rule, cut)) for cut in cuts)]  # the strictest cutoff that it exceeds comes last
+        first.append(F.get(F.array(*map(F.lit, at)), exceeded))
+    return F.least(*first)
+
+
+def choose(good: dict[int, dict[int, int]], allowed: float = FALSE_REJECTIONS, mistake: float = MISTAKE) -> dict[int, int]:
+    """How many steps each stratum may go, from counts of good documents by the step that first rejects them."""
+    level, out = mistake / (len(STRATA) + 1), {}
+    for band, by in good.items():
+        n, over, steps = sum(by.values()), 0, 0
+        for k in range(len(path())):
+            over += by.get(k, 0)
+            if below(n, over, allowed) > level:
                 break
-            out[band, rule] = cut
+            steps = k + 1
+        out[band] = steps
     return out
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame) -> dict[tuple[int, str], float]:
-    """Counts over all labelled documents that pass the base test; only the counts (bands x rules x steps) reach the driver."""
+def limits(stats: DataFrame, labels: DataFrame) -> dict[int, int]:
+    """Steps of each stratum from counts over all labelled documents that pass the base test; only the counts (strata x steps) reach the driver."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    rows = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), sum((F.when(ratio(rule) > cut, 1).otherwise(0) for cut in cuts), F.lit(0)).alias("passed")) for rule, (_, cuts) in RULES.items())))
-    known = stats.where(~base_failed()).join(good, "doc_id").select(stratum().alias("band"), rows.alias("r")).groupBy("band", "r.rule", "r.passed").count()
-    by: dict[tuple[int, str], dict[int, int]] = {}
-    for band, rule, passed, n in known.collect():
-        by.setdefault((band, rule), {})[passed] = n
+    known = stats.where(~base_failed()).join(good, "doc_id").groupBy(stratum().alias("band"), rejected_at().alias("step")).count()
+    by: dict[int, dict[int, int]] = {}
+    for band, step, n in known.collect():
+        by.setdefault(band, {})[step] = n
     return choose(by)
 
 
@@ -107,11 +130,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed and kept for each row of docs.
 
     Null and empty texts have no words and fail the base test; repeated rows and null ids are judged like others; with no
-    labels no rule qualifies, and only the base test rejects.
+    labels no stratum takes a step, and only the base test rejects.
     """
     stats = stash(measure(docs), "rules")
-    cut = cutoffs(stats, labels)
-    bad = F.lit(False)
-    for (band, rule), most in sorted(cut.items()):
-        bad = bad | ((stratum() == band) & (ratio(rule) > most))
-    return stats.select("doc_id", *_COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
+    steps = limits(stats, labels)
+    may = F.get(F.array(*(F.lit(steps.get(band, 0)) for band in range(len(STRATA) + 1))), stratum())
+    return stats.select("doc_id", *_COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & (rejected_at() >= may)).alias("kept"))

@@ -86,6 +86,18 @@ def base(text: str | None) -> tuple:
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), n < 50 or 100 * len(again) > 50 * n
 
 
+def test_sample_of_languages(spark) -> None:
+    """The least hashes of each language, and little more than these is ever ordered."""
+    for languages, n in ((1, 9_000), (3, 9_000), (30, 9_000), (langid.LANGUAGES + 20, 3_000)):
+        docs = spark.range(n).select("id", (F.col("id") * F.col("id") % languages).alias("l")).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.format_string("l%04d", "l").alias("lang"))
+        names, chosen = langid.sample(docs, 600)
+        rows = docs.where(~langid.held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")).toPandas()
+        assert len(names) == min(rows.lang.nunique(), langid.LANGUAGES)
+        each = max(600 // len(names), langid.LEAST)
+        wanted = rows[rows.lang.isin(names)].sort_values(["lang", "h"]).groupby("lang").head(each)
+        assert {(r.doc_id, r.lang) for r in chosen.collect()} == {*zip(wanted.doc_id, wanted.lang, strict=True)}
+
+
 def test_rules(spark) -> None:
     rows = texts() + [(800, "a b\nc #$ | <x>\na b\n\na b \n" * 20)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality long, toxic long")
@@ -100,10 +112,23 @@ def test_risk_control() -> None:
     assert quality_rules.below(10, 10, 0.3) == 1 and np.isclose(quality_rules.below(10, 0, 0.3), 0.7**10)
     assert np.isclose(quality_rules.below(40, 2, 0.1), sum(math.comb(40, k) * 0.1**k * 0.9 ** (40 - k) for k in range(3)))
     assert np.isclose(quality_rules.below(10**9, 7_142_000, 0.05 / 7), 0.378, atol=0.02) and quality_rules.below(10**9, 10**8, 0.05 / 7) > 1 - 1e-5
-    few, many = {(0, "symbols"): {0: 50}}, {(0, "symbols"): {0: 50_000}}
-    assert quality_rules.choose(few) == {} and quality_rules.choose(many) == {(0, "symbols"): 0.0}
-    mixed = {(0, "symbols"): {0: 50_000, 4: 3_000}}  # three in fifty exceed the four strictest cutoffs
-    assert quality_rules.choose(mixed)[0, "symbols"] == quality_rules.RULES["symbols"][1][4]
+    steps = quality_rules.path()
+    assert len(steps) == len({*steps}) == sum(len(c) for _, c in quality_rules.RULES.values()) and steps[:2] == [("symbols", 0.9), ("duplicate_lines", 0.9)]
+    assert quality_rules.cutoffs_at(0) == {} and quality_rules.cutoffs_at(len(steps)) == {r: c[0] for r, (_, c) in quality_rules.RULES.items()}
+    none = len(steps)
+    assert quality_rules.choose({0: {none: 89}, 1: {none: 90}, 2: {}}) == {0: 0, 1: none, 2: 0}
+    # 3 of 100 may be rejected by chance too often; 20 of 1000 prove less than one in twenty, 40 do not
+    assert quality_rules.choose({0: {none: 97, 5: 3}, 1: {none: 960, 7: 20, 30: 20}}) == {0: 5, 1: 30}
+
+
+def test_steps_reject_what_their_cutoffs_say(spark) -> None:
+    """The step of each document against cutoffs as they stand after each step."""
+    docs = table(spark, texts() + [(800 + k, "#$ %&\n" * k + "Word! " * (90 - k)) for k in range(0, 90, 6)])
+    stats = quality_rules.measure(docs).withColumn("step", quality_rules.rejected_at()).withColumns({f"r_{r}": quality_rules.ratio(r) for r in quality_rules.RULES}).collect()
+    for row in stats:
+        fails = [any(row[f"r_{r}"] > cut for r, cut in quality_rules.cutoffs_at(k + 1).items()) for k in range(len(quality_rules.path()))]
+        assert row.step == (fails.index(True) if any(fails) else len(fails))
+    assert len({r.step for r in stats}) > 5
 
 
 def test_false_rejections_stay_below_the_bound(spark) -> None:
@@ -112,6 +137,19 @@ def test_false_rejections_stay_below_the_bound(spark) -> None:
     assert good.where("not kept").count() <= quality_rules.FALSE_REJECTIONS * good.count()
 
 
+def test_bound_on_rows_not_used(spark) -> None:
+    """Steps that half of the labels allow reject few good documents of the other half, and reject something at all."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality_rules.measure(docs).cache()
+    half = labels.where("crc32(cast(doc_id as string)) % 2 = 0")
+    steps = quality_rules.limits(stats, half)
+    assert max(steps.values()) > 0
+    may = F.get(F.array(*(F.lit(steps.get(b, 0)) for b in range(len(quality_rules.STRATA) + 1))), quality_rules.stratum())
+    rest = stats.where(~quality_rules.base_failed()).join(labels.where("quality = 1 and crc32(cast(doc_id as string)) % 2 = 1"), "doc_id")
+    for r in rest.groupBy(quality_rules.stratum().alias("band")).agg(F.count("*").alias("n"), F.count_if(quality_rules.rejected_at() < may).alias("lost")).collect():
+        assert r.lost <= 0.05 * r.n + 3 * math.sqrt(0.05 * r.n)
+
+
 def test_chat(spark) -> None:
     draw = random.Random(2)
     rows: list[tuple] = []
