@@ -8,18 +8,22 @@ from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.dataset as ds
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.functions import walkers as W
 from bytelode.functions.bytesx import WILDCARD, matches, piece
+from bytelode.sources.scratch import shared_path
+from bytelode.sources.store import store
 
-from .signatures import Signatures, printable
+from .signatures import Signatures
+from .signatures import printable as printable
 from .specs import Spec
 
 HEAD = 64
-__all__ = ["block_hits", "chunk_hits", "find", "find_last", "hits", "image_hits", "occurrences", "positions", "printable"]
 SCAN = "struct<width: int, height: int, broken: long, restarts: boolean, status: string>"
 #: The facts of a hit that its chunk has no footer for, seen on the whole image up to the longest size.
 LATE = "struct<rem: long, footer_at: long, marker_end: long, head: binary, sound: boolean>"
@@ -348,6 +352,52 @@ def tally(chunks: DataFrame, specs: list[Spec]) -> DataFrame:
     return chunks.select("bytes").mapInArrow(_tally(specs), "spec_idx int, n_hits long").groupBy("spec_idx").agg(F.sum("n_hits").alias("n_hits"))
 
 
+#: For the process of a task, the catalog tables that it has read.
+_catalogs: dict[str, Signatures] = {}
+
+
+def _signatures(table: str) -> Signatures:
+    """The headers of a catalog table (specs.SCHEMA), read where the task runs and kept for the next ones."""
+    if table not in _catalogs:
+        system, at = store(table)
+        rows = ds.dataset(at, format="parquet", filesystem=system).to_table(columns=["spec_idx", "suffix", "header", "case_sensitive", "search_type"]).to_pylist()
+        rows.sort(key=lambda r: r["spec_idx"])
+        found = Signatures([Spec("Config", r["suffix"], r["header"], None, 0, r["case_sensitive"], r["search_type"]) for r in rows])
+        found.idx = np.array([r["spec_idx"] for r in rows], np.int32)
+        _catalogs.clear()
+        _catalogs[table] = found
+    return _catalogs[table]
+
+
+class SignatureHits:
+    """The handler of the table function signature_hits(bytes, catalog): spec_idx and pos of every header of the catalog table in the bytes."""
+
+    def eval(self, data: bytes, catalog: str) -> Iterator[tuple[int, int]]:
+        found = _signatures(catalog)
+        for k, at in found.places(data or b"").items():
+            idx = int(found.idx[k])
+            for pos in at.tolist():
+                yield idx, pos
+
+
+def register_signature_hits(spark: SparkSession) -> None:
+    """Make signature_hits known to SQL: `select ... from chunks, lateral signature_hits(bytes, '<path of a catalog table>')`."""
+    spark.udtf.register("signature_hits", F.udtf(SignatureHits, returnType="spec_idx int, pos long"))
+
+
+def places(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """chunks (all columns but bytes) with spec_idx and pos of every header of a catalog, a table of any length, that stands in them.
+
+    The catalog (specs.SCHEMA) is written to the shared folder and read by the tasks: it is neither in the plan nor on the driver.
+    """
+    spark = chunks.sparkSession
+    register_signature_hits(spark)
+    table = shared_path(spark, "catalog")
+    catalog.select("spec_idx", "suffix", "header", "case_sensitive", "search_type").write.parquet(table)
+    names = ", ".join(f"c.`{n}`" for n in chunks.columns if n != "bytes")
+    return spark.sql(f"select {names}, h.spec_idx, h.pos from {{chunks}} c, lateral signature_hits(c.bytes, {{table}}) h", chunks=chunks, table=table)
+
+
 def block_hits(data: Column, header: bytes, block_size: int, case_sensitive: bool = True) -> Column:
     """Quick mode for one spec, as an array of places: block boundaries at which the header stands."""
     n = len(header)

@@ -37,7 +37,7 @@ _FACTS = ["file_type", "suffix", "max_len", "header_len", "footer_len", "n_marke
 
 def _measured(rows: DataFrame, config: CarveConfig, late: bool) -> DataFrame:
     """rows with ok, size (0: no file) and comment by a hit's facts, or by its late ones under names that begin with late_."""
-    kinds = {s.file_type.lower() for s in config.specs} - {*(scan.WITHIN if late else ())}
+    kinds = {s.file_type.lower() for s in config.specs if not late or scan.may_wait(s)}
     h = {k: F.col(k) for k in _FACTS}
     if late:
         h |= {k: F.col(f"late.{k}") for k in ("rem", "footer_at", "marker_end", "head", "sound")}

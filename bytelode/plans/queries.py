@@ -340,13 +340,12 @@ def spec_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with w as (select distinct unnest(string_split(text, ' ')) as word from benchmark), v as (select word, word || ' ' as h from w where regexp_full_match(word, '[a-z]{4,}'))
 select word, sum((length(text) - length(replace(text, h, ''))) // length(h))::bigint as n_hits from v join documents on contains(text, h) group by word""")
 def catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalog of some thousand signatures, the words of the benchmark with the space after them, looked for in one pass over all documents."""
+    """A catalog of some thousand signatures, the words of the benchmark with the space after them: a table, looked for in one pass over all documents."""
     words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.col("word").rlike("^[a-z]{4,}$")).distinct()
-    catalog = sorted(r.word for r in words.collect())
-    specs = [Spec("Config", w, f"{w} ".encode(), None, 1) for w in catalog]
-    found = scan.tally(I.chunks(I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text")), specs)
-    names = spark.createDataFrame(list(enumerate(catalog)), "spec_idx int, word string")
-    return found.join(names, "spec_idx").select("word", "n_hits")
+    catalog = settle(words.select(F.row_number().over(Window.orderBy("word")).alias("spec_idx"), F.col("word").alias("suffix"), F.encode(F.concat("word", F.lit(" ")), "UTF-8").alias("header"), F.lit(True).alias("case_sensitive"), F.lit("Forward").alias("search_type")), "catalog")
+    chunks = I.chunks(I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = scan.places(chunks, catalog).groupBy("spec_idx").agg(F.count("*").alias("n_hits"))
+    return found.join(catalog, "spec_idx").select(F.col("suffix").alias("word"), "n_hits")
 
 
 _CUT = 512

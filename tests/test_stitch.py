@@ -8,9 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bytelode.operators import intervals, report, select
+from bytelode.operators import intervals, report, scan, select
 from bytelode.operators import recover as R
-from bytelode.operators.specs import Spec, builtin_specs, select_types
+from bytelode.operators.signatures import Signatures
+from bytelode.operators.specs import Spec, builtin_specs, select_types, specs_frame
 from bytelode.plans.carve import CarveConfig, carve
 from bytelode.plans.cli import recover_parser, run_carve, run_recover
 from bytelode.plans.cli import parser as carve_parser
@@ -197,3 +198,15 @@ def test_report_of_ranges(spark, tmp_path) -> None:
     found = carve(images, CarveConfig(select_types(builtin_specs(), ["jpg"])))
     store.write_files(report.payloads(images, found), str(tmp_path))
     assert os.listdir(tmp_path) == ["1-0.jpg"] and found.select(F.col("filesize")).first()[0] == os.path.getsize(tmp_path / "1-0.jpg")
+
+
+def test_catalog_in_a_table(spark) -> None:
+    """Some thousand signatures, read by the tasks; wildcards, folded case and search types as in a catalog of specs."""
+    draw = random.Random(9)
+    specs = [Spec("Config", f"s{k}", bytes(draw.choice(b"abcA?") for _ in range(draw.randrange(1, 6))), None, 9, draw.random() < 0.7, draw.choice(["Forward", "Ascii"])) for k in range(3000)]
+    data = [bytes(draw.choice(b"abcABC") for _ in range(60)) for _ in range(6)] + [b"", None]
+    chunks = spark.createDataFrame([(str(k), k, None if d is None else bytearray(d)) for k, d in enumerate(data)], "image_id string, chunk_no int, bytes binary")
+    found = scan.places(chunks, specs_frame(spark, specs))
+    assert found.columns == ["image_id", "chunk_no", "spec_idx", "pos"]
+    got = {(r.image_id, r.spec_idx, r.pos) for r in found.collect()}
+    assert got == {(str(k), idx, p) for k, d in enumerate(data) for idx, at in Signatures(specs).places(d or b"").items() for p in at.tolist()} and len(got) > 1000
