@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytelode.sources.scratch import shared_folder
+
 #: Bytes of text that a numpy kernel works on at once; a longer text is one piece of its own.
 PIECE_BYTES = 1 << 20
 #: Spark's own setting that lets the shuffle files of a query go when it ends.
@@ -27,12 +28,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="bytelode-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a local one where that is unset (tests)."""
+    return shared_folder(spark)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:

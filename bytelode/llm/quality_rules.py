@@ -1,10 +1,10 @@
 """Quality rules whose cutoffs are chosen under a proven bound on how many good documents they reject.
 
-Each rule compares one ratio of a document with a cutoff. All rules tighten along one fixed path: in turn, each goes to its
-next stricter cutoff, from off to the strictest. For every stratum (a band of word counts) and every step of the path all
+Each rule compares one ratio of a document with a cutoff. All rules tighten along one fixed path: each goes from off to its
+strictest cutoff, all at one pace. For every stratum (a band of word counts) and every step of the path all
 documents labelled good that any rule would reject there are counted. Step by step an exact binomial test must reject that
 the rules together falsely reject more than the allowed rate; the last step before the first failure holds, and without
-one all rules are off in that stratum. Testing in a fixed order needs no correction among the steps, and the rules are
+one all rules are off in that stratum. Any step before it passed, too, so a less strict one may be taken. Testing in a fixed order needs no correction among the steps, and the rules are
 tested together; so the level is divided by the number of strata only (Bonferroni), and some 90 good documents are enough
 to get a stratum going.
 """
@@ -24,6 +24,8 @@ from .common import pieces, stash
 
 #: Of the good documents of a stratum, all rules together reject no more than this share, with this probability of a mistake anywhere.
 FALSE_REJECTIONS, MISTAKE = 0.05, 0.05
+#: Of the steps that pass, none is taken that is seen to reject more than this share of the good documents counted.
+SEEN = 0.005
 STRATA = (100, 300, 1000, 3000)
 #: Ratio and candidate cutoffs; a document with more is rejected.
 _STEPS = [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -33,8 +35,8 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "repeated_words": ("n_repeat_words / n_words", _STEPS),
     "capitals": ("n_upper / word_chars", _STEPS),
     "exclamations": ("n_bangs / n_words", _STEPS),
-    "long_words": ("word_chars / n_words", [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0]),
-    "short_words": ("n_words / word_chars", [0.1, 0.125, 0.15, 0.175, 0.2, 0.25, 0.3, 0.4, 0.5]),
+    "long_words": ("word_chars / n_words", [8.0, 9.0, 10.0, 12.0, 15.0, 20.0]),
+    "short_words": ("n_words / word_chars", [0.25, 0.3, 0.4, 0.5]),
 }
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs"]
 
@@ -81,9 +83,9 @@ def below(n: int, k: int, p: float) -> float:
 
 
 def path() -> list[tuple[str, float]]:
-    """The rule that each step tightens, and its cutoff from there on: every rule's loosest one in turn, then their next ones."""
-    longest = max(len(cuts) for _, cuts in RULES.values())
-    return [(rule, cuts[len(cuts) - notch]) for notch in range(1, longest + 1) for rule, (_, cuts) in RULES.items() if notch <= len(cuts)]
+    """The rule that each step tightens, and its cutoff from there on. Rules keep pace: each is as far on its own way as the others."""
+    steps = [((notch + 1) / len(cuts), k, rule, cut) for k, (rule, (_, cuts)) in enumerate(RULES.items()) for notch, cut in enumerate(reversed(cuts))]
+    return [(rule, cut) for _, _, rule, cut in sorted(steps)]
 
 
 def cutoffs_at(steps: int) -> dict[str, float]:
@@ -111,7 +113,7 @@ def choose(good: dict[int, dict[int, int]], allowed: float = FALSE_REJECTIONS, m
             over += by.get(k, 0)
             if below(n, over, allowed) > level:
                 break
-            steps = k + 1
+            steps = k + 1 if over <= SEEN * n else steps
         out[band] = steps
     return out
 
