@@ -77,25 +77,48 @@ def carve(images: DataFrame | None, config: CarveConfig | None = None, chunks: D
     their ends. Null contents are images without bytes.
     """
     config = config or CarveConfig()
-    block, in_file = config.block_size if config.quick else 0, config.mode == "file"
-    apart = in_file and chunks is not None
-    if in_file and not apart:
-        found = scan.image_hits(images, config.specs, config.chunk_size, block)
-    else:
-        if apart:
-            stitch.check(config.specs)
-        found = scan.hits(I.chunks(images, config.chunk_size) if chunks is None else chunks, config.specs, block, apart)
+    if config.mode == "file" and chunks is None:
+        kept = _selected(scan.image_hits(images, config.specs, config.chunk_size, _block(config)), config).where("not _ends")
+        return _numbered(_late(kept, config), config)
+    if config.mode == "file":
+        return finished(settle(scanned(chunks, config), "hits"), config)
+    kept = _selected(scan.hits(I.chunks(images, config.chunk_size) if chunks is None else chunks, config.specs, _block(config)), config)
+    return _numbered(kept, config)
+
+
+def _block(config: CarveConfig) -> int:
+    return config.block_size if config.quick else 0
+
+
+def _selected(found: DataFrame, config: CarveConfig) -> DataFrame:
+    """Hits sized and selected, and rows that tell of chunks' ends (_ends)."""
     rows = sized(found, config).withColumn("_ends", F.col("pass_no") == scan.ENDS)
-    kept = select.in_order(rows, ["image_id", "chunk_no", "spec_idx", "_ends"], "pos", "advance", "_ends").drop("advance")
-    if apart:
-        kept = settle(kept, "hits")
-        waiting = stitch.stitched(kept.where("bridge and not _ends"), kept.where("_ends"), config.specs)
-        kept = kept.where("not bridge and not _ends").unionByName(waiting)
-    if in_file:
-        late = F.col("bridge")
-        kept = _measured(kept, config, True)
-        kept = kept.withColumn("size", F.when(late, F.col("late_size")).otherwise(F.col("size"))).withColumn("comment", F.when(late, F.col("late_comment")).otherwise(F.col("comment"))).withColumn("scan", F.when(~late, F.col("scan")))
-    kept = kept.withColumn("late", F.col("bridge").cast("int")).drop("_ends", "head", "probe", "probe_at", "marker_end", "footer_at", "late_ok", "late_size", "late_comment")
+    return select.in_order(rows, ["image_id", "chunk_no", "spec_idx", "_ends"], "pos", "advance", "_ends").drop("advance")
+
+
+def scanned(chunks: DataFrame, config: CarveConfig) -> DataFrame:
+    """The light rows that file mode needs of chunks: their hits that are kept, and what they tell of their ends. `finished` makes files of them."""
+    stitch.check(config.specs)
+    return _selected(scan.hits(chunks, config.specs, _block(config), True), config)
+
+
+def finished(kept: DataFrame, config: CarveConfig) -> DataFrame:
+    """The files of images from the rows of `scanned` for all of their chunks."""
+    waiting = stitch.stitched(kept.where("bridge and not _ends"), kept.where("_ends"), config.specs)
+    return _numbered(_late(kept.where("not bridge and not _ends").unionByName(waiting), config), config)
+
+
+def _late(kept: DataFrame, config: CarveConfig) -> DataFrame:
+    """Hits that waited get the size that their late facts say."""
+    late = F.col("bridge")
+    kept = _measured(kept, config, True)
+    kept = kept.withColumn("size", F.when(late, F.col("late_size")).otherwise(F.col("size"))).withColumn("comment", F.when(late, F.col("late_comment")).otherwise(F.col("comment")))
+    return kept.withColumn("scan", F.when(~late, F.col("scan"))).drop("late_ok", "late_size", "late_comment")
+
+
+def _numbered(kept: DataFrame, config: CarveConfig) -> DataFrame:
+    """Rows of files, in the order of their numbers' keys: within a chunk those that waited come last."""
+    kept = kept.withColumn("late", F.col("bridge").cast("int")).drop("_ends", "head", "probe", "probe_at", "marker_end", "footer_at")
     files = select.number(kept.where("size > 0"), "image_id", "chunk_no", [F.col(c) for c in ("late", "pass_no", "k1", "k2")])
     offset = (F.col("chunk_offset") + F.col("pos")).cast("long")
     run = F.struct(F.lit(0).cast("long").alias("offset"), offset.alias("img_offset"), F.col("size").alias("len"))

@@ -1,4 +1,4 @@
-"""Carving of images as they arrive in a folder. Images are independent, so no state passes between batches."""
+"""Carving of images as they arrive: whole ones, which are independent, or by chunks, of which light rows wait for the rest."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bytelode.operators.reporter import Reporter
-from bytelode.plans.carve import CarveConfig, carve
+from bytelode.plans.carve import CarveConfig, carve, finished, scanned
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, config: CarveConfig | None = None, files_per_batch: int = 100, reporter: Reporter | None = None) -> StreamingQuery:
@@ -27,3 +27,29 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, config: C
             reporter.add(batch.sparkSession.read.parquet(at), batch_id)
 
     return images.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch_chunks(chunks: DataFrame, out: str, state: str, checkpoint: str, config: CarveConfig | None = None) -> StreamingQuery:
+    """Carve images in file mode whose chunks arrive in any number of batches and any order, as `carve` does from all of them.
+
+    chunks is a stream of image_id, chunk_no, chunk_offset, bytes and last (whether it is the image's last chunk). Of every
+    chunk only its hits and what it tells of its ends are kept, at state; an image's files are written to out, with batch_id,
+    by the batch that brings the last chunk that it lacked. A batch that is tried again replaces its own rows in both. A
+    chunk that comes twice, in one batch or in several, counts once.
+    """
+    config = config or CarveConfig()
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        once = batch.dropDuplicates(["image_id", "chunk_no"])
+        once.where("last").select("image_id", (F.col("chunk_no") + 1).alias("chunks")).write.mode("overwrite").parquet(f"{state}/lengths/batch_id={batch_id}")
+        scanned(once, config).write.mode("overwrite").parquet(f"{state}/rows/batch_id={batch_id}")
+        rows = spark.read.parquet(f"{state}/rows").where(F.col("batch_id") <= batch_id)
+        lengths = spark.read.parquet(f"{state}/lengths").where(F.col("batch_id") <= batch_id).groupBy("image_id").agg(F.max("chunks").alias("chunks"))
+        # a chunk's first batch is the one that counts
+        came = rows.where("_ends and spec_idx = -1").groupBy("image_id", "chunk_no").agg(F.min("batch_id").alias("batch_id"))
+        whole = came.groupBy("image_id").agg(F.count("*").alias("n"), F.max("batch_id").alias("done")).join(lengths, "image_id").where((F.col("n") == F.col("chunks")) & (F.col("done") == batch_id))
+        here = rows.join(came, ["image_id", "chunk_no", "batch_id"], "left_semi").join(whole.select("image_id"), "image_id", "left_semi").drop("batch_id")
+        finished(here, config).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return chunks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

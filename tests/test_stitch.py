@@ -17,6 +17,7 @@ from bytelode.plans.cli import recover_parser, run_carve, run_recover
 from bytelode.plans.cli import parser as carve_parser
 from bytelode.sources import images as I
 from bytelode.sources import scratch, store
+from bytelode.streaming.landing import watch_chunks
 from tests.test_carve import image
 from tests.test_formats import SOF, SOS, START, TABLES
 
@@ -210,3 +211,19 @@ def test_catalog_in_a_table(spark) -> None:
     assert found.columns == ["image_id", "chunk_no", "spec_idx", "pos"]
     got = {(r.image_id, r.spec_idx, r.pos) for r in found.collect()}
     assert got == {(str(k), idx, p) for k, d in enumerate(data) for idx, at in Signatures(specs).places(d or b"").items() for p in at.tolist()} and len(got) > 1000
+
+
+def test_chunks_in_any_batches(spark, tmp_path) -> None:
+    """Chunks of several images, shuffled over batches and some of them twice, give what all of them at once give."""
+    draw, c = random.Random(4), CarveConfig(SPECS, chunk_size=64)
+    data = [bytes(draw.choice(b"abc") for _ in range(draw.choice([30, 200, 500]))) for _ in range(6)]
+    images = image(spark, *data)
+    rows_ = [(r.image_id, r.chunk_no, r.chunk_offset, r.bytes, r.chunk_offset + len(r.bytes) == len(data[int(r.image_id)])) for r in I.chunks(images, 64).collect()]
+    draw.shuffle(rows_)
+    schema = "image_id string, chunk_no int, chunk_offset long, bytes binary, last boolean"
+    for k in range(4):
+        spark.createDataFrame(rows_[k::4] + rows_[:3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    watch_chunks(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "checkpoint"), c).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).drop("batch_id")) == rows(carve(images, c))
+    assert len(os.listdir(tmp_path / "out")) == 4
