@@ -490,18 +490,15 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("image_id", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes_read"))
 
 
-@query(_NUMBERED + " select page_id, seq, seq || '-' || img_offset || '.htm' as filename, filesize, 'htm' as file_type, 0::bigint as \"offset\", img_offset, filesize as len, false as has_scan from n")
+@query(_NUMBERED + " select page_id, seq, page_id || '-' || seq || '-' || img_offset || '.htm' as filename, filesize, 'htm' as file_type, 0::bigint as \"offset\", img_offset, filesize as len, false as has_scan from n")
 def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON report over all pages, written by many tasks in order, and read back."""
     at = f"{shared_path(spark, 'report')}/carve_report.json"
-    files = settle(_htm(spark, sf_dir, "buffer"), "files")
-    numbered = files.select(F.monotonically_increasing_id().alias("_"), "*").drop("_")
-    tell(JsonReporter(at), _sources(spark, sf_dir), numbered)
-    back = report.read_report(spark, at)
-    # objects stand in the order of image and number, which tells each its image
-    known = files.select(F.row_number().over(Window.orderBy("image_id", "seq")).alias("place"), F.col("image_id").cast("long").alias("page_id"), F.col("seq").alias("number"))
-    run = F.col("byte_runs")[0]
-    return back.withColumnRenamed("seq", "place").join(known, "place").select("page_id", F.col("number").alias("seq"), "filename", "filesize", "file_type", run["offset"].alias("offset"), run["img_offset"].alias("img_offset"), run["len"].alias("len"), F.col("jpeg_scan").isNotNull().alias("has_scan"))
+    files = settle(carve(_pages(spark, sf_dir), CarveConfig(select_types(builtin_specs(), ["htm"]), "buffer", prefix_filenames=True)), "files")
+    tell(JsonReporter(at), _sources(spark, sf_dir), files)
+    back, run = report.read_report(spark, at), F.col("byte_runs")[0]
+    part = lambda k: F.split("filename", "-")[k]
+    return back.select(part(0).cast("long").alias("page_id"), part(1).cast("int").alias("seq"), "filename", "filesize", "file_type", run["offset"].alias("offset"), run["img_offset"].alias("img_offset"), run["len"].alias("len"), F.col("jpeg_scan").isNotNull().alias("has_scan"))
 
 
 @query(_NUMBERED + """, l as (select page_id, 0 as place, 0 as num, 'Num\tName\tSize\tFile Offset\tComment' || chr(10) as line from pages
