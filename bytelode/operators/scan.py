@@ -334,21 +334,27 @@ def occurrences(texts: DataFrame, patterns: DataFrame, chars: int = PATTERN_CHAR
     return out.groupBy("pattern").agg(F.sum("n_hits").alias("n_hits"))
 
 
-def _tally(specs: list[Spec]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _tally(specs: list[Spec] | str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures = Signatures(specs)
+        signatures = _signatures(specs) if isinstance(specs, str) else Signatures(specs)
+        numbers = signatures.idx if isinstance(specs, str) else np.arange(len(specs))
         for batch in batches:
             found: Counter[int] = Counter()
             for data in batch.column("bytes"):
                 for idx, at in signatures.places(data.as_py() or b"").items():
-                    found[idx] += len(at)
+                    found[int(numbers[idx])] += len(at)
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["spec_idx", "n_hits"])
 
     return run
 
 
-def tally(chunks: DataFrame, specs: list[Spec]) -> DataFrame:
-    """spec_idx and n_hits: how often each header that is met stands in chunks (column bytes), in one pass for all of the catalog."""
+def tally(chunks: DataFrame, specs: list[Spec] | DataFrame) -> DataFrame:
+    """spec_idx and n_hits: how often each header that is met stands in chunks (column bytes), in one pass for all of the catalog.
+
+    Specs may be a table (specs.SCHEMA), which the tasks read from the shared folder. Counts leave a task, not places.
+    """
+    if isinstance(specs, DataFrame):
+        specs = _written(specs)
     return chunks.select("bytes").mapInArrow(_tally(specs), "spec_idx int, n_hits long").groupBy("spec_idx").agg(F.sum("n_hits").alias("n_hits"))
 
 
@@ -385,6 +391,12 @@ def register_signature_hits(spark: SparkSession) -> None:
     spark.udtf.register("signature_hits", F.udtf(SignatureHits, returnType="spec_idx int, pos long"))
 
 
+def _written(catalog: DataFrame) -> str:
+    table = shared_path(catalog.sparkSession, "catalog")
+    catalog.select("spec_idx", "suffix", "header", "case_sensitive", "search_type").write.parquet(table)
+    return table
+
+
 def places(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
     """chunks (all columns but bytes) with spec_idx and pos of every header of a catalog, a table of any length, that stands in them.
 
@@ -392,8 +404,7 @@ def places(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     spark = chunks.sparkSession
     register_signature_hits(spark)
-    table = shared_path(spark, "catalog")
-    catalog.select("spec_idx", "suffix", "header", "case_sensitive", "search_type").write.parquet(table)
+    table = _written(catalog)
     names = ", ".join(f"c.`{n}`" for n in chunks.columns if n != "bytes")
     return spark.sql(f"select {names}, h.spec_idx, h.pos from {{chunks}} c, lateral signature_hits(c.bytes, {{table}}) h", chunks=chunks, table=table)
 

@@ -344,7 +344,7 @@ def catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.col("word").rlike("^[a-z]{4,}$")).distinct()
     catalog = settle(words.select(F.row_number().over(Window.orderBy("word")).alias("spec_idx"), F.col("word").alias("suffix"), F.encode(F.concat("word", F.lit(" ")), "UTF-8").alias("header"), F.lit(True).alias("case_sensitive"), F.lit("Forward").alias("search_type")), "catalog")
     chunks = I.chunks(I.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text"))
-    found = scan.places(chunks, catalog).groupBy("spec_idx").agg(F.count("*").alias("n_hits"))
+    found = scan.tally(chunks, catalog)
     return found.join(catalog, "spec_idx").select(F.col("suffix").alias("word"), "n_hits")
 
 

@@ -204,13 +204,15 @@ def test_report_of_ranges(spark, tmp_path) -> None:
 def test_catalog_in_a_table(spark) -> None:
     """Some thousand signatures, read by the tasks; wildcards, folded case and search types as in a catalog of specs."""
     draw = random.Random(9)
-    specs = [Spec("Config", f"s{k}", bytes(draw.choice(b"abcA?") for _ in range(draw.randrange(1, 6))), None, 9, draw.random() < 0.7, draw.choice(["Forward", "Ascii"])) for k in range(3000)]
+    specs = [Spec("Config", f"s{k}", bytes(draw.choice(b"abcA") for _ in range(draw.randrange(2, 6))) + draw.choice([b"", b"?", b"?a"]), None, 9, draw.random() < 0.7, draw.choice(["Forward", "Ascii"])) for k in range(3000)]
     data = [bytes(draw.choice(b"abcABC") for _ in range(60)) for _ in range(6)] + [b"", None]
     chunks = spark.createDataFrame([(str(k), k, None if d is None else bytearray(d)) for k, d in enumerate(data)], "image_id string, chunk_no int, bytes binary")
     found = scan.places(chunks, specs_frame(spark, specs))
     assert found.columns == ["image_id", "chunk_no", "spec_idx", "pos"]
     got = {(r.image_id, r.spec_idx, r.pos) for r in found.collect()}
     assert got == {(str(k), idx, p) for k, d in enumerate(data) for idx, at in Signatures(specs).places(d or b"").items() for p in at.tolist()} and len(got) > 1000
+    counted = {r.spec_idx: r.n_hits for r in scan.tally(chunks, specs_frame(spark, specs)).collect()}
+    assert counted == {r.spec_idx: r.n_hits for r in scan.tally(chunks, specs).collect()} and sum(counted.values()) == len(got)
 
 
 def test_chunks_in_any_batches(spark, tmp_path) -> None:
