@@ -19,7 +19,7 @@ from bytelode.functions.bytesx import WILDCARD, matches, piece
 from bytelode.sources.scratch import shared_path
 from bytelode.sources.store import store
 
-from .signatures import Signatures
+from .signatures import Signatures, together
 from .signatures import printable as printable
 from .specs import Spec
 
@@ -98,7 +98,7 @@ class _Chunk:
     """A chunk as the ascending hits of one spec see it: what several of them would look for again is found once, and nothing is copied for a hit but its head."""
 
     def __init__(self, shared: _Shared, spec: Spec) -> None:
-        self.shared, self.data, self.spec, self.kind = shared, shared.data, spec, spec.file_type.lower()
+        self.shared, self.data, self.spec, self.kind = shared, shared.data, spec, spec.kind
         self.footer = _Next(self.data, spec.footer, spec.case_sensitive) if spec.footer else None
         self.markers = [_Next(self.data, m) for m in spec.markers]
         self.end = _Next(self.data, _ENDS[self.kind]) if self.kind in _ENDS else None
@@ -165,7 +165,7 @@ _ENDS = {"zip": b"PK\x05\x06", "mpg": b"\x00\x00\x01\xb9"}
 
 def may_wait(spec: Spec) -> bool:
     """Whether hits of a spec are measured beyond their chunk where that has no footer for them."""
-    return bool(spec.footer) and spec.file_type.lower() not in WITHIN
+    return bool(spec.footer) and spec.kind not in WITHIN
 
 
 def waits(spec: Spec, near: tuple) -> bool:
@@ -185,32 +185,43 @@ def gzip_body(fields: bytes, cut: bool) -> int | None:
     return at if at is not None and W.gzip_payload_valid(fields, at, at + 9) else -1
 
 
-def chunk_hits(data: bytes, specs: list[Spec] | Signatures, quick_block: int = 0, offset: int = 0, image: _Shared | None = None) -> Iterator[tuple]:
-    """Rows of HIT after chunk_offset, for one chunk, spec by spec and ascending; late facts if the image is given that the chunk starts in at offset."""
+def chunk_hits(data: bytes, specs: list[Spec] | Signatures, quick_block: int = 0, offset: int = 0, image: _Shared | None = None, places: dict[int, list[int]] | None = None) -> Iterator[tuple]:
+    """Rows of HIT after chunk_offset, for one chunk, spec by spec and ascending; late facts if the image is given that the chunk starts in at offset.
+
+    places: where headers stand in the chunk, if that is known.
+    """
     signatures = specs if isinstance(specs, Signatures) else Signatures(specs)
-    near = _Shared(data)
-    for idx, found in signatures.places(data, quick_block).items():
+    near = image if image is not None and image.data is data else _Shared(data)
+    for idx, found in (signatures.places_of([data], quick_block)[0] if places is None else places).items():
         spec = signatures.specs[idx]
         literal, backward = spec.literal and not quick_block, spec.search_type == "Reverse" and not quick_block
-        chunk, whole = _Chunk(near, spec), _Chunk(image, spec) if image is not None else None
-        for n, pos in enumerate(found.tolist()):
+        chunk, whole = _Chunk(near, spec), None
+        for n, pos in enumerate(found):
             facts = chunk.facts(pos)
             order = (0, pos + len(spec.header), idx) if literal else (1, idx, len(found) - n if backward else n)
-            yield idx, pos, *order, *facts, whole.late(offset + pos, facts) if whole else None
+            late = None
+            if image is not None and waits(spec, facts):
+                whole = whole or _Chunk(image, spec)
+                late = whole.late(offset + pos, facts)
+            yield idx, pos, *order, *facts, late
 
 
 def _run(specs: list[Spec], quick_block: int, ends: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def start() -> Callable[[pa.RecordBatch], Iterator[tuple]]:
         signatures = Signatures(specs)
 
+        def pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, tuple]]:
+            names = zip(*(batch.column(k).to_pylist() for k in ("image_id", "chunk_no", "chunk_offset")), strict=True)
+            for name, data in zip(names, batch.column("bytes"), strict=True):
+                yield data.as_py() or b"", name
+
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            ids, nos, offsets = (batch.column(k).to_pylist() for k in ("image_id", "chunk_no", "chunk_offset"))
-            for image, no, offset, data in zip(ids, nos, offsets, batch.column("bytes"), strict=True):
-                body = data.as_py() or b""
-                if ends:
-                    yield from ((image, no, offset, *end) for end in chunk_ends(body, specs))
-                for hit in chunk_hits(body, signatures, quick_block):
-                    yield image, no, offset, *hit
+            for group in together(pieces(batch)):
+                for (body, name), places in zip(group, signatures.places_of([p for p, _ in group], quick_block), strict=True):
+                    if ends:
+                        yield from ((*name, *end) for end in chunk_ends(body, specs))
+                    for hit in chunk_hits(body, signatures, quick_block, places=places):
+                        yield *name, *hit
 
         return rows
 
@@ -221,12 +232,17 @@ def _run_images(specs: list[Spec], quick_block: int, chunk_size: int) -> Callabl
     def start() -> Callable[[pa.RecordBatch], Iterator[tuple]]:
         signatures = Signatures(specs)
 
-        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        def pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, tuple]]:
             for name, content in zip(batch.column("image_id").to_pylist(), batch.column("content"), strict=True):
                 image = content.as_py() or b""
                 whole = _Shared(image)
                 for no, offset in enumerate(range(0, len(image), chunk_size)):
-                    for hit in chunk_hits(image[offset : offset + chunk_size], signatures, quick_block, offset, whole):
+                    yield image[offset : offset + chunk_size], (name, no, offset, whole)
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for group in together(pieces(batch)):
+                for (body, (name, no, offset, whole)), places in zip(group, signatures.places_of([p for p, _ in group], quick_block), strict=True):
+                    for hit in chunk_hits(body, signatures, quick_block, offset, whole, places):
                         yield name, no, offset, *hit
 
         return rows

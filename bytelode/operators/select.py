@@ -61,12 +61,19 @@ def in_order(df: DataFrame, keys: list[str], pos: str, advance: str, always: str
             kept = np.asarray(batch.column(always).fill_null(False)) if always else np.zeros(n, bool)
             kept = kept.copy()
             cuts = np.flatnonzero(new).tolist()
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+            if first != before:
+                reach = None
+            before = tuple(batch.column(k)[n - 1].as_py() for k in keys)
             for lo, hi in zip(cuts, [*cuts[1:], n], strict=True):
-                key = tuple(batch.column(k)[lo].as_py() for k in keys)
-                if key != before:
-                    before, reach = key, None
+                if lo:
+                    reach = None
                 if kept[lo]:  # rows to keep always share no key with others
                     continue
+                if hi - lo == 1:
+                    if reach is None or at[lo] >= reach:
+                        kept[lo], reach = True, int(at[lo] + on[lo])
+                    continue
                 k = lo if reach is None else lo + int(np.searchsorted(at[lo:hi], reach, "left"))
                 while k < hi:
                     kept[k] = True
@@ -147,9 +154,17 @@ def advance(file_type: Column, size: Column, header_len: Column) -> Column:
 
 
 def number(df: DataFrame, image: str, part: str, order: list[Column], name: str = "seq") -> DataFrame:
-    """Number rows from 1 within an image, by part and then order, with no window wider than a part."""
+    """Number rows from 1 within an image, by part and then order, with no window wider than a part.
+
+    For images whose parts come from different tasks; `number_whole` takes one shuffle where a task has all of an image.
+    """
     counts = df.groupBy(image, part).count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(image).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.select(image, part, before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy(image, part).orderBy(*order))
     return df.withColumn("_inside", inside).join(base, [image, part]).withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_before", "_inside")
+
+
+def number_whole(df: DataFrame, image: str, order: list[Column], name: str = "seq") -> DataFrame:
+    """As `number`, for images that are rows: what one task has scanned is no more than one can order."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(image).orderBy(*order)))

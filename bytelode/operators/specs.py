@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tomllib
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +31,15 @@ class Spec:
         if not self.header:
             raise ValueError(f"spec {self.suffix!r} has an empty header")
 
-    @property
+    @cached_property
     def literal(self) -> bool:
         """Found in the one pass over all literal headers."""
         return self.case_sensitive and b"?" not in self.header
 
+    @cached_property
+    def kind(self) -> str:
+        return self.file_type.lower()
+
 
 #: File type, suffix, header, footer, longest MiB, markers. The order gives spec_idx.
 _BUILTIN = [

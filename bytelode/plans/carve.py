@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytelode.functions import bytesx, extents
@@ -35,6 +36,14 @@ class CarveConfig:
 _FACTS = ["file_type", "suffix", "max_len", "header_len", "footer_len", "n_markers", "rem", "footer_at", "marker_end", "head", "probe_at", "probe", "walked", "sound"]
 
 
+def _by_hit(facts: dict[str, Column], rule: Callable[[dict[str, Column]], Column]) -> Column:
+    """A rule over a hit's facts, as a lambda: of the rules of all types only the hit's own is walked through.
+
+    As plain columns they are one generated method, longer than the JVM compiles: each row then runs through it as bytecode.
+    """
+    return F.transform(F.array(F.struct(*(c.alias(k) for k, c in facts.items()))), lambda x: rule({k: x.getField(k) for k in facts}))[0]
+
+
 def _measured(rows: DataFrame, config: CarveConfig, late: bool) -> DataFrame:
     """rows with ok, size (0: no file) and comment by a hit's facts, or by its late ones under names that begin with late_."""
     kinds = {s.file_type.lower() for s in config.specs if not late or scan.may_wait(s)}
@@ -43,13 +52,15 @@ def _measured(rows: DataFrame, config: CarveConfig, late: bool) -> DataFrame:
         h |= {k: F.col(f"late.{k}") for k in ("rem", "footer_at", "marker_end", "head", "sound")}
         h |= {k: F.lit(None).cast(kind) for k, kind in (("probe_at", "long"), ("probe", "binary"), ("walked", "long"))}
     name = "late_" if late else ""
+    asked = F.col("bridge") if late else F.lit(True)
     if "bmp" in kinds:
-        rows = rows.withColumn("numbers", F.when(F.col("file_type") == "bmp", extents.bmp_numbers(h["head"])))
+        rows = rows.withColumn("numbers", F.when(asked & (F.col("file_type") == "bmp"), _by_hit(h, lambda x: extents.bmp_numbers(x["head"]))))
         h["numbers"] = F.col("numbers")
-    rows = rows.withColumn("raw", extents.size(h, kinds))
+    rows = rows.withColumn("raw", F.when(asked, _by_hit(h, lambda x: extents.size(x, kinds))))
     raw = F.col("raw")
     ok = (raw > 0) & (raw <= h["rem"])
-    ok = F.coalesce(ok if config.disable_validation else ok & extents.valid(h, raw, kinds), F.lit(False))
+    sound = lambda: F.when(asked & ok, _by_hit(h | {"raw": raw}, lambda x: extents.valid(x, x["raw"], kinds)))
+    ok = F.coalesce(ok if config.disable_validation else ok & sound(), F.lit(False))
     dump = F.least("max_len", h["rem"]) if config.write_all else F.lit(0).cast("long")
     rows = rows.withColumn(f"{name}ok", ok)
     return rows.withColumn(f"{name}size", F.when(F.col(f"{name}ok"), raw).otherwise(dump)).withColumn(f"{name}comment", F.when(F.col(f"{name}ok"), "").otherwise("(Header dump)")).drop("raw", "numbers")
@@ -79,11 +90,11 @@ def carve(images: DataFrame | None, config: CarveConfig | None = None, chunks: D
     config = config or CarveConfig()
     if config.mode == "file" and chunks is None:
         kept = _selected(scan.image_hits(images, config.specs, config.chunk_size, _block(config)), config).where("not _ends")
-        return _numbered(_late(kept, config), config)
+        return _numbered(_late(kept, config), config, True)
     if config.mode == "file":
         return finished(settle(scanned(chunks, config), "hits"), config)
     kept = _selected(scan.hits(I.chunks(images, config.chunk_size) if chunks is None else chunks, config.specs, _block(config)), config)
-    return _numbered(kept, config)
+    return _numbered(kept, config, chunks is None)
 
 
 def _block(config: CarveConfig) -> int:
@@ -116,10 +127,12 @@ def _late(kept: DataFrame, config: CarveConfig) -> DataFrame:
     return kept.withColumn("scan", F.when(~late, F.col("scan"))).drop("late_ok", "late_size", "late_comment")
 
 
-def _numbered(kept: DataFrame, config: CarveConfig) -> DataFrame:
-    """Rows of files, in the order of their numbers' keys: within a chunk those that waited come last."""
+def _numbered(kept: DataFrame, config: CarveConfig, whole: bool = False) -> DataFrame:
+    """Rows of files, in the order of their numbers' keys: within a chunk those that waited come last. whole: each image was in one row."""
     kept = kept.withColumn("late", F.col("bridge").cast("int")).drop("_ends", "head", "probe", "probe_at", "marker_end", "footer_at")
-    files = select.number(kept.where("size > 0"), "image_id", "chunk_no", [F.col(c) for c in ("late", "pass_no", "k1", "k2")])
+    order = [F.col(c) for c in ("late", "pass_no", "k1", "k2")]
+    kept = kept.where("size > 0")
+    files = select.number_whole(kept, "image_id", [F.col("chunk_no"), *order]) if whole else select.number(kept, "image_id", "chunk_no", order)
     offset = (F.col("chunk_offset") + F.col("pos")).cast("long")
     run = F.struct(F.lit(0).cast("long").alias("offset"), offset.alias("img_offset"), F.col("size").alias("len"))
     info = F.struct(F.col("scan.width").alias("width"), F.col("scan.height").alias("height"), (offset + F.col("scan.broken")).alias("fragmentation_point_img_offset"), F.col("scan.restarts").alias("has_restart_markers"), F.col("scan.status").alias("status"))
