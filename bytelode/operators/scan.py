@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import ahocorasick
@@ -352,18 +352,48 @@ def occurrences(texts: DataFrame, patterns: DataFrame, chars: int = PATTERN_CHAR
 
 def _tally(specs: list[Spec] | str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures = _signatures(specs) if isinstance(specs, str) else Signatures(specs)
-        numbers = signatures.idx if isinstance(specs, str) else np.arange(len(specs))
+        search = _counters(specs) if isinstance(specs, str) else Counters(specs, range(len(specs)))
         for batch in batches:
-            found: Counter[int] = Counter()
-            for data in batch.column("bytes"):
-                for idx, at in signatures.places(data.as_py() or b"").items():
-                    found[int(numbers[idx])] += len(at)
+            found = search.count(data.as_py() or b"" for data in batch.column("bytes"))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["spec_idx", "n_hits"])
 
     return run
 
 
+class Counters:
+    """How often each header of a catalog stands in bytes: plain ones by one automaton, whose time does not grow with the catalog, others by `Signatures`."""
+
+    def __init__(self, specs: list[Spec], numbers: Iterable[int]) -> None:
+        rest, alike = [], {}
+        for spec, number in zip(specs, numbers, strict=True):
+            if spec.literal and spec.search_type != "Ascii":
+                alike.setdefault(spec.header.decode("latin-1"), []).append(int(number))
+            else:
+                rest.append((spec, int(number)))
+        self.numbers = list(alike.values())
+        self.search = ahocorasick.Automaton()
+        for n, header in enumerate(alike):
+            self.search.add_word(header, n)
+        self.search.make_automaton()
+        self.rest, self.of_rest = Signatures([s for s, _ in rest]) if rest else None, [n for _, n in rest]
+
+    def count(self, pieces: Iterable[bytes]) -> dict[int, int]:
+        found, plain = Counter(), [0] * len(self.numbers)
+        for group in together((p, ()) for p in pieces):
+            if plain:
+                for piece, _ in group:
+                    for _, n in self.search.iter(piece.decode("latin-1")):
+                        plain[n] += 1
+            if self.rest is not None:
+                for places in self.rest.places_of([p for p, _ in group]):
+                    for k, at in places.items():
+                        found[self.of_rest[k]] += len(at)
+        for numbers, times in zip(self.numbers, plain, strict=True):
+            for number in numbers if times else ():
+                found[number] += times
+        return found
+
+
 def tally(chunks: DataFrame, specs: list[Spec] | DataFrame) -> DataFrame:
     """spec_idx and n_hits: how often each header that is met stands in chunks (column bytes), in one pass for all of the catalog.
 
@@ -374,23 +404,36 @@ def tally(chunks: DataFrame, specs: list[Spec] | DataFrame) -> DataFrame:
     return chunks.select("bytes").mapInArrow(_tally(specs), "spec_idx int, n_hits long").groupBy("spec_idx").agg(F.sum("n_hits").alias("n_hits"))
 
 
-#: For the process of a task, the catalog tables that it has read.
+#: For the process of a task, the catalog table that it has read last, as places are looked for in it and as they are counted.
 _catalogs: dict[str, Signatures] = {}
+_counts: dict[str, Counters] = {}
+
+
+def _read(table: str) -> tuple[list[Spec], list[int]]:
+    """The headers of a catalog table (specs.SCHEMA) and their numbers, read where the task runs."""
+    system, at = store(table)
+    rows = ds.dataset(at, format="parquet", filesystem=system).to_table(columns=["spec_idx", "suffix", "header", "case_sensitive", "search_type"]).to_pylist()
+    rows.sort(key=lambda r: r["spec_idx"])
+    return [Spec("Config", r["suffix"], r["header"], None, 0, r["case_sensitive"], r["search_type"]) for r in rows], [r["spec_idx"] for r in rows]
 
 
 def _signatures(table: str) -> Signatures:
-    """The headers of a catalog table (specs.SCHEMA), read where the task runs and kept for the next ones."""
     if table not in _catalogs:
-        system, at = store(table)
-        rows = ds.dataset(at, format="parquet", filesystem=system).to_table(columns=["spec_idx", "suffix", "header", "case_sensitive", "search_type"]).to_pylist()
-        rows.sort(key=lambda r: r["spec_idx"])
-        found = Signatures([Spec("Config", r["suffix"], r["header"], None, 0, r["case_sensitive"], r["search_type"]) for r in rows])
-        found.idx = np.array([r["spec_idx"] for r in rows], np.int32)
+        specs, numbers = _read(table)
+        found = Signatures(specs)
+        found.idx = np.array(numbers, np.int32)
         _catalogs.clear()
         _catalogs[table] = found
     return _catalogs[table]
 
 
+def _counters(table: str) -> Counters:
+    if table not in _counts:
+        _counts.clear()
+        _counts[table] = Counters(*_read(table))
+    return _counts[table]
+
+
 class SignatureHits:
     """The handler of the table function signature_hits(bytes, catalog): spec_idx and pos of every header of the catalog table in the bytes."""
 
