@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from bytelode.sources.store import Ranges, read_ranges
 from . import intervals
 
 LEAST_BLOCK, LEAST_FRAGMENT, POOL = 16, 4, 3
-#: Blocks of a bin, and bytes of candidates that are read and decoded together (one candidate at least).
-BIN_BLOCKS, TOGETHER = 2048, 64 << 20
+#: Blocks of a bin, bytes of candidates that are read and decoded together (one candidate at least), and bytes of blocks that are scored together.
+BIN_BLOCKS, TOGETHER, SCORED = 2048, 64 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -40,16 +42,28 @@ def block_entropy(data: bytes, starts: np.ndarray, size: int) -> np.ndarray:
     """Shannon entropy in bits of the blocks at starts; a block at the end may be short."""
     out = np.zeros(len(starts))
     values = np.frombuffer(data, np.uint8)
-    for lo in range(0, len(starts), 4096):
-        at = starts[lo : lo + 4096]
-        n = np.minimum(size, len(values) - at)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        table = np.bincount(np.repeat(np.arange(len(at)), n) * 256 + values[np.repeat(at, n) + k], minlength=len(at) * 256).reshape(-1, 256)
-        p = table / np.maximum(n, 1)[:, None]
-        out[lo : lo + 4096] = -np.einsum("ij,ij->i", p, np.log2(np.where(p > 0, p, 1)))
+    full = starts <= len(values) - size
+    if full.any():
+        windows, whole = np.lib.stride_tricks.sliding_window_view(values, size), np.flatnonzero(full)
+        share, log = _terms(size)
+        for lo in range(0, len(whole), 4096):
+            some = whole[lo : lo + 4096]
+            table = np.bincount((np.arange(len(some))[:, None] * 256 + windows[starts[some]]).ravel(), minlength=len(some) * 256).reshape(-1, 256)
+            out[some] = -np.einsum("ij,ij->i", share[table], log[table])
+    for k in np.flatnonzero(~full).tolist():
+        table = np.bincount(values[starts[k] :], minlength=256)
+        share, log = _terms(len(values) - int(starts[k]))
+        out[k] = -np.einsum("ij,ij->i", share[table][None], log[table][None])[0]
     return out
 
 
+@lru_cache(8)
+def _terms(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The share of a block, and its logarithm, that a byte value has which is met 0 to size times."""
+    share = np.arange(size + 1) / max(size, 1)
+    return share, np.log2(np.where(share > 0, share, 1))
+
+
 def validity(flat: np.ndarray, owner: np.ndarray, end: np.ndarray) -> np.ndarray:
     """`ff_validity` of each stretch of flat bytes, one after the other: in a run of FF bytes every second one starts a pair, and a pair ends within its stretch."""
     ff = np.flatnonzero(flat == 0xFF)
@@ -63,13 +77,13 @@ def validity(flat: np.ndarray, owner: np.ndarray, end: np.ndarray) -> np.ndarray
     return np.where(seen > 0, np.bincount(of, may, len(end)) / np.maximum(seen, 1), 1.0)
 
 
-def block_validity(data: bytes, starts: np.ndarray, size: int) -> np.ndarray:
-    """Of each block at starts `ff_validity`."""
+def block_validity(data: bytes, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """Of each block at starts `ff_validity`; size may differ from block to block."""
     out = np.ones(len(starts))
-    values = np.frombuffer(data, np.uint8)
+    values, sizes = np.frombuffer(data, np.uint8), np.broadcast_to(size, starts.shape)
     for lo in range(0, len(starts), 4096):
         at = starts[lo : lo + 4096]
-        n = np.minimum(size, len(values) - at)
+        n = np.minimum(sizes[lo : lo + 4096], len(values) - at)
         end = np.cumsum(n)
         out[lo : lo + 4096] = validity(values[np.repeat(at - end + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(at)), n), end)
     return out
@@ -88,41 +102,42 @@ class Held:
         return self.data[offset : offset + length] if offset >= 0 else b""
 
 
-#: Scores rows of images: of (reader, row) pairs each gives tuples of the schema after image_id.
-Score = Callable[[list[tuple[Held | Ranges, dict]]], list[list[tuple]]]
+#: Scores rows of images: of (reader, row) pairs it makes the images and columns of batches, those of the schema after image_id.
+Score = Callable[[Iterator[tuple[Held | Ranges, dict]]], Iterator[tuple[pa.Array, list[pa.Array]]]]
 
 
-def _visit(images: DataFrame | None, rows: DataFrame, score: Score, schema: str, together: int) -> DataFrame:
-    """score of all rows, `together` at a time, where their images are or, where image_id is a path (images is None), by ranges read for each row.
+def _visit(images: DataFrame | None, rows: DataFrame, score: Score, schema: str) -> DataFrame:
+    """score of all rows, where their images are or, where image_id is a path (images is None), by ranges read for each row.
 
     rows come from a table, so Spark knows their size: below its threshold for broadcasts they go to the images, which stay
     where they are; beyond it both are dealt by image_id. Read by ranges, nothing but the rows is ever dealt out.
     """
-    arrow = [x.split(" ", 1)[0] for x in schema.split(", ")]
+    names = ["image_id", *(x.split(" ", 1)[0] for x in schema.split(", "))]
 
-    def batch_of(names: list[str], found: list[list[tuple]]) -> pa.RecordBatch:
-        flat = [(image, *f) for image, some in zip(names, found, strict=True) for f in some]
-        columns = list(zip(*flat, strict=True)) or [()] * (1 + len(arrow))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(schema), strict=True)], ["image_id", *arrow])
+    def records(batch: pa.RecordBatch | pa.StructArray, columns: list[str]) -> Iterator[dict]:
+        values = [batch.field(k) if isinstance(batch, pa.StructArray) else batch.column(k) for k in range(len(columns))]
+        for row in zip(*(v.to_pylist() for v in values), strict=True):
+            yield dict(zip(columns, row, strict=True))
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Ranges()
-        for batch in batches:
-            asked = batch.to_pylist()
-            for lo in range(0, len(asked), together):
-                some = asked[lo : lo + together]
-                yield batch_of([r["image_id"] for r in some], score([(reader, r) for r in some]))
+        for image, columns in score((reader, row) for batch in batches for row in records(batch, batch.schema.names)):
+            yield pa.RecordBatch.from_arrays([image, *columns], names)
         reader.close()
 
-    def at_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Held, dict]]:
         for batch in batches:
-            names, asked = [], []
-            for image, content, some in zip(batch.column("image_id").to_pylist(), batch.column("content"), batch.column("rows").to_pylist(), strict=True):
+            lists = batch.column("rows")
+            flat = lists.flatten()
+            row = records(flat, [f.name for f in flat.type])
+            for image, content, n in zip(batch.column("image_id").to_pylist(), batch.column("content"), lists.value_lengths().to_pylist(), strict=True):
                 held = Held(content.as_py() or b"")
-                names += [image] * len(some)
-                asked += [(held, {"image_id": image, **row}) for row in some]
-            for lo in range(0, len(asked), together):
-                yield batch_of(names[lo : lo + together], score(asked[lo : lo + together]))
+                for _ in range(n):
+                    yield held, {"image_id": image, **next(row)}
+
+    def at_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image, columns in score(asked(batches)):
+            yield pa.RecordBatch.from_arrays([image, *columns], names)
 
     if images is None:
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -131,11 +146,6 @@ def _visit(images: DataFrame | None, rows: DataFrame, score: Score, schema: str,
     return images.join(by_image, "image_id").select("image_id", "content", "rows").mapInArrow(at_hand, f"image_id string, {schema}")
 
 
-def _types(schema: str) -> list[pa.DataType]:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
-    return [pa.string(), *(kinds[x.split(" ", 1)[1]] for x in schema.split(", "))]
-
-
 def incomplete(files: DataFrame) -> DataFrame:
     """Incomplete JPEGs: image_id, seq, filename, header_at, fragment_len, search_at."""
     run = F.col("byte_runs")[0]
@@ -179,24 +189,52 @@ def windows(jpegs: DataFrame, c: RecoveryConfig) -> DataFrame:
 
 
 def _scores(c: RecoveryConfig) -> Score:
-    """The blocks of a bin (seq is null) that reach the least entropy, or the one right after a fragment, whatever its entropy."""
+    """The blocks of a bin (seq is null) that reach the least entropy, or the one right after a fragment, whatever its entropy.
 
-    def score(asked: list[tuple[Held | Ranges, dict]]) -> list[list[tuple]]:
-        out = []
+    What is read for many rows is scored at once, for small images take more calls than bytes.
+    """
+    block = c.block_size
+
+    def scored(parts: list[bytes], rows: list[dict], steps: list[int]) -> tuple[pa.Array, list[pa.Array]]:
+        """Of each part the blocks of so many steps from its start, or if that is -1 the part itself."""
+        data, size = b"".join(parts), np.array([len(p) for p in parts], np.int64)
+        base, n = np.cumsum(size) - size, np.array(steps, np.int64)
+        direct = n < 0
+        n[direct] = 1
+        owner = np.repeat(np.arange(len(parts)), n)
+        offset = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * block
+        starts, whole = base[owner] + offset, direct[owner]
+        entropy = np.full(len(owner), np.inf)
+        entropy[~whole] = block_entropy(data, starts[~whole], block)
+        kept = entropy >= c.min_entropy
+        kept[whole] = True
+        owner, offset, starts, whole, entropy = (x[kept] for x in (owner, offset, starts, whole, entropy))
+        ff = block_validity(data, starts, np.where(whole, size[owner], block))
+        column = lambda k, kind: pa.array([r[k] for r in rows], kind).take(pa.array(owner))
+        places = np.array([r["at"] for r in rows], np.int64)[owner] + offset
+        return column("image_id", pa.string()), [column("seq", pa.int32()), pa.array(places), pa.array(entropy, mask=whole), pa.array(ff)]
+
+    def score(asked: Iterator[tuple[Held | Ranges, dict]]) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+        held: tuple[list[bytes], list[dict], list[int]] = [], [], []
+        taken = 0
         for reader, row in asked:
-            path, size, block = row["image_id"], reader.size(row["image_id"]), c.block_size
+            path, at = row["image_id"], row["at"]
             if row["seq"] is not None:
-                data = reader.read(path, row["at"], block)
-                found = [(row["seq"], row["at"], None, float(block_validity(data, np.zeros(1, np.int64), block)[0]))] if len(data) >= LEAST_BLOCK else []
+                data, steps = reader.read(path, at, block), -1
+                if len(data) < LEAST_BLOCK:
+                    continue
             else:
-                data = reader.read(path, row["at"], bin_size(c) + block)
-                starts = np.arange(0, min(bin_size(c), size - block - row["at"]), block)
-                starts = starts if block >= LEAST_BLOCK else starts[:0]
-                e = block_entropy(data, starts, block)
-                starts, e = starts[e >= c.min_entropy], e[e >= c.min_entropy]
-                found = [(None, row["at"] + o, x, v) for o, x, v in zip(starts.tolist(), e.tolist(), block_validity(data, starts, block).tolist(), strict=True)]
-            out.append(found)
-        return out
+                data, steps = reader.read(path, at, bin_size(c) + block), -(-min(bin_size(c), reader.size(path) - block - at) // block)
+                if block < LEAST_BLOCK or steps <= 0:
+                    continue
+            for some, value in zip(held, (data, row, steps), strict=True):
+                some.append(value)
+            taken += len(data)
+            if taken >= SCORED:
+                yield scored(*held)
+                held, taken = ([], [], []), 0
+        if held[0]:
+            yield scored(*held)
 
     return score
 
@@ -210,7 +248,7 @@ def candidates(images: DataFrame | None, jpegs: DataFrame, c: RecoveryConfig) ->
     bins = intervals.covered(where, bin_size(c)).select("image_id", F.lit(None).cast("int").alias("seq"), (F.col("bin") * bin_size(c)).alias("at")).distinct()
     direct = where.select("image_id", "seq", F.col("skip_hi").alias("at"))
     asked = settle(bins.unionAll(direct), "bins")
-    scores = settle(_visit(images, asked, _scores(c), "seq int, offset long, entropy double, ff double", 64), "scores")
+    scores = settle(_visit(images, asked, _scores(c), "seq int, offset long, entropy double, ff double"), "scores")
     top = intervals.best(scores.where("seq is null").drop("seq"), where, ["image_id"], "seq", POOL * c.max_candidates, "entropy", bin_size(c)).drop("rank")
     direct = scores.where("seq is not null").select("image_id", "seq", "offset", F.lit(True).alias("direct"), F.col("ff").alias("direct_ff"))
     # the direct block is one of the best ones, or stands beside them without a score
@@ -220,18 +258,27 @@ def candidates(images: DataFrame | None, jpegs: DataFrame, c: RecoveryConfig) ->
 
 def splices(c: RecoveryConfig) -> Score:
     """For each candidate, unless it is beyond the image, (seq, offset, entropy, ff, rank1, units, size): how far the splice decodes and where it ends."""
+    most = max(1, min(1024, TOGETHER // max(c.search_window, 1)))
+    kinds = {"seq": pa.int32(), "offset": pa.int64(), "entropy": pa.float64(), "ff": pa.float64(), "rank1": pa.int32()}
 
-    def score(asked: list[tuple[Held | Ranges, dict]]) -> list[list[tuple]]:
+    def scored(asked: list[tuple[Held | Ranges, dict]]) -> tuple[pa.Array, list[pa.Array]]:
         parts = [(reader.read(row["image_id"], row["header_at"], row["fragment_len"]), reader.read(row["image_id"], row["offset"], c.search_window)) for reader, row in asked]
         contexts = {h: context(h) if c.huffman_validation else None for h in {h for h, _ in parts}}
         units = count_all([(contexts[header], rest) for header, rest in parts])
-        out = []
-        for (_, row), (header, rest), n in zip(asked, parts, units, strict=True):
+        sizes = []
+        for header, rest in parts:
             end = (header + rest[:1]).find(b"\xff\xd9")
             if end < 0 and (at := rest.find(b"\xff\xd9")) >= 0:
                 end = len(header) + at
-            out.append([(row["seq"], row["offset"], row["entropy"], row["ff"], row["rank1"], n, None if end < 0 else end + 2)] if rest else [])
-        return out
+            sizes.append(None if end < 0 else end + 2)
+        there = [k for k, (_, rest) in enumerate(parts) if rest]
+        rows = [asked[k][1] for k in there]
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()]
+        return pa.array([r["image_id"] for r in rows], pa.string()), [*columns, pa.array([units[k] for k in there], pa.int64()), pa.array([sizes[k] for k in there], pa.int64())]
+
+    def score(asked: Iterator[tuple[Held | Ranges, dict]]) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+        while some := list(islice(asked, most)):
+            yield scored(some)
 
     return score
 
@@ -246,7 +293,7 @@ def recover(images: DataFrame | None, files: DataFrame, config: RecoveryConfig |
     jpegs = settle(incomplete(files).where(F.col("fragment_len") >= LEAST_FRAGMENT), "jpegs")
     best = rank_by_validity(pool(candidates(images, jpegs, c), c), c).join(jpegs.select("image_id", "seq", "header_at", "fragment_len"), ["image_id", "seq"])
     best = settle(best.select("image_id", "seq", "offset", "entropy", "ff", "rank1", "header_at", "fragment_len"), "blocks")
-    won = rank_by_units(_visit(images, best, splices(c), "seq int, offset long, entropy double, ff double, rank1 int, units long, size long", max(1, min(1024, TOGETHER // max(c.search_window, 1)))))
+    won = rank_by_units(_visit(images, best, splices(c), "seq int, offset long, entropy double, ff double, rank1 int, units long, size long"))
     won = won.join(jpegs.select("image_id", "seq", "filename", "header_at", "fragment_len"), ["image_id", "seq"])
     method = F.when(F.col("offset") == F.col("header_at") + F.col("fragment_len"), "direct_continuation").otherwise("fragment_reassembly")
     return won.select("image_id", F.col("filename").alias("original_filename"), recovered_filename(F.col("filename")).alias("recovered_filename"), method.alias("recovery_method"), F.col("entropy").alias("entropy_score"), F.col("header_at").alias("header_img_offset"), F.col("offset").alias("continuation_img_offset"), F.col("size").alias("recovered_size"), F.col("ff").alias("ff_validity_score"), F.col("units").alias("huffman_mcu_count"), "fragment_len")

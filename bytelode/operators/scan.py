@@ -108,7 +108,7 @@ class _Chunk:
         rem = len(data) - pos
         at = self.footer.after(pos) if self.footer else None
         footer_at = None if at is None else at - pos
-        ends = [m + len(x.value) - pos for x in self.markers if (m := x.after(pos)) is not None]
+        ends = [m + len(x.value) - pos for x in self.markers if (m := x.after(pos)) is not None] if self.markers else ()
         head, probe_at, probe, walked, sound, scan = data[pos : pos + HEAD], None, None, None, None, None
         end, plain = self.end.after(pos) if self.end else None, min(longest, rem)
         if kind == "exe" and rem >= 64:

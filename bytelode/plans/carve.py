@@ -36,11 +36,17 @@ class CarveConfig:
 _FACTS = ["file_type", "suffix", "max_len", "header_len", "footer_len", "n_markers", "rem", "footer_at", "marker_end", "head", "probe_at", "probe", "walked", "sound"]
 
 
-def _by_hit(facts: dict[str, Column], rule: Callable[[dict[str, Column]], Column]) -> Column:
-    """A rule over a hit's facts, as a lambda: of the rules of all types only the hit's own is walked through.
+#: Rules of so many types are short enough to be compiled as plain columns.
+FEW = 2
+
+
+def _by_hit(facts: dict[str, Column], kinds: set[str], rule: Callable[[dict[str, Column]], Column]) -> Column:
+    """A rule over a hit's facts, as a lambda where it is for many types: of these only the hit's own is walked through.
 
     As plain columns they are one generated method, longer than the JVM compiles: each row then runs through it as bytecode.
     """
+    if len(kinds) <= FEW:
+        return rule(facts)
     return F.transform(F.array(F.struct(*(c.alias(k) for k, c in facts.items()))), lambda x: rule({k: x.getField(k) for k in facts}))[0]
 
 
@@ -54,12 +60,12 @@ def _measured(rows: DataFrame, config: CarveConfig, late: bool) -> DataFrame:
     name = "late_" if late else ""
     asked = F.col("bridge") if late else F.lit(True)
     if "bmp" in kinds:
-        rows = rows.withColumn("numbers", F.when(asked & (F.col("file_type") == "bmp"), _by_hit(h, lambda x: extents.bmp_numbers(x["head"]))))
+        rows = rows.withColumn("numbers", F.when(asked & (F.col("file_type") == "bmp"), _by_hit(h, kinds, lambda x: extents.bmp_numbers(x["head"]))))
         h["numbers"] = F.col("numbers")
-    rows = rows.withColumn("raw", F.when(asked, _by_hit(h, lambda x: extents.size(x, kinds))))
+    rows = rows.withColumn("raw", F.when(asked, _by_hit(h, kinds, lambda x: extents.size(x, kinds))))
     raw = F.col("raw")
     ok = (raw > 0) & (raw <= h["rem"])
-    sound = lambda: F.when(asked & ok, _by_hit(h | {"raw": raw}, lambda x: extents.valid(x, x["raw"], kinds)))
+    sound = lambda: F.when(asked & ok, _by_hit(h | {"raw": raw}, kinds, lambda x: extents.valid(x, x["raw"], kinds)))
     ok = F.coalesce(ok if config.disable_validation else ok & sound(), F.lit(False))
     dump = F.least("max_len", h["rem"]) if config.write_all else F.lit(0).cast("long")
     rows = rows.withColumn(f"{name}ok", ok)

@@ -604,12 +604,15 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image for each order: a page's start, pictures and archives of varying soundness, and a JPEG that often lacks its end."""
     gap = "00" * 16
     fields: list[Field] = [gap, *_BMP, gap, *_PNG, "0000000049454E44AE426082", gap, "474946383961", *_GIF[3:], "00003B", gap, *_GZ, "0102030405060708090A0B0C0D0E0F", "00000000", gap, *_ZIP, gap, _JPEG, (4, "be", f"{K} * 7919 % 2147483648"), (1, "be", f"case when {K} % 3 = 0 then 255 else 17 end"), (1, "be", f"case {K} % 2 when 0 then 217 else 1 end"), "112233445566778899" * 20, "FFD9", gap]
-    keys = _dealt(_table(spark, sf_dir, "orders").select(K), K)
-    return keys.select(F.col(K).cast("string").alias("image_id"), _hex_spark(fields).alias("content"))
+    keys = _dealt(_table(spark, sf_dir, "orders").select(K, F.col(K).cast("string").alias("image_id")), "image_id")
+    return keys.select("image_id", _hex_spark(fields).alias("content"))
 
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """rows, dealt out before they grow: a small file is one task otherwise, whatever is made of its rows."""
+    """rows, dealt out before they grow: a small file is one task otherwise, whatever is made of its rows.
+
+    By the key that they are joined by later, so that what they have grown to need not be dealt out again.
+    """
     spark = rows.sparkSession
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
 
