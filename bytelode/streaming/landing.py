@@ -10,14 +10,33 @@ from bytelode.operators.reporter import Reporter
 from bytelode.plans.carve import CarveConfig, carve, finished, scanned
 
 
+#: What opening a file counts as in bytes where tasks are made of many small files: some hundred of them, not 32, fill one.
+OPENING = 256 << 10
+
+
+def _for_small_files(spark: SparkSession) -> SparkSession:
+    """A session with the settings of spark in which few tasks list and read many small files.
+
+    By default each batch of a stream is listed by a job of up to 10,000 tasks. What a stream reads keeps to the session
+    that it was defined in, so these settings are not made and taken back in the caller's.
+    """
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.files.openCostInBytes", OPENING)
+    return own
+
+
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, config: CarveConfig | None = None, files_per_batch: int = 100, reporter: Reporter | None = None) -> StreamingQuery:
     """Carve every new file of folder into Parquet at out, with batch_id; stops when all present files are done.
 
     A batch that is tried again replaces its own rows, since each batch writes its own partition. A reporter is told of
-    every batch, under its number, after its rows are written.
+    every batch, under its number, after its rows are written. The query belongs to a session of its own.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    stream = _for_small_files(spark).readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
     images = stream.select(F.col("path").alias("image_id"), "content")
 
     def one(batch: DataFrame, batch_id: int) -> None:
