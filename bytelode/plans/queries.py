@@ -600,18 +600,21 @@ _ONE_CODE = "01" + "00" * 15
 _JPEG = "FFD8FFE000104A46494600010100000100010000" + "FFDB004300" + "10" * 64 + "FFC4001400" + _ONE_CODE + "03" + "FFC4001410" + _ONE_CODE + "00" + "FFC0000B080008000801011100" + "FFDA0008010100003F00"
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image for each order: a page's start, pictures and archives of varying soundness, and a JPEG that often lacks its end."""
+def images(spark: SparkSession, sf_dir: str, *more: Column, key: str = "image_id") -> DataFrame:
+    """One image for each order: a page's start, pictures and archives of varying soundness, and a JPEG that often lacks its end.
+
+    key: the column, one of more if need be, that they are joined or grouped by later.
+    """
     gap = "00" * 16
     fields: list[Field] = [gap, *_BMP, gap, *_PNG, "0000000049454E44AE426082", gap, "474946383961", *_GIF[3:], "00003B", gap, *_GZ, "0102030405060708090A0B0C0D0E0F", "00000000", gap, *_ZIP, gap, _JPEG, (4, "be", f"{K} * 7919 % 2147483648"), (1, "be", f"case when {K} % 3 = 0 then 255 else 17 end"), (1, "be", f"case {K} % 2 when 0 then 217 else 1 end"), "112233445566778899" * 20, "FFD9", gap]
-    keys = _dealt(_table(spark, sf_dir, "orders").select(K, F.col(K).cast("string").alias("image_id")), "image_id")
-    return keys.select("image_id", _hex_spark(fields).alias("content"))
+    keys = _dealt(_table(spark, sf_dir, "orders").select(K, F.col(K).cast("string").alias("image_id"), *more), key)
+    return keys.select(*keys.columns[1:], _hex_spark(fields).alias("content"))
 
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
     """rows, dealt out before they grow: a small file is one task otherwise, whatever is made of its rows.
 
-    By the key that they are joined by later, so that what they have grown to need not be dealt out again.
+    By the key that they are joined or grouped by later, so that what they have grown to need not be dealt out again.
     """
     spark = rows.sparkSession
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
@@ -638,8 +641,8 @@ def recover_jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recover_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As recover_jpegs, over files of a hundred images each that are read by ranges: no image is in a row."""
     at = shared_path(spark, "disks")
-    parts = images(spark, sf_dir).select(F.col("image_id").cast("long").alias("n"), "content")
-    joined = parts.groupBy(F.expr("n div 100").alias("disk")).agg(F.array_sort(F.collect_list(F.struct("n", "content"))).alias("z"))
+    parts = images(spark, sf_dir, F.expr(f"{K} div 100").alias("disk"), key="disk").select("disk", F.col("image_id").cast("long").alias("n"), "content")
+    joined = parts.groupBy("disk").agg(F.array_sort(F.collect_list(F.struct("n", "content"))).alias("z"))
     disks = joined.select(F.concat(F.col("disk").cast("string"), F.lit(".img")).alias("filename"), F.unhex(F.concat_ws("", F.transform("z", lambda x: F.hex(x["content"])))).alias("data"))
     store.write_files(disks, at)
     found = spark.read.format("binaryFile").load(at).select(F.col("path").alias("image_id"), "content")

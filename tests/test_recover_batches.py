@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bytelode.functions import walkers as W
 from bytelode.operators import recover as R
@@ -43,3 +44,8 @@ def test_entropies_are_those_of_the_formula(size: int) -> None:
 def test_images_are_dealt_out_once_by_their_name(spark) -> None:
     plan = core.images(spark, "/root/testdata/sf0.001").groupBy("image_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_disks_are_made_where_their_images_are(spark) -> None:
+    parts = core.images(spark, "/root/testdata/sf0.001", F.expr("o_orderkey div 100").alias("disk"), key="disk")
+    assert parts.groupBy("disk").agg(F.collect_list("content"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
